@@ -248,6 +248,13 @@ class Star:
             F.when(key % 8 != 7, key % 3).alias("employee_id"),
         )
 
+    def partner_agents(self) -> DataFrame:
+        """Which agents serve a customer: none, one or two."""
+        key = F.col("c_custkey")
+        first, second = key % 10, (key + 3) % 10
+        both = F.when(key % 3 == 1, F.array(first)).when(key % 3 == 2, F.array(first, second))
+        return self.table("customer").select(key.alias("partner_id"), F.explode(both).alias("agent_id"))
+
     # -- invoices, stock ------------------------------------------------------------------
 
     def invoices(self) -> DataFrame:

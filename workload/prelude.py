@@ -87,6 +87,9 @@ users AS (
     CASE WHEN s_suppkey % 6 = 5 THEN 'salesman' ELSE 'agent' END AS agent_type, s_suppkey % 3 <> 2 AS salesman_as_agent,
     CASE WHEN s_suppkey % 8 <> 7 THEN s_suppkey % 3 END AS employee_id
   FROM supplier),
+partner_agent AS (
+  SELECT c_custkey AS partner_id, c_custkey % 10 AS agent_id FROM customer WHERE c_custkey % 3 > 0
+  UNION ALL SELECT c_custkey, (c_custkey + 3) % 10 FROM customer WHERE c_custkey % 3 = 2),
 invoice AS (
   SELECT id, id AS order_id, 'INV' || id AS name, CASE WHEN id % 9 = 0 THEN 'out_refund' ELSE 'out_invoice' END AS move_type,
     CASE id % 8 WHEN 0 THEN 'draft' WHEN 5 THEN 'cancel' ELSE 'posted' END AS state,
