@@ -29,17 +29,26 @@ class Star:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
+    def stream(self, name: str, files_per_batch: int | None = None) -> DataFrame:
+        """The same table as a file stream; timestamps become instants, so they can carry a watermark."""
+        schema = self.table(name).schema
+        reader = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+        if files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        return reader.parquet(self.sf_dir)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     # -- orders ---------------------------------------------------------------------------
 
-    def orders(self) -> DataFrame:
+    def orders(self, raw: DataFrame | None = None) -> DataFrame:
+        """Orders; ``raw`` may be a stream of the same table."""
         key, cust, status = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")
         total = F.col("o_totalprice").cast(MONEY)
         untaxed = money(total * F.lit(9) / F.lit(10))
         day = F.col("o_orderdate").cast("date")
-        return self.table("orders").select(
+        return (self.table("orders") if raw is None else raw).select(
             key.alias("id"),
             F.concat(F.lit("SO"), key.cast("string")).alias("name"),
             cust.alias("partner_id"),

@@ -209,9 +209,9 @@ def _(s):
 
 
 @query("price_history", """, fam AS (SELECT p.id FROM partner p WHERE contains('/' || p.parent_path, '/' || (SELECT commercial_partner_id FROM partner WHERE id = 25) || '/'))
-SELECT order_id, line_no, o.partner_id, o.state, CAST(CAST(o.date_order AS DATE) AS VARCHAR) AS day, price_unit::DOUBLE AS price_unit FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id WHERE l.product_id = 1 AND o.state IN ('sale','done','draft','sent') AND (o.partner_id IN (SELECT id FROM fam)) ORDER BY o.date_order DESC, order_id DESC, line_no DESC LIMIT 20""")
+SELECT order_id, line_no, o.partner_id, o.state, CAST(CAST(o.date_order AS DATE) AS VARCHAR) AS day, price_unit::DOUBLE AS price_unit FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id WHERE l.product_id = 56 AND NOT (order_id = 1 AND line_no = 1) AND o.state IN ('sale','done','draft','sent') AND (o.partner_id IN (SELECT id FROM fam)) ORDER BY o.date_order DESC, order_id DESC, line_no DESC LIMIT 20""")
 def _(s):
-    out = rc.price_history(1, 25, None, s.orders(), s.keyed_lines(), s.partners(), include_quotations=True)
+    out = rc.price_history(56, 25, (1, 1), s.orders(), s.keyed_lines(), s.partners(), include_quotations=True)
     return out.select("order_id", "line_no", "partner_id", "state", F.col("date_order").cast("date").alias("day"), "price_unit")
 
 
