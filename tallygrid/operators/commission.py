@@ -46,28 +46,26 @@ def assign_agents(
     )
     serving = partner_agents.join(able.select(F.col("id").alias("agent_id"), "commission_id"), "agent_id")
     by_partner = headers.join(serving, "partner_id").select(
-        "order_id", "pricelist_id", "agent_id", F.col("commission_id").alias("agent_commission"), F.lit(False).alias("takes_free")
+        "order_id", "pricelist_id", "agent_id", F.col("commission_id").alias("agent_commission"), F.lit("partner").alias("kind")
     )
     assigned = by_partner
     kept = lines.join(products.select(F.col("id").alias("product_id"), "commission_free"), "product_id")
-    sellers = agents.filter("salesman_as_agent").select(
-        F.col("id").alias("user_id"), F.col("commission_id").alias("agent_commission")
-    )
     if salesperson_fallback:
+        sellers = agents.filter("salesman_as_agent").select(
+            F.col("id").alias("user_id"), F.col("commission_id").alias("agent_commission")
+        )
         # Served customers still leave their commission-free lines to the salesperson.
         served = serving.select("partner_id", F.lit(True).alias("served")).distinct()
         by_seller = headers.join(sellers, "user_id").join(served, "partner_id", "left").select(
             "order_id", "pricelist_id", F.col("user_id").alias("agent_id"), "agent_commission",
             F.coalesce("served", F.lit(False)).alias("only_free"),
         )
-        assigned = by_partner.drop("takes_free").withColumn("kind", F.lit("partner")).unionByName(
+        assigned = by_partner.unionByName(
             by_seller.select(
                 "order_id", "pricelist_id", "agent_id", "agent_commission",
                 F.when(F.col("only_free"), F.lit("free lines")).otherwise(F.lit("all lines")).alias("kind"),
             )
         )
-    else:
-        assigned = by_partner.drop("takes_free").withColumn("kind", F.lit("partner"))
     fits = (
         ((F.col("kind") == "partner") & ~F.col("commission_free"))
         | ((F.col("kind") == "free lines") & F.col("commission_free"))

@@ -359,11 +359,8 @@ def target_progress(lines: DataFrame, limit: int = TOP_LIMIT) -> DataFrame:
     return lines.orderBy(F.desc("achievement"), "key").limit(limit)
 
 
-def target_overall(lines: DataFrame, metrics: DataFrame) -> DataFrame:
-    whole = lines.agg(total("target_amount").alias("overall_target_amount"))
-    return whole.withColumn(
-        "overall_achievement", percentage(metrics.select("confirmed_revenue").scalar(), "overall_target_amount")
-    )
+def target_overall(lines: DataFrame) -> DataFrame:
+    return lines.agg(total("target_amount").alias("overall_target_amount"))
 
 
 # -- cards --------------------------------------------------------------------------------
@@ -383,15 +380,13 @@ COMPARED = ("confirmed_revenue", "confirmed_orders", "average_order_value", "win
 
 
 def headline(metrics: DataFrame, targets: DataFrame, profit: DataFrame) -> DataFrame:
-    """One row with all figures the cards and alerts need; each side is a one-row frame."""
-    return metrics.select(
-        "*",
-        targets.select("overall_target_amount").scalar().alias("overall_target_amount"),
-        targets.select("overall_achievement").scalar().alias("target_achievement"),
-        profit.select("revenue").scalar().alias("margin_revenue"),
-        profit.select("margin_amount").scalar().alias("approx_margin"),
-        profit.select("margin_rate").scalar().alias("approx_margin_rate"),
+    """One row with all figures the cards and alerts need, folded from three one-row frames."""
+    margin = profit.select(
+        F.col("revenue").alias("margin_revenue"), F.col("margin_amount").alias("approx_margin"), F.col("margin_rate").alias("approx_margin_rate")
     )
+    stacked = metrics.unionByName(targets, allowMissingColumns=True).unionByName(margin, allowMissingColumns=True)
+    row = stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
+    return row.withColumn("target_achievement", percentage("confirmed_revenue", "overall_target_amount"))
 
 
 def kpi_cards(row: DataFrame) -> DataFrame:

@@ -603,3 +603,24 @@ def _(s):
     return s.events().select("event_id", "event_type", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
+
+
+@query("scalar_array", "SELECT order_id, string_agg(DISTINCT lpad(CAST(product_id % 7 AS VARCHAR), 2, '0'), ',' ORDER BY lpad(CAST(product_id % 7 AS VARCHAR), 2, '0')) AS kinds, count(DISTINCT product_id % 7) AS n_kinds, CASE max(product_id % 7) WHEN 6 THEN 'six' WHEN 5 THEN 'five' ELSE 'less' END AS top_name FROM sale_order_line GROUP BY 1")
+def _(s):
+    kinds = F.array_sort(F.collect_set(F.col("product_id") % 7))
+    names = F.map_from_entries(F.array(F.struct(F.lit(6), F.lit("six")), F.struct(F.lit(5), F.lit("five"))))
+    grouped = s.lines().groupBy("order_id").agg(kinds.alias("k"))
+    top = F.aggregate("k", F.lit(0).cast("bigint"), lambda acc, x: F.greatest(acc, x))
+    return grouped.select(
+        "order_id", F.array_join(F.transform("k", lambda x: F.lpad(x.cast("string"), 2, "0")), ",").alias("kinds"), F.size("k").alias("n_kinds"),
+        F.coalesce(F.try_element_at(names, top.cast("int")), F.lit("less")).alias("top_name"),
+    )
+
+
+@query("scalar_conditional", "SELECT order_id, count(*) FILTER (qty > 25) AS big_lines, coalesce(sum(price_total) FILTER (discount > 5), 0)::DOUBLE AS discounted, CASE WHEN bool_or(display_type IS NOT NULL) THEN 'with notes' ELSE 'plain' END AS kind FROM sale_order_line GROUP BY 1")
+def _(s):
+    note = F.col("display_type").isNotNull()
+    return s.lines().groupBy("order_id").agg(
+        F.count_if(F.col("qty") > 25).alias("big_lines"), F.coalesce(F.sum(F.when(F.col("discount") > 5, F.col("price_total"))), F.lit(0)).alias("discounted"),
+        F.when(F.bool_or(note), F.lit("with notes")).otherwise(F.lit("plain")).alias("kind"),
+    )

@@ -65,7 +65,7 @@ def _sold(s: Star, flt=YEAR):
 def _headline(s: Star, flt=YEAR):
     metrics = d.core_metrics(_base(s, flt))
     lines = d.target_lines(_targets(s), _base(s, flt), flt)
-    return d.headline(metrics, d.target_overall(lines, metrics), d.profitability(_sold(s, flt)))
+    return d.headline(metrics, d.target_overall(lines), d.profitability(_sold(s, flt)))
 
 
 @query("order_filter", SQL_BASE + "SELECT id, state, amount_total::DOUBLE AS amount_total FROM c WHERE (user_id = 3 OR create_uid = 3)")

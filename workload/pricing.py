@@ -167,9 +167,9 @@ sp AS (SELECT *, base::DOUBLE * discount::DOUBLE / 100.0 + CASE WHEN kind = 'fix
 """
 
 
-for _app, _div in (("after_tax", "1.15"), ("before_tax", "1.0")):
+for _app, _div, _suffix in (("after_tax", "1.15", ""), ("before_tax", "1.0", "_before_tax")):
 
-    @query(f"total_discount_prorata_{_app}", spread_sql(_div) + "SELECT order_id, sequence, product_id, round(d2, 4) AS discount2, round(da * 100.0 / base::DOUBLE, 4) AS discount_percent, round(base::DOUBLE - da, 4) AS net_subtotal FROM sp")
+    @query(f"total_discount_prorata{_suffix}", spread_sql(_div) + "SELECT order_id, sequence, product_id, round(d2, 4) AS discount2, round(da * 100.0 / base::DOUBLE, 4) AS discount_percent, round(base::DOUBLE - da, 4) AS net_subtotal FROM sp")
     def _(s, app=_app):
         return spread_lines(s, app).select(
             "order_id", "sequence", "product_id",
