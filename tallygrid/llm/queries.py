@@ -10,6 +10,7 @@ from tallygrid.llm.byte_bpe import round_trip
 from tallygrid.llm.common import content, table
 from tallygrid.llm.exact_dedup import exact_dedup
 from tallygrid.llm.fingerprint import edited_likeness
+from tallygrid.llm.near_dedup import near_dedup
 from tallygrid.llm.packing import pack, pieces
 from tallygrid.llm.quality import scored, train
 from tallygrid.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -67,3 +68,8 @@ def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op5_setsketch_near_dedup")
+def op5_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), width=3, percent=85)
