@@ -10,6 +10,7 @@ from tallygrid.llm.byte_bpe import round_trip
 from tallygrid.llm.common import content, table
 from tallygrid.llm.exact_dedup import exact_dedup
 from tallygrid.llm.fingerprint import edited_likeness
+from tallygrid.llm.html_text import main_text
 from tallygrid.llm.near_dedup import near_dedup
 from tallygrid.llm.packing import pack, pieces
 from tallygrid.llm.quality import scored, train
@@ -73,3 +74,8 @@ def op2_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_setsketch_near_dedup")
 def op5_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query("op4_wrapper_text")
+def op4_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
