@@ -11,6 +11,8 @@ from tallygrid.llm.common import content, table
 from tallygrid.llm.exact_dedup import exact_dedup
 from tallygrid.llm.fingerprint import edited_likeness
 from tallygrid.llm.html_text import main_text
+from tallygrid.llm.license_scan import TEMPLATES, THRESHOLD, license_scan
+from tallygrid.llm.lm_scoring import log_probabilities
 from tallygrid.llm.near_dedup import near_dedup
 from tallygrid.llm.packing import pack, pieces
 from tallygrid.llm.quality import scored, train
@@ -79,3 +81,84 @@ def op5_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_wrapper_text")
 def op4_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op10_context_mixing")
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_probabilities(table(spark, sf_dir, "documents"))
+
+
+_TEMPLATE_ROWS = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES.items())
+LICENSE_SQL = rf"""
+WITH templates(license, body) AS (VALUES {_TEMPLATE_ROWS}),
+files AS (
+  SELECT doc_id, coalesce(text, '') AS body,
+    concat_ws('/', source, CASE WHEN doc_id % 3 > 0 THEN lang END, CASE WHEN doc_id % 3 > 1 THEN (doc_id // 64)::VARCHAR END,
+      doc_id::VARCHAR || '.txt') AS path
+  FROM documents
+),
+template_tokens AS (
+  SELECT license, token, count(*) AS tf
+  FROM (SELECT license, unnest(string_split_regex(lower(body), '[^a-z0-9]+')) AS token FROM templates) WHERE token <> '' GROUP BY ALL
+),
+df AS (
+  SELECT token, count(DISTINCT doc_id) AS n
+  FROM (SELECT doc_id, unnest(string_split_regex(lower(body), '[^a-z0-9]+')) AS token FROM files)
+  WHERE token IN (SELECT token FROM template_tokens) GROUP BY token
+),
+total AS (SELECT count(*) AS n FROM files),
+lines AS (
+  SELECT doc_id, generate_subscripts(parts, 1) - 1 AS line, unnest(parts) AS body
+  FROM (SELECT doc_id, string_split(body, chr(10)) AS parts FROM files)
+),
+line_tokens AS (
+  SELECT doc_id, line, token, count(*) AS tf
+  FROM (SELECT doc_id, line, unnest(string_split_regex(lower(body), '[^a-z0-9]+')) AS token FROM lines)
+  WHERE token <> '' GROUP BY ALL
+),
+vocabulary AS (SELECT DISTINCT token FROM template_tokens),
+idf AS (
+  SELECT v.token, ln((total.n + 1) / (coalesce(df.n, 0) + 1)) + 1 AS w FROM vocabulary v CROSS JOIN total LEFT JOIN df USING (token)
+),
+weighed AS (
+  SELECT doc_id, line, token, tf * coalesce(idf.w, (SELECT ln(n + 1) + 1 FROM total)) AS w FROM line_tokens LEFT JOIN idf USING (token)
+),
+norms AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
+template_weights AS (SELECT license, token, tf * w AS w FROM template_tokens JOIN idf USING (token)),
+template_norms AS (SELECT license, sqrt(sum(w * w)) AS norm FROM template_weights GROUP BY license),
+scores AS (
+  SELECT doc_id, line, license, round(sum(l.w * t.w) / (any_value(n.norm) * any_value(m.norm)), 6) AS score
+  FROM weighed l JOIN template_weights t USING (token) JOIN norms n USING (doc_id, line) JOIN template_norms m USING (license)
+  GROUP BY doc_id, line, license
+),
+own AS (
+  SELECT doc_id, line, license, score FROM scores WHERE score >= {THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, license) = 1
+),
+named AS (
+  SELECT f.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, own.line, own.license, own.score FROM files f LEFT JOIN own USING (doc_id)
+),
+dirs AS (
+  SELECT dir, license FROM named WHERE line = 0 QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) = 1
+),
+inherited AS (
+  SELECT n.doc_id, d.dir AS up, d.license FROM named n JOIN dirs d ON n.dir = d.dir OR starts_with(n.dir, d.dir || '/')
+  WHERE n.license IS NULL QUALIFY row_number() OVER (PARTITION BY n.doc_id ORDER BY length(d.dir) DESC) = 1
+)
+SELECT n.doc_id, path, n.license AS own_license, score AS own_score, coalesce(n.license, i.license) AS license, i.up AS license_dir
+FROM named n LEFT JOIN inherited i USING (doc_id)
+"""
+
+
+@query("op9_license_scan", LICENSE_SQL)
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of source/lang/block folders, at three depths; a licence in the first line speaks for its folder."""
+    path = F.concat_ws(
+        "/",
+        "source",
+        F.when(F.expr("doc_id % 3 > 0"), F.col("lang")),
+        F.when(F.expr("doc_id % 3 > 1"), F.expr("doc_id div 64").cast("string")),
+        F.concat(F.col("doc_id").cast("string"), F.lit(".txt")),
+    )
+    files = table(spark, sf_dir, "documents").withColumn("path", path)
+    return license_scan(files, "doc_id", "path", "text", F.col("line") == 0)
