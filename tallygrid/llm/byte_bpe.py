@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from tallygrid.llm.common import by_batch, small_batches
 
 #: Pieces and token pairs remembered by one Python worker; a memory is emptied when it is full.
-CACHED_PIECES = 600_000
+CACHED_PIECES = 1_000_000
 CACHED_PAIRS = 2_000_000
 #: What the pattern's \s means to the encoder: Unicode's White_Space, without the ASCII separators that Python adds.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
