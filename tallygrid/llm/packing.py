@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +20,21 @@ CAPACITY = 2048
 #: Put after each document.
 END_ID = 0
 #: Words remembered by one Python worker; the memory is emptied when it is full.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 #: Groups into which the rows of one length are split for ranking.
 BUCKETS = 256
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write visible Latin-1 characters as themselves and the other bytes as U+0100 and on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class WordIds(dict):
     """Ids of each white-space separated word as little-endian unsigned 32-bit bytes.
 
@@ -36,8 +48,12 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def of_word(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        text = word.decode("utf-8")
+        if text.isalpha() and text == text.lower() and is_normalized("NFC", text):
+            # nothing to normalise or to split: the merges alone, on the letters that stand for the bytes
+            found = self.tokenizer.model.tokenize(word.decode("latin-1").translate(BYTE_LETTERS))
+            return array("I", [t.id for t in found]).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHED_WORDS:
