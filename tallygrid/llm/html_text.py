@@ -17,6 +17,8 @@ from tallygrid.llm.common import by_batch, small_batches, stored
 LEAST_PAGES, TEMPLATE_SHARE = 5, 0.6
 #: Page structures aligned into one wrapper; a host with more gets several wrappers.
 STRUCTURES = 512
+#: Wrappers of at most so many slots and texts together are sent to every task; larger ones are joined.
+BROADCAST_ENTRIES = 1_000_000
 
 # Element names and conventional class names of the web.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas"}
@@ -309,8 +311,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     aligned = stored(
         kinds.groupBy("host", "wrapper").applyInPandas(align, "host string, s long, wrapper long, slots array<int>"), "slots"
     )
-    texts = read.select("host", "s", F.xxhash64(F.col("blocks.text")).alias("page"), "blocks").dropDuplicates(["host", "s", "page"])
-    texts = texts.select("host", "s", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), F.xxhash64(b["text"]).alias("h"))))).alias("b"))
+    hashed = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), F.xxhash64(b["text"]).alias("h"))))
+    texts = read.select("host", "s", F.xxhash64(F.col("blocks.text")).alias("page"), hashed.alias("hashed"))
+    texts = texts.groupBy("host", "s", "page").agg(F.any_value("hashed").alias("hashed"))
+    texts = texts.select("host", "s", F.explode("hashed").alias("b"))
     slot = F.col("slots")[F.col("b.node")].alias("slot")
     counts = texts.groupBy("host", "s", "b").agg(F.count("*").alias("n"))
     by_text = counts.join(aligned, ["host", "s"]).groupBy("host", "wrapper", slot, F.col("b.h").alias("h")).agg(F.sum("n").alias("n"))
@@ -323,6 +327,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     # few: a slot has at most one text with more than half of its pages
     fixed = fixed.groupBy("host", "wrapper").agg(F.collect_set(F.struct("slot", "h")).alias("fixed"))
     template = aligned.join(fixed, ["host", "wrapper"]).select("host", "s", "slots", "fixed")
+    template = stored(template, "template")
+    entries = template.agg(F.sum(F.size("slots") + F.size("fixed") + 4)).first()[0] or 0
+    if entries <= BROADCAST_ENTRIES:
+        template = F.broadcast(template)
     marked = read.join(template, ["host", "s"], "left").withColumn(
         "blocks",
         F.transform(
