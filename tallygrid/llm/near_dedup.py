@@ -20,6 +20,8 @@ REGISTERS, BASE, RATE, TOP = 252, 1.001, 20.0, 2**16 - 1
 MISS = 1e-5
 #: Estimates are believed up to so many standard deviations.
 DEVIATIONS = 5
+#: Rows of a bucket that meet each other in one task.
+BLOCK = 256
 WIDTH, PERCENT = 5, 80
 
 _FACTORS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -90,31 +92,40 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     return by_batch(docs.select(F.col(id_col).cast("long").alias("id"), text_col), schema, run)
 
 
+def band_hashes(found: np.ndarray, count: int) -> np.ndarray:
+    """A hash for each of ``count`` bands of each sketch (row); the band's number is part of it."""
+    rows = REGISTERS // count
+    cut = found[:, : count * rows].reshape(-1, count, rows).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        band = np.broadcast_to(mixed(np.arange(1, count + 1, dtype=np.uint64)), cut.shape[:2]).copy()
+        for i in range(rows):
+            band = mixed(band * np.uint64(31) + cut[:, :, i])
+    return band.view(np.int64)
+
+
 def _bands(reps: DataFrame, rows: int) -> DataFrame:
-    """(band, id) for each band of each sketch; the band's number is part of its hash."""
+    """(band, id) for each band of each sketch."""
     count = REGISTERS // rows
 
     def run(batches: Iterator[pa.RecordBatch]):
-        place = mixed(np.arange(1, count + 1, dtype=np.uint64))
         for batch in batches:
             found = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, REGISTERS)
-            cut = found[:, : count * rows].reshape(-1, count, rows).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                band = np.broadcast_to(place, cut.shape[:2]).copy()
-                for i in range(rows):
-                    band = mixed(band * np.uint64(31) + cut[:, :, i])
-            yield {"band": band.reshape(-1).view(np.int64), "id": np.repeat(batch.column(0).to_numpy(), count)}
+            yield {"band": band_hashes(found, count).reshape(-1), "id": np.repeat(batch.column(0).to_numpy(), count)}
 
     return by_batch(reps.select("id", "sketch"), "band long, id long", run)
 
 
+def _most_different(similarity: float) -> int:
+    """Of one bit of each register, as many differ at most at this similarity."""
+    p = (1 - similarity) / 2
+    return int(REGISTERS * p + DEVIATIONS * sqrt(REGISTERS * p * (1 - p))) + 1
+
+
 def _alike(similarity: float) -> Column:
     """Whether sizes and one bit of each register allow the similarity, for rows (n, bits) and (n2, bits2)."""
     differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(4)), F.lit(0))
-    p = (1 - similarity) / 2
-    most = REGISTERS * p + DEVIATIONS * sqrt(REGISTERS * p * (1 - p))
     sizes = F.least("n", "n2") >= F.greatest("n", "n2") * similarity - 1e-6
-    return sizes & (differ <= int(most) + 1)
+    return sizes & (differ <= _most_different(similarity))
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
@@ -163,6 +174,95 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return by_batch(rows.select("a", "b", "t_a", "t_b"), "a long, b long", run)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of one (band, low, high), which follow each other."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][:3] != row[:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _met_in_blocks(open_rows: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between members of a bucket that are not yet in one component.
+
+    A text travels once for each such bucket and not once for each pair. The members of a bucket are dealt into chunks of
+    about BLOCK rows, and each two chunks meet in a block of their own. A pair that shares several buckets is met in the
+    first of them only.
+    """
+    similarity = percent / 100
+    count = REGISTERS // rows_per_band(similarity)
+    most = _most_different(similarity)
+    least = similarity - DEVIATIONS * sqrt(similarity * (1 - similarity) / REGISTERS)
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    rows = open_rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", other)
+    low, high = F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")
+    rows = rows.select("band", low, high, "chunk", "id", "component", "n", "bits")
+    parts = int(open_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "band", "low", "high").sortWithinPartitions("band", "low", "high", "id")
+
+    def partners(i: int, chunk, key, component, n, inside: bool) -> np.ndarray:
+        """Rows after row i that are to meet it, as far as sizes, chunks and components tell."""
+        j = np.arange(i + 1, len(key))
+        j = j[(component[j] != component[i]) & (key[j] != key[i]) & ((chunk[j] != chunk[i]) | inside)]
+        return j[np.minimum(n[j], n[i]) >= np.maximum(n[j], n[i]) * similarity - 1e-6]
+
+    def possible(rows: list[tuple]) -> dict[str, list]:
+        """The rows that have a partner by one bit of each register; only these need their texts."""
+        chunk, key, component, n = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6))
+        bits = np.array([r[7] for r in rows], np.int64).view(np.uint64)
+        wanted = np.zeros(len(rows), bool)
+        for i in range(len(rows) - 1):
+            j = partners(i, chunk, key, component, n, rows[0][1] == rows[0][2])
+            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64) <= most]
+            wanted[j] = True
+            wanted[i] |= bool(len(j))
+        kept = [r[:7] for r, w in zip(rows, wanted, strict=True) if w]
+        return dict(zip(names, map(list, zip(*kept, strict=True)), strict=True)) if kept else {c: [] for c in names}
+
+    names = ["band", "low", "high", "chunk", "id", "component", "n"]
+    schema = "band long, low int, high int, chunk int, id long, component long, n long"
+    wanted = stored(by_batch(in_blocks(rows), schema, lambda batches: map(possible, _blocks(batches))), "wanted")
+    ids = wanted.select("id").distinct()
+    payload = reps.select("id", "sketch").join(texts.join(ids, "id", "left_semi"), "id")
+    rows = in_blocks(wanted.join(payload, "id").select(*names, "sketch", "text"))
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        band, low, high = rows[0][:3]
+        chunk, key, component, n = (np.array([r[i] for r in rows]) for i in (3, 4, 5, 6))
+        found = np.frombuffer(b"".join(r[7] for r in rows), "<u2").reshape(-1, REGISTERS)
+        bands = band_hashes(found, count)
+        known: dict[int, np.ndarray] = {}
+        out = []
+        for i in range(len(rows) - 1):
+            j = partners(i, chunk, key, component, n, low == high)
+            if len(j):
+                j = j[bands[i][(bands[j] == bands[i]).argmax(1)] == band]
+            if len(j):
+                one = np.broadcast_to(found[i], (len(j), REGISTERS))
+                j = j[estimate(one, found[j], np.full(len(j), n[i]), n[j]) >= least]
+            for k in (i, *j) if len(j) else ():
+                if k not in known:
+                    known[k] = shingle_hashes(word_hashes(rows[k][8].encode()), width)
+            for k in j:
+                both = len(np.intersect1d(known[i], known[k], assume_unique=True))
+                if both and 100 * both >= percent * (len(known[i]) + len(known[k]) - both):
+                    out.append((int(key[i]), int(key[k])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for found in map(links, _blocks(batches)):
+            yield {"a": [x for x, _ in found], "b": [x for _, x in found]}
+
+    return by_batch(rows, "a long, b long", run)
+
+
 def near_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
@@ -183,7 +283,7 @@ def near_dedup(
     reps = seen.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min(F.struct("id", "n", "bits", "sketch")).alias("r"))
     reps = stored(reps.select("key", "r.*"), "classes")
     bands = _bands(reps, rows_per_band(similarity))
-    pivot = F.min(F.struct(F.xxhash64("band", "id").alias("order"), F.col("id")))
+    pivot = F.min(F.struct(F.xxhash64("id").alias("order"), F.col("id")))
     shared = bands.groupBy("band").agg(F.count("*").alias("members"), pivot.alias("first")).where("members > 1")
     members = bands.join(shared.select("band", F.col("first.id").alias("pivot")), "band")
     form = reps.select("id", "n", "bits")
@@ -204,15 +304,11 @@ def near_dedup(
     labelled = members.join(components(first), "id", "left").select(
         "band", "id", "n", "bits", F.coalesce("component", "id").alias("component")
     )
-    mixed_bands = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_rows = stored(labelled.join(mixed_bands.select("band"), "band", "left_semi"), "open")
-    twin = open_rows.select(
-        "band", *[F.col(c).alias(c + "2") for c in ("id", "n", "bits", "component")]
-    )
-    rest = open_rows.join(twin, "band").where(
-        (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & _alike(similarity)
+    mixed_bands = labelled.groupBy("band").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")
     )
-    second = links(rest.select(F.col("id").alias("a"), F.col("id2").alias("b")))
+    open_rows = stored(labelled.join(mixed_bands.where("lo < hi").select("band", "chunks"), "band"), "open")
+    second = stored(_met_in_blocks(open_rows, reps, texts, width, percent), "links")
     found = components(first.unionByName(second)).withColumnRenamed("id", "rep")
     classes = seen.where("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"))
     placed = seen.select("id", "key", "n").join(classes, "key", "left").join(found, "rep", "left")
