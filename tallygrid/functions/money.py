@@ -53,13 +53,13 @@ def less_percent(amount: Column | str, percent: Column | str) -> Column:
 
 
 def ratio(numerator: Column | str, denominator: Column | str, digits: int = 4, empty: float = 0.0) -> Column:
-    """Double quotient, ``empty`` when the denominator is 0 or NULL."""
-    quotient = F.try_divide(col(numerator).cast("double"), col(denominator).cast("double"))
-    return F.round(F.coalesce(quotient, F.lit(empty)), digits)
+    """Quotient of decimals, rounded half up and given as a double; ``empty`` when the denominator is 0 or NULL."""
+    quotient = F.try_divide(col(numerator).cast("decimal(24,4)"), col(denominator).cast("decimal(20,4)"))
+    return F.coalesce(F.round(quotient, digits).cast("double"), F.lit(empty))
 
 
 def percentage(part: Column | str, whole: Column | str, digits: int = 4) -> Column:
-    return ratio(col(part).cast("double") * 100.0, whole, digits)
+    return ratio(col(part).cast("decimal(22,4)") * 100, whole, digits)
 
 
 def convert_uom(qty: Column | str, factor_from: Column | str, factor_to: Column | str, digits: int = 4) -> Column:

@@ -18,10 +18,7 @@ from tallygrid.functions.labels import CONFIRMED, QUOTATION, named, state_label,
 from tallygrid.functions.money import percentage, ratio, sum_when, total, zero_if_null
 from tallygrid.plans.ranking import TOP_LIMIT, top_n_with_others
 
-# Dashboard limits and refresh choices (milliseconds).
-ORDER_LIST_LIMIT = 500
-LOW_MARGIN_LIMIT = 5
-OPTION_LIMITS = {"teams": 80, "salespeople": 80, "products": 250, "partners": 250}
+# Refresh choices (milliseconds).
 REFRESH_CHOICES = (0, 15000, 30000, 60000, 300000)
 # Alert thresholds.
 STACKING_FACTOR, MIN_ORDERS, LOW_WIN_RATE, LOW_ACHIEVEMENT, LOW_MARGIN_RATE = 1.5, 3, 35, 60, 15
@@ -193,10 +190,16 @@ def weekday_heatmap(base: DataFrame) -> DataFrame:
 
 
 def _labelled(groups: DataFrame, key: str, names: DataFrame, label: Column, measures: Sequence[str]) -> DataFrame:
-    """Attach names after aggregation, when one row per group is left."""
-    return groups.join(names, groups[key] == names["id"], "left").select(
+    """Attach names after aggregation, when one row per group is left; groups without a name become one."""
+    shown = groups.join(names, groups[key] == names["id"], "left").select(
         F.coalesce(names["id"], F.lit(0)).alias("record_id"), label.alias("label"), *measures
     )
+    return shown.groupBy("record_id", "label").agg(*[F.sum(m).alias(m) for m in measures])
+
+
+def _first(rows: DataFrame, limit: int | None, *order: Column | str) -> DataFrame:
+    """All rows without a limit, else the first ones in this order."""
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
 
 
 def by_team(base: DataFrame, teams: DataFrame, lang: str = "en_US") -> DataFrame:
@@ -250,7 +253,7 @@ def top_categories(sold: DataFrame, products: DataFrame) -> DataFrame:
     return top_n_with_others(by_category(sold, products), ["value"])
 
 
-def pivot_summary(base: DataFrame, teams: DataFrame, lang: str = "en_US", limit: int = TOP_LIMIT) -> DataFrame:
+def pivot_summary(base: DataFrame, teams: DataFrame, lang: str = "en_US", limit: int | None = None) -> DataFrame:
     confirmed, quoted = F.col("state").isin(*CONFIRMED), F.col("state").isin(*QUOTATION)
     groups = base.groupBy("team_id").agg(
         F.count_if(quoted).alias("quotations"),
@@ -260,12 +263,10 @@ def pivot_summary(base: DataFrame, teams: DataFrame, lang: str = "en_US", limit:
     named_groups = _labelled(
         groups, "team_id", teams.select("id", "names"), translated("names", lang, "No Team"), ["quotations", "confirmed_orders", "revenue"]
     )
-    return (
-        named_groups.withColumn("average_order_value", ratio("revenue", "confirmed_orders"))
-        .withColumn("conversion", percentage("confirmed_orders", F.col("confirmed_orders") + F.col("quotations")))
-        .orderBy(F.desc("revenue"), "record_id")
-        .limit(limit)
+    rated = named_groups.withColumn("average_order_value", ratio("revenue", "confirmed_orders")).withColumn(
+        "conversion", percentage("confirmed_orders", F.col("confirmed_orders") + F.col("quotations"))
     )
+    return _first(rated, limit, F.desc("revenue"), "record_id")
 
 
 # -- margin -------------------------------------------------------------------------------
@@ -299,17 +300,15 @@ def margin_by_customer(sold: DataFrame, partners: DataFrame, limit: int = TOP_LI
     return _labelled(head, "partner_id", partners.select("id", "name"), named("name", "No Customer"), ["value"])
 
 
-def low_margin_orders(sold: DataFrame, limit: int = LOW_MARGIN_LIMIT) -> DataFrame:
-    """Orders with revenue, smallest margin first."""
+def low_margin_orders(sold: DataFrame, limit: int | None = None) -> DataFrame:
+    """Orders with revenue; with a limit those of the smallest margin."""
     groups = (
         with_margin(sold)
         .groupBy("order_id", "name")
         .agg(total("price_subtotal").alias("revenue"), total("margin").alias("margin_amount"))
         .filter(F.col("revenue") > 0)
-        .orderBy("margin_amount", "order_id")
-        .limit(limit)
     )
-    return groups.select(
+    return _first(groups, limit, "margin_amount", "order_id").select(
         F.col("order_id").alias("record_id"),
         F.col("name").alias("label"),
         "revenue",
@@ -355,8 +354,8 @@ def target_lines(targets: DataFrame, base: DataFrame, flt: SalesFilter) -> DataF
     )
 
 
-def target_progress(lines: DataFrame, limit: int = TOP_LIMIT) -> DataFrame:
-    return lines.orderBy(F.desc("achievement"), "key").limit(limit)
+def target_progress(lines: DataFrame, limit: int | None = None) -> DataFrame:
+    return _first(lines, limit, F.desc("achievement"), "key")
 
 
 def target_overall(lines: DataFrame) -> DataFrame:
@@ -436,9 +435,9 @@ def dashboard_alerts(row: DataFrame) -> DataFrame:
 # -- lists --------------------------------------------------------------------------------
 
 
-def recent_orders(orders: DataFrame, partners: DataFrame, teams: DataFrame, users: DataFrame, lang: str = "en_US", limit: int = ORDER_LIST_LIMIT) -> DataFrame:
-    """Newest orders with names; the limit runs before the name joins."""
-    head = orders.orderBy(F.desc("date_order"), F.desc("id")).limit(limit)
+def recent_orders(orders: DataFrame, partners: DataFrame, teams: DataFrame, users: DataFrame, lang: str = "en_US", limit: int | None = None) -> DataFrame:
+    """Orders with names; with a limit the newest, picked before the name joins."""
+    head = _first(orders, limit, F.desc("date_order"), F.desc("id"))
     p = partners.select(F.col("id").alias("partner_id"), F.col("name").alias("_partner"))
     t = teams.select(F.col("id").alias("team_id"), "names")
     u = users.select(F.col("id").alias("user_id"), F.col("name").alias("_user"))
@@ -470,8 +469,8 @@ def orders_grouped(listed: DataFrame, by: str = "none") -> DataFrame:
     )
 
 
-def filter_options(teams: DataFrame, users: DataFrame, products: DataFrame, partners: DataFrame, lang: str = "en_US") -> DataFrame:
-    """The choices offered in the filter bar, each list ordered by name and limited."""
+def filter_options(teams: DataFrame, users: DataFrame, products: DataFrame, partners: DataFrame, lang: str = "en_US", limits: dict[str, int] | None = None) -> DataFrame:
+    """The choices offered in the filter bar; ``limits`` names the lists (kind) of which only the first by name are wanted."""
     lists = {
         "teams": teams.select("id", translated("names", lang, "").alias("name")),
         "salespeople": users.select("id", "name"),
@@ -479,7 +478,7 @@ def filter_options(teams: DataFrame, users: DataFrame, products: DataFrame, part
         "partners": partners.select("id", "name"),
     }
     parts = [
-        df.orderBy("name", "id").limit(OPTION_LIMITS[kind]).select(F.lit(kind).alias("kind"), "id", "name")
+        _first(df, (limits or {}).get(kind), "name", "id").select(F.lit(kind).alias("kind"), "id", "name")
         for kind, df in lists.items()
     ]
     out = parts[0]

@@ -117,9 +117,10 @@ def qty_procured(lines: DataFrame, moves: DataFrame, uoms: DataFrame, keep: Sequ
 
 
 def has_pending_delivery(procured: DataFrame, orders: DataFrame) -> DataFrame:
+    """Every order, whatever its state; without lines nothing is pending. Pass ``procured`` without services."""
     pending = procured.groupBy("order_id").agg(F.bool_or(F.col("qty_to_procure") > 0).alias("pending"))
-    return orders.select(F.col("id").alias("order_id"), "state").join(pending, "order_id").withColumn(
-        "pending", F.col("pending") & F.col("state").isin("sale", "done")
+    return orders.select(F.col("id").alias("order_id"), "state").join(pending, "order_id", "left").withColumn(
+        "pending", F.coalesce("pending", F.lit(False))
     )
 
 

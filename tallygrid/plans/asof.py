@@ -65,5 +65,5 @@ def convert_currency(facts: DataFrame, rates: DataFrame, amount: str, source: st
     to_rates = rates.withColumnRenamed("currency_id", target).withColumnRenamed("rate", "_rate_to")
     step = asof_join(facts, from_rates, [source], day, ["_rate_from"])
     step = asof_join(step, to_rates, [target], day, ["_rate_to"])
-    factor = (F.col("_rate_to") / F.col("_rate_from")).cast("decimal(14,6)")
-    return step.withColumn(out, F.round(F.col(amount) * factor, 2).cast("decimal(18,2)")).drop("_rate_from", "_rate_to")
+    exact = F.col(amount) * F.col("_rate_to") / F.col("_rate_from")
+    return step.withColumn(out, F.round(exact, 2).cast("decimal(18,2)")).drop("_rate_from", "_rate_to")

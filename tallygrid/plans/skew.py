@@ -28,7 +28,7 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums of ``totals`` (name → value) inside ``keys`` by ``order``.
 
-    ``bucket`` must be non-null and the leading part of ``order``. Bucket sums are small and get
+    ``bucket`` must be the leading part of ``order``; null keys and buckets are groups of their own, a null bucket the first. Bucket sums are small and get
     the only window over a whole group; rows are windowed per (keys, bucket).
     """
     keys = list(keys)
@@ -43,9 +43,11 @@ def running_totals(
     )
     inside = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = df.select("*", *[F.sum(value).over(inside).alias(f"_{n}_local") for n, value in totals.items()])
-    joined = local.join(offsets, [*keys, bucket])
+    offsets = offsets.select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, bucket)], *[f"_{n}_before" for n in totals])
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, bucket)]
+    joined = local.join(offsets, same)
     return joined.select(
-        *[joined[c] for c in df.columns],
+        *df.columns,
         *[(F.coalesce(F.col(f"_{n}_local"), F.lit(0)) + F.col(f"_{n}_before")).alias(n) for n in totals],
     )
 

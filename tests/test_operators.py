@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import pairs
 from tallygrid.functions.dates import Window, period_end, period_start
 from tallygrid.operators import blanket, checks, commission, dashboard, discounts, fulfilment, invoicing, lines, promotion
-from tallygrid.plans.asof import asof_join
+from tallygrid.plans.asof import asof_join, convert_currency
 from tallygrid.plans.ranking import top_n_with_others
 from tallygrid.plans.skew import numbered, running_totals
 from tallygrid.sources import sinks
@@ -218,3 +218,18 @@ def test_stream_over_many_batches_equals_batch(spark, tmp_path):
     got = {r.day: (r.revenue, r.orders) for r in jobs.latest_per_key(spark, out, ["day"]).collect()}
     want = events.filter("event_type = 'purchase'").groupBy(F.to_date("ts").alias("day")).agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("r"), F.count("*").alias("n"))
     assert got == {r.day: (r.r, r.n) for r in want.collect()}
+
+
+def test_null_buckets_and_keys_keep_their_rows(spark):
+    rows = [(1, None, 5), (1, 2, 7), (None, 1, 3)]
+    frame = spark.createDataFrame(rows, "k int, seq int, v int")
+    found = running_totals(frame, ["k"], "seq", [F.col("seq")], {"run": F.col("v")}).collect()
+    assert sorted((r["v"], r["run"]) for r in found) == [(3, 3), (5, 5), (7, 12)]
+
+
+def test_currency_is_converted_before_rounding(spark):
+    day = date(2024, 1, 2)
+    rates = spark.createDataFrame([(1, 1, day, D("3")), (2, 2, day, D("1")), (3, 3, day, D("100000")), (4, 4, day, D("0.7"))], "id long, currency_id long, date date, rate decimal(12,6)")
+    facts = spark.createDataFrame([(D("1000000.00"), 1, 2, day), (D("90000000000.00"), 3, 4, day)], "a decimal(18,2), src long, dst long, day date")
+    found = {r["a"]: r["out"] for r in convert_currency(facts, rates, "a", "src", "dst", "day", "out").collect()}
+    assert found == {D("1000000.00"): D("333333.33"), D("90000000000.00"): D("630000.00")}

@@ -20,6 +20,7 @@ from tallygrid.sources import sinks
 from tallygrid.sources.rules import rows
 from tallygrid.sources.star import Star
 from workload.fulfilment import SQL_PLAN, SQL_SHEET, plans, sheet_lines, stated
+from workload.prelude import ratio_sql
 from workload.registry import query
 
 # -- sources, sinks, backfills ------------------------------------------------------------
@@ -524,16 +525,16 @@ for _name in ("discount_analytics", "union_all_analytics"):
         return rp.discount_analytics(s.orders().withColumn("discount_amount", rate), s.invoices().withColumn("discount_amount", rate))
 
 
-@query("salesperson_report", """, z AS (SELECT o.*, u.id AS uid, coalesce(o.team_id = u.id % 3, FALSE) AS ins, r.n AS rn FROM sale_order o JOIN users u ON u.id = o.user_id LEFT JOIN (SELECT order_id, count(*) AS n FROM stock_move WHERE is_return GROUP BY 1) r ON r.order_id = o.id), tot AS (SELECT count(*) AS n FROM sale_order)
+@query("salesperson_report", f""", z AS (SELECT o.*, u.id AS uid, coalesce(o.team_id = u.id % 3, FALSE) AS ins, r.n AS rn FROM sale_order o JOIN users u ON u.id = o.user_id LEFT JOIN (SELECT order_id, count(*) AS n FROM stock_move WHERE is_return GROUP BY 1) r ON r.order_id = o.id), tot AS (SELECT count(*) AS n FROM sale_order)
 SELECT uid AS user_id, count(*) FILTER (ins) AS total_orders, count(*) FILTER (ins AND state = 'sale') AS orders_done, coalesce(sum(amount_total) FILTER (ins AND state = 'sale'), 0)::DOUBLE AS net_revenue, coalesce(sum(amount_total) FILTER (ins), 0)::DOUBLE AS estimated_revenue, coalesce(sum(coalesce(rn, 0)) FILTER (ins), 0)::BIGINT AS returned_orders,
- round(coalesce(sum(amount_total) FILTER (ins)::DOUBLE / nullif(count(*) FILTER (ins), 0), 0), 4) AS avg_price, round(count(*) FILTER (ins) * 100.0::DOUBLE / any_value(tot.n), 4) AS overall_performance, round(count(*) FILTER (NOT ins) * 100.0::DOUBLE / any_value(tot.n), 4) AS overall_elsewhere FROM z, tot GROUP BY uid""")
+ {ratio_sql("sum(amount_total) FILTER (ins)", "count(*) FILTER (ins)")} AS avg_price, {ratio_sql("count(*) FILTER (ins) * 100", "any_value(tot.n)")} AS overall_performance, {ratio_sql("count(*) FILTER (NOT ins) * 100", "any_value(tot.n)")} AS overall_elsewhere FROM z, tot GROUP BY uid""")
 def _(s):
     back = s.stock_moves().filter("is_return").select("order_id")
     return rp.salesperson_report(s.orders(), back, s.users(), F.col("user_id") % 3)
 
 
-@query("product_report", """, z AS (SELECT p.template_id, count(*) AS n, sum(qty) AS q, sum(qty_delivered) AS d, sum(price_unit) AS pu, sum(price_subtotal) AS r FROM sale_order_line l JOIN product p ON p.id = l.product_id GROUP BY 1), b AS (SELECT p.template_id, sum(quantity) AS b FROM stock_move m JOIN product p ON p.id = m.product_id WHERE is_return AND m.product_id IN (SELECT product_id FROM sale_order_line) GROUP BY 1)
-SELECT template_id, n AS total_lines, q::DOUBLE AS ordered_qty, d::DOUBLE AS delivered_qty, coalesce(b, 0)::DOUBLE AS returned_qty, r::DOUBLE AS revenue, round(pu::DOUBLE / n, 8) AS avg_price, round(q::DOUBLE / n, 8) AS avg_ordered, round(d::DOUBLE / n, 8) AS avg_delivered FROM z LEFT JOIN b USING (template_id)""")
+@query("product_report", f""", z AS (SELECT p.template_id, count(*) AS n, sum(qty) AS q, sum(qty_delivered) AS d, sum(price_unit) AS pu, sum(price_subtotal) AS r FROM sale_order_line l JOIN product p ON p.id = l.product_id GROUP BY 1), b AS (SELECT p.template_id, sum(quantity) AS b FROM stock_move m JOIN product p ON p.id = m.product_id WHERE is_return AND m.product_id IN (SELECT product_id FROM sale_order_line) GROUP BY 1)
+SELECT template_id, n AS total_lines, q::DOUBLE AS ordered_qty, d::DOUBLE AS delivered_qty, coalesce(b, 0)::DOUBLE AS returned_qty, r::DOUBLE AS revenue, {ratio_sql("pu", "n", 8)} AS avg_price, {ratio_sql("q", "n", 8)} AS avg_ordered, {ratio_sql("d", "n", 8)} AS avg_delivered FROM z LEFT JOIN b USING (template_id)""")
 def _(s):
     return rp.product_report(s.lines(), s.stock_moves().filter("is_return"), s.products()).withColumn("total_lines", F.col("total_lines").cast("bigint"))
 

@@ -14,6 +14,7 @@ from tallygrid.plans import payload
 from tallygrid.plans.ranking import top_n_with_others
 from tallygrid.sources.rules import rows
 from tallygrid.sources.star import Star
+from workload.prelude import ratio_sql
 from workload.registry import query
 
 YEAR = d.SalesFilter(Window(date(1997, 1, 1), date(1997, 12, 31)), (0, 1, 2, 3))
@@ -36,13 +37,13 @@ TARGETS = [
     for owner in range(0, 9)
     for m in (1, 6, 12)
 ]
-SQL_TARGETS = SQL_BASE + """
+SQL_TARGETS = SQL_BASE + f"""
 , target AS (SELECT c AS company_id, s AS scope, CAST(o AS BIGINT) AS owner_id, m AS month, CAST(20000 * (o + 1) AS DECIMAL(18,2)) AS amount
   FROM (VALUES (0),(1)) a(c), (VALUES ('team'),('user')) b(s), range(0, 9) r(o), (VALUES (1),(6),(12)) e(m) WHERE o % 4 <> 3),
 plan AS (SELECT scope, owner_id, sum(amount) AS target_amount FROM target GROUP BY ALL),
 actual AS (SELECT 'team' AS scope, team_id AS owner_id, sum(amount) AS v FROM c GROUP BY ALL UNION ALL SELECT 'user', user_id, sum(amount) FROM c GROUP BY ALL),
 tl AS (SELECT scope || '_' || p.owner_id AS key, scope AS owner_type, owner_id AS record_id, target_amount::DOUBLE AS target_amount, coalesce(v, 0)::DOUBLE AS actual_amount,
-  round(coalesce(v, 0)::DOUBLE * 100.0 / target_amount::DOUBLE, 4) AS achievement FROM plan p LEFT JOIN actual a USING (scope, owner_id))
+  {ratio_sql("coalesce(v, 0) * 100", "target_amount")} AS achievement FROM plan p LEFT JOIN actual a USING (scope, owner_id))
 """
 
 
@@ -271,15 +272,15 @@ def _(s):
 
 @query(
     "pivot_summary",
-    SQL_BASE + """, g AS (SELECT coalesce(t.id, 0) AS record_id, coalesce(nullif(name_en, ''), 'No Team') AS label, count(*) FILTER (state IN ('draft','sent')) AS quotations,
- count(*) FILTER (state IN ('sale','done')) AS confirmed_orders, coalesce(sum(amount) FILTER (state IN ('sale','done')), 0)::DOUBLE AS revenue FROM f LEFT JOIN team t ON t.id = team_id GROUP BY t.id, name_en)
-SELECT *, round(coalesce(revenue / nullif(confirmed_orders, 0), 0), 4) AS average_order_value, round(coalesce(confirmed_orders * 100.0::DOUBLE / nullif(confirmed_orders + quotations, 0), 0), 4) AS conversion FROM g ORDER BY revenue DESC, record_id LIMIT 10""",
+    SQL_BASE + f""", g AS (SELECT coalesce(t.id, 0) AS record_id, coalesce(nullif(name_en, ''), 'No Team') AS label, count(*) FILTER (state IN ('draft','sent')) AS quotations,
+ count(*) FILTER (state IN ('sale','done')) AS confirmed_orders, coalesce(sum(amount) FILTER (state IN ('sale','done')), 0) AS rev FROM f LEFT JOIN team t ON t.id = team_id GROUP BY t.id, name_en)
+SELECT * EXCLUDE (rev), rev::DOUBLE AS revenue, {ratio_sql("rev", "confirmed_orders")} AS average_order_value, {ratio_sql("confirmed_orders * 100", "confirmed_orders + quotations")} AS conversion FROM g""",
 )
 def _(s):
     return d.pivot_summary(_base(s), s.teams())
 
 
-@query("profitability", SQL_BASE + "SELECT sum(price_subtotal)::DOUBLE AS revenue, sum(round(price_subtotal - purchase_price * qty, 2))::DOUBLE AS margin_amount, round(sum(round(price_subtotal - purchase_price * qty, 2))::DOUBLE * 100.0 / sum(price_subtotal)::DOUBLE, 4) AS margin_rate FROM cl")
+@query("profitability", SQL_BASE + "SELECT sum(price_subtotal)::DOUBLE AS revenue, sum(round(price_subtotal - purchase_price * qty, 2))::DOUBLE AS margin_amount, " + ratio_sql("sum(round(price_subtotal - purchase_price * qty, 2)) * 100", "sum(price_subtotal)") + " AS margin_rate FROM cl")
 def _(s):
     return d.profitability(_sold(s))
 
@@ -299,31 +300,31 @@ def _(s):
     return d.margin_by_customer(_sold(s), s.partners())
 
 
-@query("low_margin_orders", SQL_BASE + ", g AS (SELECT order_id AS record_id, order_name AS label, sum(price_subtotal)::DOUBLE AS revenue, sum(round(price_subtotal - purchase_price * qty, 2)) AS m FROM cl GROUP BY ALL HAVING sum(price_subtotal) > 0) SELECT record_id, label, revenue, m::DOUBLE AS margin_amount, round(m::DOUBLE * 100.0 / revenue, 4) AS margin_rate FROM g ORDER BY m, record_id LIMIT 5")
+@query("low_margin_orders", SQL_BASE + ", g AS (SELECT order_id AS record_id, order_name AS label, sum(price_subtotal) AS rev, sum(round(price_subtotal - purchase_price * qty, 2)) AS m FROM cl GROUP BY ALL HAVING sum(price_subtotal) > 0) SELECT record_id, label, rev::DOUBLE AS revenue, m::DOUBLE AS margin_amount, " + ratio_sql("m * 100", "rev") + " AS margin_rate FROM g")
 def _(s):
     return d.low_margin_orders(_sold(s))
 
 
-@query("target_progress", SQL_TARGETS + "SELECT * FROM tl ORDER BY achievement DESC, key LIMIT 10")
+@query("target_progress", SQL_TARGETS + "SELECT * FROM tl")
 def _(s):
     return d.target_progress(d.target_lines(_targets(s), _base(s), YEAR))
 
 
-@query("recent_orders", SQL_BASE + "SELECT f.id, f.name, strftime(date_order, '%Y-%m-%d %H:%M') AS date_order, state, coalesce(nullif(name_en, ''), 'No Team') AS team_name, p.name AS partner_name, coalesce(u.name, 'No Salesperson') AS salesperson_name, amount_total::DOUBLE AS amount_total, amount_untaxed::DOUBLE AS amount_untaxed FROM f LEFT JOIN team t ON t.id = f.team_id LEFT JOIN partner p ON p.id = f.partner_id LEFT JOIN users u ON u.id = f.user_id ORDER BY f.date_order DESC, f.id DESC LIMIT 500")
+@query("recent_orders", SQL_BASE + "SELECT f.id, f.name, strftime(date_order, '%Y-%m-%d %H:%M') AS date_order, state, coalesce(nullif(name_en, ''), 'No Team') AS team_name, p.name AS partner_name, coalesce(u.name, 'No Salesperson') AS salesperson_name, amount_total::DOUBLE AS amount_total, amount_untaxed::DOUBLE AS amount_untaxed FROM f LEFT JOIN team t ON t.id = f.team_id LEFT JOIN partner p ON p.id = f.partner_id LEFT JOIN users u ON u.id = f.user_id")
 def _(s):
     return d.recent_orders(d.order_filter(s.orders(), YEAR), s.partners(), s.teams(), s.users())
 
 
-@query("orders_grouped", SQL_BASE + "SELECT strftime(date_order, '%Y-%m') AS group_label, count(*) AS orders_count, sum(amount_total)::DOUBLE AS amount_total FROM (SELECT * FROM f ORDER BY date_order DESC, id DESC LIMIT 500) GROUP BY 1")
+@query("orders_grouped", SQL_BASE + "SELECT strftime(date_order, '%Y-%m') AS group_label, count(*) AS orders_count, sum(amount_total)::DOUBLE AS amount_total FROM f GROUP BY 1")
 def _(s):
     return d.orders_grouped(d.recent_orders(d.order_filter(s.orders(), YEAR), s.partners(), s.teams(), s.users()), "month")
 
 
 @query(
     "filter_options",
-    """, o AS (SELECT 'teams' AS kind, id, coalesce(name_en, '') AS name, 80 AS n FROM team UNION ALL SELECT 'salespeople', id, name, 80 FROM users
- UNION ALL SELECT 'products', id, name, 250 FROM product WHERE sale_ok AND active UNION ALL SELECT 'partners', id, name, 250 FROM partner)
-SELECT kind, id, name FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY name, id) AS rk FROM o) WHERE rk <= n""",
+    """, o AS (SELECT 'teams' AS kind, id, coalesce(name_en, '') AS name FROM team UNION ALL SELECT 'salespeople', id, name FROM users
+ UNION ALL SELECT 'products', id, name FROM product WHERE sale_ok AND active UNION ALL SELECT 'partners', id, name FROM partner)
+SELECT kind, id, name FROM o""",
 )
 def _(s):
     return d.filter_options(s.teams(), s.users(), s.products(), s.partners())

@@ -15,6 +15,7 @@ from tallygrid.plans.asof import asof_join, asof_rate, convert_currency
 from tallygrid.sources.rules import rows
 from tallygrid.sources.star import Star
 from workload.pricing import SQL_UOM, uoms
+from workload.prelude import ratio_sql
 from workload.registry import query
 
 
@@ -85,9 +86,11 @@ def _(s):
     return f.qty_procured(s.keyed_lines(), s.stock_moves(), uoms(s))
 
 
-@query("has_pending_delivery", SQL_PROCURED + "SELECT o.id AS order_id, o.state, bool_or(tp > 0) AND o.state IN ('sale','done') AS pending FROM pq JOIN sale_order o ON o.id = pq.order_id GROUP BY o.id, o.state")
+@query("has_pending_delivery", SQL_PROCURED + "SELECT o.id AS order_id, o.state, coalesce(bool_or(tp > 0), FALSE) AS pending FROM sale_order o LEFT JOIN (SELECT pq.* FROM pq JOIN product p ON p.id = pq.product_id WHERE p.type <> 'service') pq ON o.id = pq.order_id GROUP BY o.id, o.state")
 def _(s):
-    return f.has_pending_delivery(f.qty_procured(s.keyed_lines(), s.stock_moves(), uoms(s)), s.orders())
+    goods = s.products().filter("type <> 'service'").select(F.col("id").alias("product_id"))
+    procured = f.qty_procured(s.keyed_lines(), s.stock_moves(), uoms(s)).join(goods, "product_id", "left_semi")
+    return f.has_pending_delivery(procured, s.orders())
 
 
 SQL_GROUPS = SQL_PROCURED + """
@@ -234,8 +237,8 @@ def rate_sql(cur: str, day: str) -> str:
 
 SQL_PAID = SQL_RATES + f"""
 , pay AS (SELECT o.id, o.currency_id AS oc, o.id % 2 + 1 AS pc, CAST(round(o.amount_total * CASE WHEN o.id % 4 = 1 THEN 0.3 ELSE 1.1 END, 2) AS DECIMAL(18,2)) AS amt, CAST(date_order AS DATE) + 2 AS d FROM sale_order o WHERE o.id % 4 IN (1, 2)),
-adv AS (SELECT id, sum(round(amt * CAST({rate_sql('oc', 'pay.d')} / {rate_sql('pc', 'pay.d')} AS DECIMAL(14,6)), 2)) AS a FROM pay GROUP BY 1),
-ip AS (SELECT order_id, sum(round((CASE WHEN move_type = 'out_refund' THEN -1 ELSE 1 END * amount_total - amount_residual) * CAST({rate_sql('order_currency_id', 'invoice.invoice_date')} / {rate_sql('invoice.currency_id', 'invoice.invoice_date')} AS DECIMAL(14,6)), 2)) AS p FROM invoice WHERE state <> 'cancel' GROUP BY 1)
+adv AS (SELECT id, sum({ratio_sql('amt * t', 'f', 2)}::DECIMAL(18,2)) AS a FROM (SELECT *, {rate_sql('oc', 'pay.d')} AS t, {rate_sql('pc', 'pay.d')} AS f FROM pay) GROUP BY 1),
+ip AS (SELECT order_id, sum({ratio_sql('(amt * t)', 'f', 2)}::DECIMAL(18,2)) AS p FROM (SELECT order_id, (CASE WHEN move_type = 'out_refund' THEN -1 ELSE 1 END * amount_total - amount_residual)::DECIMAL(18,2) AS amt, {rate_sql('order_currency_id', 'invoice.invoice_date')} AS t, {rate_sql('invoice.currency_id', 'invoice.invoice_date')} AS f FROM invoice WHERE state <> 'cancel') GROUP BY 1)
 """
 
 
@@ -250,7 +253,7 @@ def _(s):
     return i.advance_payment_status(s.orders(), payments, s.invoices(), rates(s))
 
 
-@query("currency_convert", SQL_RATES + f"SELECT id, round(amount_total * CAST({rate_sql('order_currency_id', 'invoice.invoice_date')} / {rate_sql('invoice.currency_id', 'invoice.invoice_date')} AS DECIMAL(14,6)), 2)::DOUBLE AS converted FROM invoice")
+@query("currency_convert", SQL_RATES + f"SELECT id, {ratio_sql('(amount_total * t)', 'f', 2)} AS converted FROM (SELECT *, {rate_sql('order_currency_id', 'invoice.invoice_date')} AS t, {rate_sql('invoice.currency_id', 'invoice.invoice_date')} AS f FROM invoice)")
 def _(s):
     return convert_currency(s.invoices(), rates(s), "amount_total", "currency_id", "order_currency_id", "invoice_date", "converted").select("id", "converted")
 

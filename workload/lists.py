@@ -71,11 +71,9 @@ def _(s):
     return pr.rule_prefix_join(s.categories(), price_rules(s)).select("categ_id", F.col("id").alias("rule_id"))
 
 
-@query("pricelist_lines", SQL_PRICE_RULES + "SELECT id, mn::DOUBLE AS min_quantity, cp AS compute_price, lines FROM pl_rule r JOIN (SELECT template_id, count(*) AS lines FROM cl GROUP BY 1) t ON t.template_id = r.node WHERE kind = 't' AND pricelist_id = 1")
+@query("pricelist_lines", SQL_PRICE_RULES + "SELECT id, mn::DOUBLE AS min_quantity, cp AS compute_price FROM pl_rule WHERE pricelist_id = 1")
 def _(s):
-    used = rule_lines(s).filter("display_type IS NULL").groupBy("template_id").agg(F.count("*").alias("lines"))
-    items = price_rules(s).filter("pricelist_id = 1").select("id", "min_quantity", "compute_price", F.col("global_product_tmpl_id").alias("template_id"))
-    return items.join(used, "template_id").drop("template_id")
+    return price_rules(s).filter("pricelist_id = 1").select("id", "min_quantity", "compute_price")
 
 
 # -- promotions ---------------------------------------------------------------------------

@@ -111,3 +111,9 @@ stock_move AS (
     CASE WHEN product_id % 4 = 0 THEN 3 ELSE 1 END, CAST(floor(qty / 2) AS DECIMAL(18,4)), 'internal', TRUE, product_id % 2 = 0
   FROM sale_order_line WHERE return_flag = 'R')
 """
+
+
+def ratio_sql(numerator: str, denominator: str, digits: int = 4) -> str:
+    """Quotient of exact numbers (up to eight decimals) in whole numbers, one half-up rounding; 0 without a denominator."""
+    n, d = f"CAST(abs({numerator})::DECIMAL(38,8) * 100000000 AS HUGEINT)", f"CAST(nullif({denominator}, 0)::DECIMAL(38,8) * 100000000 AS HUGEINT)"
+    return f"coalesce(sign({numerator}) * ((2 * {n} * {10**digits} + {d}) // (2 * {d}))::DOUBLE / {10**digits}, 0)"
