@@ -22,6 +22,8 @@ MISS = 1e-5
 DEVIATIONS = 5
 #: Rows of a bucket that meet each other in one task.
 BLOCK = 256
+#: Bits of the filter on ids, in words of 64: what is sent to the tasks is at most this many bits, whatever the input.
+FILTER_BITS = 2**26
 WIDTH, PERCENT = 5, 80
 
 _FACTORS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -128,9 +130,28 @@ def _alike(similarity: float) -> Column:
     return sizes & (differ <= _most_different(similarity))
 
 
+def _perhaps_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in ``ids`` and a few others, found without a shuffle of the rows; a join then decides.
+
+    The ids set bits of a bitmap of FILTER_BITS, which is broadcast: at most FILTER_BITS / 64 pairs of numbers. With many
+    more ids than bits it lets every row pass, so it only ever saves shuffled bytes.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    word, bit = F.shiftright(slot, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    words = ids.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_set"))
+    met = rows.withColumn("_word", word).join(F.broadcast(words), "_word")
+    return met.where(F.col("_set").bitwiseAND(bit) != 0).select(rows.columns)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The ids of both ends of each pair."""
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+
+
 def _likely(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose joint likelihood does not rule the similarity out."""
     least = similarity - DEVIATIONS * sqrt(similarity * (1 - similarity) / REGISTERS)
+    reps = _perhaps_in(reps.select("id", "n", "sketch"), _ends(pairs))
     one = reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     two = reps.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     rows = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
@@ -148,6 +169,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets meet the threshold."""
+    texts = _perhaps_in(texts, _ends(pairs))
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("t_a")), "a")
     rows = rows.join(texts.select(F.col("id").alias("b"), F.col("text").alias("t_b")), "b")
 
@@ -229,8 +251,8 @@ def _met_in_blocks(open_rows: DataFrame, reps: DataFrame, texts: DataFrame, widt
     names = ["band", "low", "high", "chunk", "id", "component", "n"]
     schema = "band long, low int, high int, chunk int, id long, component long, n long"
     wanted = stored(by_batch(in_blocks(rows), schema, lambda batches: map(possible, _blocks(batches))), "wanted")
-    ids = wanted.select("id").distinct()
-    payload = reps.select("id", "sketch").join(texts.join(ids, "id", "left_semi"), "id")
+    ids = wanted.select("id")
+    payload = _perhaps_in(reps.select("id", "sketch"), ids).join(_perhaps_in(texts, ids), "id")
     rows = in_blocks(wanted.join(payload, "id").select(*names, "sketch", "text"))
 
     def links(rows: list[tuple]) -> list[tuple[int, int]]:
@@ -295,10 +317,8 @@ def near_dedup(
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        likely = stored(_likely(pairs, reps, similarity), "likely")
-        involved = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-        of_involved = texts.join(involved, "id", "left_semi")
-        return stored(_confirmed(likely, of_involved, width, percent), "links")
+        likely = stored(_likely(stored(pairs, "pairs"), reps, similarity), "likely")
+        return stored(_confirmed(likely, texts, width, percent), "links")
 
     first = links(star.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
     labelled = members.join(components(first), "id", "left").select(
