@@ -19,8 +19,8 @@ from tallygrid.llm.common import by_batch, small_batches, stored, utf8
 CAPACITY = 2048
 #: Put after each document.
 END_ID = 0
-#: Words remembered by one Python worker; the memory is emptied when it is full.
-CACHED_WORDS = 1_000_000
+#: Words remembered by one Python worker, about 250 bytes each; the memory is emptied when it is full.
+CACHED_WORDS = 250_000
 #: Groups into which the rows of one length are split for ranking.
 BUCKETS = 256
 
