@@ -115,8 +115,8 @@ def license_scan(
     """(id, path, own_license, own_score, license, license_dir): the licence of each file and where it comes from.
 
     A file's own licence is that of its nearest line (highest score, then first line). ``is_license_file`` is a condition on
-    (id, path, line): where it holds, the line's licence is also that of the file's directory (highest score, then
-    smallest path). A file without its own takes that of the nearest directory at or above it that has one; the
+    (id, path, line): each line that shows a licence and for which it holds speaks for the file's directory, whether or not it
+    is the file's nearest line (highest score, then smallest path, then first line). A file without its own takes that of the nearest directory at or above it that has one; the
     result then names the directory in ``license_dir``. Null texts and paths count as empty; ids should be unique, and
     rows that share one share what their lines show; an empty table gives no rows.
     """
@@ -127,8 +127,8 @@ def license_scan(
     named = rows.select(id_col, "path").join(own, id_col, "left")
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     named = named.withColumn("dir", folder)
-    holders = named.where("own IS NOT NULL").withColumn("line", F.col("own.line")).where(is_license_file)
-    first = F.min(F.struct(F.col("own.s").alias("s"), F.col("path"), F.col("own.license").alias("license")))
+    holders = named.select(id_col, "path", "dir").join(lines, id_col).where(is_license_file)
+    first = F.min(F.struct((-F.col("score")).alias("s"), "path", "line", "license"))
     by_dir = holders.groupBy("dir").agg(first.alias("first")).select(F.col("dir").alias("up"), F.col("first.license").alias("from_dir"))
     parts = F.split("dir", "/")
     ups = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))

@@ -213,6 +213,14 @@ def test_licences_are_inherited_from_the_nearest_directory(spark, docs, empty):
     assert license_scan.license_scan(empty.withColumn("path", F.col("source")), "doc_id", "path", "text", F.lit(True)).count() == 0
 
 
+def test_every_line_that_meets_the_condition_speaks_for_its_directory(spark):
+    rows = [(1, "a/x.py", "Released under the MIT License, ok\ncode\nLicensed under CC BY-NC 4.0"), (2, "a/b/y.py", "code")]
+    frame = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    found = {r["doc_id"]: r for r in license_scan.license_scan(frame, "doc_id", "path", "text", F.col("line") == 0).collect()}
+    assert found[1]["license"] == "cc-by-nc-4.0"  # its nearest line is the last one
+    assert (found[2]["license"], found[2]["license_dir"]) == ("mit", "a")
+
+
 def test_language_model_base_scores_and_empty_table(docs, empty):
     rows = docs.collect()
     counts = Counter()
