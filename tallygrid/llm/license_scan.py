@@ -1,13 +1,17 @@
-"""Licences of files: sparse TF-IDF cosine of their lines to templates, then inheritance from the nearest directory."""
+"""Licences of files: sparse TF-IDF cosine of their texts, headers and lines to templates, then inheritance from the nearest directory."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from math import log, sqrt
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygrid.sources.rules import rows
+
 # Usual short forms of public licences.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -20,6 +24,8 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "all-rights-reserved": "All rights reserved",
 }
+#: (licence, text) of whole licences and of the headers that files bear.
+BODIES = [(p.name.split(".txt")[0].removesuffix(".header"), p.read_text()) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
 THRESHOLD = 0.75
 SPLIT = r"[^a-z0-9]+"
 
@@ -28,6 +34,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SPLIT), lambda t: t != "")
 
 
+def _constant(words: Iterable[str]) -> Column:
+    """Tokens as one literal: thousands of literals make plans slow."""
+    return F.split(F.lit(" ".join(words)), " ")
+
+
 def _template_counts(templates: dict[str, str]) -> dict[str, dict[str, int]]:
     found: dict[str, dict[str, int]] = {}
     for name, text in templates.items():
@@ -38,12 +49,12 @@ def _template_counts(templates: dict[str, str]) -> dict[str, dict[str, int]]:
     return found
 
 
-def idf(docs: DataFrame, text_col: str, templates: dict[str, str]) -> dict[str, float]:
+def idf(docs: DataFrame, text_col: str, templates: Iterable[str]) -> dict[str, float]:
     """ln((N + 1) / (documents with the token + 1)) + 1 over all documents, for each token of a template; '' for others."""
-    words = sorted({t for counts in _template_counts(templates).values() for t in counts})
-    inside = F.array_intersect(tokens(F.coalesce(F.col(text_col), F.lit(""))), F.array(*map(F.lit, words)))
-    rows = docs.select(F.explode(F.concat(F.array(F.lit("")), inside)).alias("token")).groupBy("token").count()
-    counts = {r[0]: r[1] for r in rows.collect()}  # at most one row for each word of the templates
+    words = sorted({t for text in templates for t in re.split(SPLIT, text.lower()) if t})
+    inside = F.array_intersect(tokens(F.coalesce(F.col(text_col), F.lit(""))), _constant(words))
+    found = docs.select(F.explode(F.concat(F.array(F.lit("")), inside)).alias("token")).groupBy("token").count()
+    counts = {r[0]: r[1] for r in found.collect()}  # at most one row for each word of the templates
     n = counts.get("", 0)
     return {t: log((n + 1) / (counts.get(t, 0) + 1)) + 1 for t in words} | {"": log(n + 1) + 1}
 
@@ -61,12 +72,14 @@ def _anchors(weights: dict[str, dict[str, float]], threshold: float) -> list[str
     return sorted(anchors)
 
 
-def line_licenses(docs: DataFrame, id_col: str, text_col: str, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def line_licenses(
+    docs: DataFrame, id_col: str, text_col: str, templates=TEMPLATES, threshold: float = THRESHOLD, weight: dict[str, float] | None = None
+) -> DataFrame:
     """(id, line, license, score): the best template of each line that comes near one; lines count from 0.
 
     Whole texts are read. Only lines with a token that is needed to reach the threshold are compared, which loses none.
     """
-    weight = idf(docs, text_col, templates)
+    weight = weight or idf(docs, text_col, templates.values())
     counts = _template_counts(templates)
     weights = {name: {t: n * weight[t] for t, n in own.items()} for name, own in counts.items()}
     needed = rf"(^|[^a-z0-9])({'|'.join(map(re.escape, _anchors(weights, threshold)))})([^a-z0-9]|$)"
@@ -103,6 +116,77 @@ def line_licenses(docs: DataFrame, id_col: str, text_col: str, templates=TEMPLAT
     return near.select(id_col, "line", best.alias("license"), "score")
 
 
+def _counted(words: list[str]) -> dict[str, int]:
+    counts: dict[str, int] = {}
+    for t in words:
+        counts[t] = counts.get(t, 0) + 1
+    return counts
+
+
+def block_licenses(
+    docs: DataFrame, id_col: str, text_col: str, bodies: list[tuple[str, str]], templates: dict[str, str], threshold: float,
+    weight: dict[str, float], told: DataFrame,
+) -> DataFrame:
+    """(id, line, license, score, kind): runs of neighbouring tokens, across lines, that come near a licence; ``line`` is the first.
+
+    Compared are the whole text and windows of as many tokens as the licence has, one every sixteenth of it (every token
+    if it is shorter). Only texts that hold enough of a licence's weight to reach the threshold are compared, which
+    loses none. ``kind`` is 0 for ``bodies`` and 2 for the notices in ``templates``, which are looked for in texts whose
+    ids are not in ``told``.
+    """
+    whole = len(bodies)
+    bodies = [*bodies, *templates.items()]
+    sized = [[t for t in re.split(SPLIT, text.lower()) if t] for _, text in bodies]
+    vectors = [{t: n * weight[t] for t, n in _counted(own).items()} for own in sized]
+    squares = [sum(w * w for w in v.values()) for v in vectors]
+    heavy: list[dict[str, float]] = []
+    bounds: list[float] = []
+    for v, total in zip(vectors, squares, strict=True):
+        rest, chosen = total, {}
+        for t, w in sorted(v.items(), key=lambda x: (-x[1], x[0])):
+            if rest < threshold**2 * total / 2:
+                break
+            chosen[t] = w * w
+            rest -= w * w
+        heavy.append(chosen)
+        bounds.append((threshold**2 * total - rest) * (1 - 1e-9))
+    texts = _constant(sorted({t for chosen in heavy for t in chosen}))
+    some = docs.select(id_col, F.col(text_col).alias("text"), F.array_intersect(tokens(F.col(text_col)), texts).alias("shared"))
+
+    def reached(i: int) -> Column:
+        squared = F.str_to_map(F.lit(",".join(f"{t}:{w!r}" for t, w in heavy[i].items()))).cast("map<string,double>")
+        return F.aggregate(
+            F.array_intersect("shared", _constant(heavy[i])), F.lit(0.0), lambda a, t: a + F.try_element_at(squared, t)
+        ) >= bounds[i]
+
+    possible = F.array(*[F.when(reached(i), F.lit(i)) for i in range(len(bodies))])
+    some = some.where(F.size("shared") > 0).select(id_col, "text", F.array_compact(possible).alias("possible")).where(F.size("possible") > 0)
+    told = told.select(id_col).distinct().withColumn("told", F.lit(True))
+    some = some.select(id_col, "text", F.explode("possible").alias("template")).join(told, id_col, "left")
+    some = some.where((F.col("template") < whole) | F.col("told").isNull())
+    lines = F.transform(F.split("text", "\n"), lambda t, i: F.transform(tokens(t), lambda w: F.struct(w.alias("t"), i.alias("line"))))
+    some = some.select(id_col, F.flatten(lines).alias("words"), "template")
+
+    known = [(i, name, len(own), max(1, len(own) // 16), sqrt(s)) for i, ((name, _), own, s) in enumerate(zip(bodies, sized, squares, strict=True))]
+    known = rows(docs.sparkSession, "template int, license string, size int, step int, norm double", known)
+    sparse = rows(docs.sparkSession, "template int, t string, own double", [(i, t, float(w)) for i, v in enumerate(vectors) for t, w in sorted(v.items())])
+    all_words = rows(docs.sparkSession, "t string, idf double", [(t, w) for t, w in sorted(weight.items()) if t])
+    at = some.join(known, "template").select(id_col, "template", "license", "size", "step", "norm", F.posexplode("words").alias("i", "word"))
+    # window k starts at token k * step; window -1 is the whole text
+    first = F.greatest(F.lit(0), F.ceil((F.col("i") - F.col("size") + 1) / F.col("step")).cast("int"))
+    last = F.floor(F.col("i") / F.col("step")).cast("int")
+    windows = F.concat(F.array(F.lit(-1)), F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")))
+    at = at.select(id_col, "template", "license", "norm", "word.t", "word.line", F.explode(windows).alias("k"))
+    keys = [id_col, "template", "license", "norm", "k"]
+    at = at.groupBy(*keys, "t").agg(F.count("*").alias("n"), F.min("line").alias("line"))
+    at = at.join(all_words, "t", "left").join(sparse, ["template", "t"], "left")
+    w = F.col("n") * F.coalesce("idf", F.lit(weight[""]))
+    sums = at.groupBy(*keys).agg(F.min("line").alias("line"), F.sum(w * F.col("own")).alias("dot"), F.sum(w * w).alias("square"))
+    sums = sums.withColumn("score", F.round(F.col("dot") / (F.sqrt("square") * F.col("norm")), 6)).where(F.col("score") >= threshold)
+    kind = F.when(F.col("template") < whole, 0).otherwise(2).alias("kind")
+    return sums.select(id_col, "line", "license", "score", kind)
+
+
 def license_scan(
     files: DataFrame,
     id_col: str,
@@ -111,24 +195,31 @@ def license_scan(
     is_license_file: Column,
     templates: dict[str, str] = TEMPLATES,
     threshold: float = THRESHOLD,
+    bodies: list[tuple[str, str]] = BODIES,
 ) -> DataFrame:
     """(id, path, own_license, own_score, license, license_dir): the licence of each file and where it comes from.
 
-    A file's own licence is that of its nearest line (highest score, then first line). ``is_license_file`` is a condition on
-    (id, path, line): each line that shows a licence and for which it holds speaks for the file's directory, whether or not it
-    is the file's nearest line (highest score, then smallest path, then first line). A file without its own takes that of the nearest directory at or above it that has one; the
-    result then names the directory in ``license_dir``. Null texts and paths count as empty; ids should be unique, and
-    rows that share one share what their lines show; an empty table gives no rows.
+    A file's own licence is that of a whole licence or header of ``bodies`` in it; else that of its nearest line; else that
+    of a notice that is broken over lines or stands within a longer one (each by highest score, then first line).
+    ``is_license_file`` is a condition on (id, path, line): each licence that starts in a line for which it holds speaks for
+    the file's directory, whether or not it is the file's own (in the same order, then highest score, then smallest path,
+    then first line). A file without its own takes that of the nearest directory at or above it that has one; the result
+    then names the directory in ``license_dir``. Null texts and paths count as empty; ids should be unique, and rows that
+    share one share what their lines show; an empty table gives no rows.
     """
-    rows = files.select(F.col(id_col), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col))
-    lines = line_licenses(rows, id_col, text_col, templates, threshold)
-    rank = F.struct((-F.col("score")).alias("s"), F.col("line"), F.col("license"))
+    texts = files.select(F.col(id_col), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.coalesce(text_col, F.lit("")).alias(text_col))
+    weight = idf(texts, text_col, [*templates.values(), *(text for _, text in bodies)])
+    of_lines = {t: weight[t] for text in templates.values() for t in re.split(SPLIT, text.lower()) if t} | {"": weight[""]}
+    found = line_licenses(texts, id_col, text_col, templates, threshold, of_lines).withColumn("kind", F.lit(1))
+    blocks = block_licenses(texts, id_col, text_col, bodies, templates, threshold, weight, found)
+    lines = found.unionByName(blocks)
+    rank = F.struct("kind", (-F.col("score")).alias("s"), "line", "license")
     own = lines.groupBy(id_col).agg(F.min(rank).alias("own"))
-    named = rows.select(id_col, "path").join(own, id_col, "left")
+    named = texts.select(id_col, "path").join(own, id_col, "left")
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     named = named.withColumn("dir", folder)
     holders = named.select(id_col, "path", "dir").join(lines, id_col).where(is_license_file)
-    first = F.min(F.struct((-F.col("score")).alias("s"), "path", "line", "license"))
+    first = F.min(F.struct("kind", (-F.col("score")).alias("s"), "path", "line", "license"))
     by_dir = holders.groupBy("dir").agg(first.alias("first")).select(F.col("dir").alias("up"), F.col("first.license").alias("from_dir"))
     parts = F.split("dir", "/")
     ups = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))

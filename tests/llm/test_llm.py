@@ -221,6 +221,20 @@ def test_every_line_that_meets_the_condition_speaks_for_its_directory(spark):
     assert (found[2]["license"], found[2]["license_dir"]) == ("mit", "a")
 
 
+def test_whole_licences_headers_and_broken_notices_are_found(spark):
+    whole = {n: t for n, t in license_scan.BODIES if n in ("mit", "bsd-3-clause")}
+    code = "\n".join(f"x{i} = call{i}(y{i})" for i in range(40))
+    header = "\n".join("# " + line for line in dict(x for x in license_scan.BODIES if len(x[1]) < 700)["apache-2.0"].split("\n"))
+    texts = [*(f"Copyright (c) 2020 Some Body\nAll rights reserved.\n\n{t}" for t in whole.values()), f"#!/usr/bin/python\n{header}\n{code}"]
+    texts += [whole["mit"].replace("\n", " "), f"{code}\n{whole['mit']}\n{code}", code]
+    texts += [code + "\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted\n" + code]
+    texts += [" ".join(["word"] * 90) + " Released under the MIT License " + " ".join(["more"] * 90)]
+    want = [*whole, "apache-2.0", "mit", "mit", None, "bsd-3-clause", "mit"]
+    frame = spark.createDataFrame([(i, f"{i}/f", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    found = {r["doc_id"]: r["own_license"] for r in license_scan.license_scan(frame, "doc_id", "path", "text", F.lit(True)).collect()}
+    assert [found[i] for i in range(len(texts))] == want
+
+
 def test_language_model_base_scores_and_empty_table(docs, empty):
     rows = docs.collect()
     counts = Counter()
