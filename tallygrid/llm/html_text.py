@@ -252,21 +252,13 @@ def induced(structures: list[str]) -> list[list[int]]:
 def _chosen(blocks: list[dict], template: set[tuple[int, str]]) -> list[str]:
     """Texts of the main part, in page order.
 
-    Inside an article or main element, the one with most text; else the holder of most text, of what is not chrome.
+    All that stand in article or main elements, however many there are; on a page without any, all that is not chrome.
     Template texts go, unless nothing else is there.
     """
     real = [b for b in blocks if not b["chrome"]]
     fresh = [b for b in real if (b["node"], b["text"]) not in template]
-    for rows in (fresh, real):
-        for part in ("article", "holder"):
-            sizes: dict[int, int] = {}
-            for b in rows:
-                if b[part] or part == "holder":
-                    sizes[b[part]] = sizes.get(b[part], 0) + len(b["text"])
-            if sizes:
-                most = max(sizes, key=lambda k: (sizes[k], -k))
-                return [b["text"] for b in rows if b[part] == most]
-    return []
+    rows = fresh or real
+    return [b["text"] for b in rows if b["article"]] or [b["text"] for b in rows]
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

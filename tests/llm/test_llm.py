@@ -200,6 +200,17 @@ def test_main_text_drops_chrome_and_template(spark):
     assert html_text.main_text(frame.limit(0)).count() == 0
 
 
+def test_main_text_keeps_sibling_blocks_and_all_articles(spark):
+    rows = [
+        (1, "http://a/", "<div id=content><div><p>A</p></div><div><p>B b</p></div></div><nav>menu</nav>"),
+        (2, "http://b/", "<article>One one</article><p>outside</p><article>Two</article>"),
+        (3, "http://c/", "<article><h1>Title</h1><p>Lead</p><div itemprop=articleBody><p>Body text of it</p></div></article>"),
+    ]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_text.main_text(frame).collect()}
+    assert found == {1: "A\nB b", 2: "One one\nTwo", 3: "Title\nLead\nBody text of it"}
+
+
 def test_licences_are_inherited_from_the_nearest_directory(spark, docs, empty):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "code"), (3, "a/c/LICENSE", "Licensed under the Apache License, Version 2.0"),
