@@ -72,6 +72,21 @@ def small_batches(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordB
         yield batch.slice(at, rows)
 
 
+def sized_batches(batch: pa.RecordBatch, column: int, most: int = 1 << 22, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``most`` bytes of text in ``column``; one longer text is a slice of its own."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = total = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > at and (total + size > most or i - at >= rows):
+            yield batch.slice(at, i - at)
+            at, total = i, 0
+        total += size
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 # --- hashed words: one pass over the bytes, no Python object per word
 
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrid.llm import pivot_search
+from tallygrid.llm.alignment import token_alignment
 from tallygrid.llm.byte_bpe import round_trip
 from tallygrid.llm.common import content, table
 from tallygrid.llm.exact_dedup import exact_dedup
@@ -17,6 +19,7 @@ from tallygrid.llm.near_dedup import near_dedup
 from tallygrid.llm.packing import pack, pieces
 from tallygrid.llm.quality import scored, train
 from tallygrid.llm.registry import ORACLES, QUERIES, query  # noqa: F401
+from tallygrid.llm.resampling import resample
 from tallygrid.llm.sharding import hilbert_ranked, shard_rows
 
 EXACT_DEDUP_SQL = r"""
@@ -162,3 +165,80 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     files = table(spark, sf_dir, "documents").withColumn("path", path)
     return license_scan(files, "doc_id", "path", "text", F.col("line") == 0)
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY rank <= 5
+"""
+
+
+@query("op11_pivot_top_k", TOP_K_SQL)
+def op11_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of each vector whose id is divisible by 50; an empty table gives no rows."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = pivot_search.build(vectors)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return pivot_search.search(index, F.col("id") % 50 == 0, 5).withColumnRenamed("id", "vec_id")
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the byte-level and the piece tokens of each whole text, with corpus counts of the linked pairs."""
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment(table(spark, sf_dir, "documents"), *files)
+
+
+# crc32 by its rule: 256 table entries from eight shifts each, then one step for each byte; once for each distinct feature
+RESAMPLE_SQL = r"""
+WITH RECURSIVE crc(i, step, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL
+  SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE step < 8
+), lookup AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE step = 8),
+texts AS (
+  SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+), split AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts
+), features AS (
+  SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM split
+), hashed AS (
+  SELECT f, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(f)), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT)),
+      lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM features), lookup
+), filled AS (SELECT side, id, bucket FROM features JOIN hashed USING (f)),
+counts AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM filled GROUP BY bucket),
+totals AS (SELECT sum(s)::BIGINT AS all_s, sum(t)::BIGINT AS all_t FROM counts),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * (all_s + 10000))::DOUBLE / ((s + 1) * (all_t + 10000))::DOUBLE))::BIGINT AS gain
+  FROM counts, totals
+), weights AS (
+  SELECT id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM filled JOIN gains USING (bucket) WHERE side = 0 GROUP BY id
+), scored AS (
+  SELECT p.id AS doc_id, len(p.w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || p.id), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM split p LEFT JOIN weights USING (id) WHERE p.side = 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_words >= 20) OVER () AS n
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS rank FROM placed
+"""
+
+
+@query("op13_importance_resampling", RESAMPLE_SQL)
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents with 20 words or more, drawn towards the benchmark's words and word pairs."""
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
