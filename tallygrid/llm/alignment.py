@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tallygrid.llm.common import by_batch, sized_batches, stored, utf8
 
-#: Stretches of text that one Python worker remembers for each tokenizer, and the longest one remembered.
-CACHED = 400_000
+#: Stretches of text that one Python worker remembers, and the longest one remembered.
+CACHED = 600_000
 LONGEST = 48
 #: A single space between a visible ASCII character and anything: neither tokenizer looks across it.
 BREAK = re.compile(rb"(?<=[\x21-\x7E])(?=\x20.)", re.DOTALL)
@@ -32,32 +32,17 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of a text as 32-bit integers and the bytes of each id; stretches between breaks are remembered."""
+    """The bytes of each id of a vocabulary, and the ids of stretches of text."""
 
     def __init__(self, token_bytes: list[bytes]):
         self.token_bytes = token_bytes
         self.sizes = np.array([len(t) for t in token_bytes], np.int64)
-        self.known: dict[bytes, bytes] = {}
 
     def of_stretches(self, stretches: list[bytes]) -> list[list[int]]:
         raise NotImplementedError
 
-    def encode(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """The ids of each text, given as its stretches."""
-        if len(self.known) > CACHED:
-            self.known.clear()
-        new = list({s for text in texts for s in text if s not in self.known})
-        found = {s: array("I", ids).tobytes() for s, ids in zip(new, self.of_stretches(new), strict=True)}
-        known = self.known
-        known.update(found)
-        ids = [np.frombuffer(b"".join([known[s] for s in text]), "<u4") for text in texts]
-        for s in new:
-            if len(s) > LONGEST:
-                del known[s]
-        return ids
-
-    def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
+    def joined(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.token_bytes.__getitem__, ids))
 
 
 class ByteLevel(Encoder):
@@ -96,10 +81,50 @@ class Pieces(Encoder):
         return self.model.encode([s[1:].decode("utf-8") for s in stretches], num_threads=1)
 
 
+class Encoders:
+    """Both tokenizers, with a memory of the ids on either side of each stretch between breaks, as 32-bit integers."""
+
+    def __init__(self, byte_level: str, pieces: str):
+        self.sides = ByteLevel(byte_level), Pieces(pieces)
+        self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        #: Stretches that one of the tokenizers does not give back unchanged.
+        self.changed: set[bytes] = set()
+
+    def learn(self, stretches: list[bytes]) -> None:
+        left, right = self.sides
+        for s, a, b in zip(stretches, left.of_stretches(stretches), right.of_stretches(stretches), strict=True):
+            self.known[s] = array("I", a).tobytes(), array("I", b).tobytes()
+            if left.joined(a) != s or right.joined(b) != s:
+                self.changed.add(s)
+
+    def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of each text on both sides, none where either side's bytes are not those of the text."""
+        if len(self.known) > CACHED:
+            self.known.clear()
+            self.changed.clear()
+        split = [BREAK.split(t) if t else [] for t in texts]
+        known = self.known
+        new = list({s for stretches in split for s in stretches if s not in known})
+        self.learn(new)
+        out = []
+        for text, stretches in zip(texts, split, strict=True):
+            found = [known[s] for s in stretches]
+            sides = np.frombuffer(b"".join([a for a, _ in found]), "<u4"), np.frombuffer(b"".join([b for _, b in found]), "<u4")
+            if self.changed and not self.changed.isdisjoint(stretches):
+                if any(e.joined(x.tolist()) != text for e, x in zip(self.sides, sides, strict=True)):
+                    sides = sides[0][:0], sides[1][:0]
+            out.append(sides)
+        for s in new:
+            if len(s) > LONGEST:
+                del known[s]
+                self.changed.discard(s)
+        return out
+
+
 @lru_cache(maxsize=2)
-def encoders(byte_level: str, pieces: str) -> tuple[ByteLevel, Pieces]:
-    """One pair for each Python worker, kept from task to task."""
-    return ByteLevel(byte_level), Pieces(pieces)
+def encoders(byte_level: str, pieces: str) -> Encoders:
+    """One for each Python worker, kept from task to task."""
+    return Encoders(byte_level, pieces)
 
 
 def common_cuts(a: np.ndarray, b: np.ndarray, firsts_a: np.ndarray, firsts_b: np.ndarray) -> np.ndarray:
@@ -131,7 +156,7 @@ def common_cuts(a: np.ndarray, b: np.ndarray, firsts_a: np.ndarray, firsts_b: np
         split = cut >= 0
         cut, lo, hi = cut[split], lo[split], hi[split]
         found.append(cut)
-        lo, hi = np.concatenate([lo, cut + 1]), np.concatenate([cut, hi])
+        lo, hi = np.column_stack([lo, cut + 1]).ravel(), np.column_stack([cut, hi]).ravel()
         many = hi > lo
         lo, hi = lo[many], hi[many]
     return np.sort(np.concatenate(found))
@@ -148,26 +173,26 @@ class Aligned(NamedTuple):
     cuts_b: np.ndarray
 
 
-def align(texts: list[bytes], left: Encoder, right: Encoder) -> Aligned:
+def align(texts: list[bytes], both: Encoders) -> Aligned:
     """Tokens and groups of space + text; a text of which either side's bytes differ from that has no tokens."""
-    spaced = [b" " + t if t else b"" for t in texts]
-    stretches = [BREAK.split(t) if t else [] for t in spaced]
-    sides = [e.encode(stretches) for e in (left, right)]
-    whole = [all(e.joined(ids[i]) == t for e, ids in zip((left, right), sides, strict=True)) for i, t in enumerate(spaced)]
-    ids, firsts, ends = [], [], []
-    for e, side in zip((left, right), sides, strict=True):
-        kept = [x if good else x[:0] for x, good in zip(side, whole, strict=True)]
-        ids.append(np.concatenate([*kept, np.zeros(0, "<u4")]).astype(np.int64))
-        firsts.append(np.cumsum([0, *map(len, kept)]))
-        ends.append(np.cumsum(e.sizes[ids[-1]]))
+    found = both.encode([b" " + t if t else b"" for t in texts])
+    ids = [np.concatenate([*side, np.zeros(0, "<u4")]).astype(np.int64) for side in zip(*found, strict=True)]
+    firsts = [np.cumsum([0, *map(len, side)]) for side in zip(*found, strict=True)]
+    ends = [np.cumsum(e.sizes[x]) for e, x in zip(both.sides, ids, strict=True)]
     cuts_a = common_cuts(*ends, *firsts)
     return Aligned(*ids, *firsts, cuts_a, np.searchsorted(ends[1], ends[0][cuts_a]))
 
 
+def _groups(tokens: int, cuts: np.ndarray) -> np.ndarray:
+    """The number of each token's group, which its last token ends."""
+    ends = np.zeros(tokens + 1, np.int64)
+    ends[cuts + 1] = 1
+    return np.cumsum(ends)[:-1]
+
+
 def written(x: Aligned) -> list[bytes]:
     """``a1,a2|b1;a3|b2,b3`` for each text: the ids of both sides, group by group."""
-    group_a = np.searchsorted(x.cuts_a, np.arange(len(x.a)))
-    group_b = np.searchsorted(x.cuts_b, np.arange(len(x.b)))
+    group_a, group_b = _groups(len(x.a), x.cuts_a), _groups(len(x.b), x.cuts_b)
     order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
     ids = np.concatenate([x.a, x.b])
     after = np.full(len(ids), ord(","), np.uint8)
@@ -197,10 +222,10 @@ def alignments(
     schema += ", groups string" if with_groups else ""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        left, right = encoders(byte_level, pieces)
+        both = encoders(byte_level, pieces)
         for batch in batches:
             for part in sized_batches(batch, 1):
-                x = align(utf8(part.column(1)), left, right)
+                x = align(utf8(part.column(1)), both)
                 linked = (x.a[x.cuts_a] << 32) | x.b[x.cuts_b]
                 edges = np.searchsorted(x.cuts_a, x.firsts_a)
                 texts = written(x)

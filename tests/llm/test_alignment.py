@@ -74,18 +74,18 @@ COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
 def test_groups_of_odd_texts_are_those_of_a_walk(walk):
     random.seed(3)
     texts = ["".join(random.choices(PARTS, k=random.randint(0, 25))) for _ in range(3000)]
-    left, right = alignment.encoders(*FILES)
+    both = alignment.encoders(*FILES)
     for at in range(0, len(texts), 300):
         part = texts[at : at + 300]
-        for text, got in zip(part, alignment.written(alignment.align([t.encode() for t in part], left, right))):
+        for text, got in zip(part, alignment.written(alignment.align([t.encode() for t in part], both))):
             assert got.decode() == text_of(walk(text)), repr(text)
 
 
 def test_memory_of_stretches_may_be_full(walk, monkeypatch):
     monkeypatch.setattr(alignment, "CACHED", 3)
-    left, right = alignment.encoders(*FILES)
+    both = alignment.encoders(*FILES)
     for text in ("one two three four five", "one two six", "x" * 300 + " one"):
-        assert alignment.written(alignment.align([text.encode()], left, right))[0].decode() == text_of(walk(text))
+        assert alignment.written(alignment.align([text.encode()], both))[0].decode() == text_of(walk(text))
 
 
 def test_operator_counts_links_over_all_rows(spark, walk):
