@@ -26,30 +26,56 @@ def gross_amount(price: Column | str, qty: Column | str, discount: Column | str
 # ``taxes`` is array<struct<id, kind ('percent' | 'fixed'), rate, included, tax_group>> on each line.
 
 
+#: So many taxes of a line are read by position, in generated code; longer lists are folded.
+DIRECT_TAXES = 4
+
+
+def _over(taxes: Column, value, kind: str, fold) -> Column:
+    """Sum of ``value(tax)`` over a list of taxes as ``kind``."""
+    none = F.lit(0).cast(kind)
+    direct = none
+    for i in range(DIRECT_TAXES):
+        t = F.get(taxes, F.lit(i))
+        direct = (direct + F.when(t.isNotNull(), value(t)).otherwise(none)).cast(kind)
+    return F.when(F.size(taxes) <= DIRECT_TAXES, direct).otherwise(fold)
+
+
 def _summed(taxes: Column, kind: str, included: bool) -> Column:
-    chosen = F.filter(taxes, lambda t: (t["kind"] == kind) & (t["included"] == included))
-    return F.aggregate(chosen, F.lit(0).cast("decimal(9,2)"), lambda acc, t: (acc + t["rate"]).cast("decimal(9,2)"))
+    def rate(t):
+        return F.when((t["kind"] == kind) & (t["included"] == included), t["rate"]).otherwise(F.lit(0).cast("decimal(9,2)"))
+
+    fold = F.aggregate(taxes, F.lit(0).cast("decimal(9,2)"), lambda acc, t: (acc + rate(t)).cast("decimal(9,2)"))
+    return _over(taxes, rate, "decimal(9,2)", fold)
 
 
 def untaxed_base(gross: Column, qty: Column, taxes: Column) -> Column:
     """Amount without the taxes that the price already includes; one rounding."""
     fixed = _summed(taxes, "fixed", True) * col(qty).cast("decimal(12,4)")
     percent = F.lit(100).cast("decimal(9,2)") + _summed(taxes, "percent", True)
-    return money((gross - fixed).cast("decimal(22,6)") * 100 / percent)
+    some = F.exists(taxes, lambda t: t["included"])
+    return F.when(some, money((gross - fixed).cast("decimal(22,6)") * 100 / percent)).otherwise(money(gross))
 
 
 def tax_amounts(base: Column, qty: Column, taxes: Column) -> Column:
     """(tax id, group, amount) of every tax on an untaxed base."""
 
     def one(t):
-        amount = F.when(t["kind"] == "percent", money(base * t["rate"] * F.lit(CENT))).otherwise(
-            money(t["rate"] * col(qty).cast("decimal(12,4)"))
-        )
-        return F.struct(t["id"].alias("id"), t["tax_group"].alias("tax_group"), amount.alias("amount"))
+        return F.struct(t["id"].alias("id"), t["tax_group"].alias("tax_group"), _tax_amount(base, qty, t).alias("amount"))
 
     return F.transform(taxes, one)
 
 
+def _tax_amount(base: Column, qty: Column, tax: Column) -> Column:
+    return F.when(tax["kind"] == "percent", money(base * tax["rate"] * F.lit(CENT))).otherwise(
+        money(tax["rate"] * col(qty).cast("decimal(12,4)"))
+    )
+
+
+def tax_total(base: Column, qty: Column, taxes: Column) -> Column:
+    """Sum of all taxes on an untaxed base, each rounded by itself."""
+    return _over(taxes, lambda t: _tax_amount(base, qty, t), MONEY, tax_sum(tax_amounts(base, qty, taxes)))
+
+
 def tax_sum(amounts: Column) -> Column:
     return F.aggregate(amounts, F.lit(0).cast(MONEY), lambda acc, t: (acc + t["amount"]).cast(MONEY))
 
@@ -58,7 +84,7 @@ def tax_compute(lines: DataFrame, price: str = "price_unit", qty: str = "qty", d
     """Subtotal, tax and total of a line from its price and included / excluded taxes."""
     gross = gross_amount(price, qty, discount)
     based = lines.withColumn("subtotal", untaxed_base(gross, F.col(qty), F.col("taxes")))
-    taxed = based.withColumn("tax", tax_sum(tax_amounts(F.col("subtotal"), F.col(qty), F.col("taxes"))))
+    taxed = based.withColumn("tax", tax_total(F.col("subtotal"), F.col(qty), F.col("taxes")))
     return taxed.withColumn("total", (F.col("subtotal") + F.col("tax")).cast(MONEY))
 
 

@@ -160,20 +160,95 @@ def _python_fold(discount, rules):
     return discount, taken
 
 
+PROMO_RULES = (
+    "id bigint, sequence int, rule_type string, code string, discount_type string, discount_amount decimal(9,2), minimal_amount decimal(18,2), minimal_tax_incl boolean, "
+    "date_from date, date_to date, once_per_partner boolean, strategy string, partner_ids array<bigint>, pricelist_ids array<bigint>, only_newsletter boolean, currency_id bigint, "
+    "taxes array<struct<id:int,kind:string,rate:decimal(9,2),included:boolean,tax_group:int>>"
+)
+VAT_EXCLUDED, VAT_INCLUDED = (1, "percent", D(21), False, 1), (2, "percent", D(21), True, 1)
+
+
+def _rule(rid, strategy, kind="percentage", amount=10, minimum=0, **other):
+    values = dict(id=rid, sequence=rid, rule_type="auto", code=None, discount_type=kind, discount_amount=D(amount), minimal_amount=D(minimum),
+                  minimal_tax_incl=False, date_from=None, date_to=None, once_per_partner=False, strategy=strategy, partner_ids=[], pricelist_ids=[],
+                  only_newsletter=False, currency_id=1, taxes=[VAT_EXCLUDED])
+    return tuple((values | other).values())
+
+
+def _promote(rows, rules, order_lines, orders=None, used=None, rates=((1, 1, date(2020, 1, 1), D(1)), (2, 2, date(2020, 1, 1), D(2)))):
+    """order_lines: (order, line, price, quantity, discount, taxes, is promotion line)."""
+    orders = orders or sorted({(o, 1, 1, 1, True, None) for o, *_ in order_lines})
+    heads = rows("id bigint, partner_id bigint, pricelist_id bigint, currency_id bigint, newsletter boolean, coupon_code string", orders)
+    tax = "taxes array<struct<id:int,kind:string,rate:decimal(9,2),included:boolean,tax_group:int>>"
+    found = rows(f"order_id bigint, line_no bigint, price_unit decimal(18,2), qty decimal(18,4), discount decimal(9,2), {tax}, is_promotion_line boolean", order_lines)
+    at = rows("id bigint, currency_id bigint, date date, rate decimal(12,6)", list(rates))
+    earlier = used and rows("partner_id bigint, rule_id bigint, order_id bigint, state string", used)
+    return found, promotion.applied_rules(heads, found, rows(PROMO_RULES, rules), at, date(2024, 1, 1), earlier)
+
+
 def test_promotion_fold_equals_plain_python(spark, rows):
     import itertools
 
     strategies = ("use_best", "cumulate", "keep_existing", "exclusive")
-    cases = list(itertools.product(strategies, strategies, (0, 5, 15)))
-    applied, base, want = [], [], {}
-    for n, (a, b, start) in enumerate(cases):
-        chosen = [(1, a, "percentage", 10), (2, b, "percentage" if n % 2 else "amount_tax_included", 12)]
-        applied.append((n, [dict(id=i, rule_type="auto", discount_type=k, discount_amount=D(m), strategy=s) for i, s, k, m in chosen]))
-        base.append((n, D(start), False))
-        want[n] = _python_fold(start, chosen)
-    rules = rows("order_id bigint, applied array<struct<id:bigint,rule_type:string,discount_type:string,discount_amount:decimal(9,2),strategy:string>>", applied)
-    got = promotion.promoted_lines(rows("order_id bigint, discount decimal(9,2), is_promotion_line boolean", base), rules).collect()
-    assert {r.order_id: (int(r.promo_discount), list(r.taken_rules)) for r in got} == want
+    pairs_, rules, order_lines, want = list(itertools.product(strategies, strategies)), [], [], {}
+    for n, (a, b) in enumerate(pairs_):
+        chosen = [(2 * n + 1, a, "percentage", 10), (2 * n + 2, b, "percentage" if n % 2 else "amount_tax_included", 12)]
+        rules += [_rule(i, strategy, kind, amount, partner_ids=[n]) for i, strategy, kind, amount in chosen]
+        kept = chosen if b != "exclusive" else chosen[:1]  # exclusive: only as the first
+        for k, start in enumerate((0, 5, 15, 12)):
+            order_lines.append((n, k, D(100), D(1), D(start), [VAT_EXCLUDED], False))
+            want[n, k] = _python_fold(start, kept)
+    found, applied = _promote(rows, rules, order_lines, [(n, n, 1, 1, True, None) for n in range(len(pairs_))])
+    got = {(r.order_id, r.line_no): (int(r.promo_discount), list(r.taken_rules)) for r in promotion.promoted_lines(found, applied).collect()}
+    assert got == want
+
+
+def test_fixed_amounts_lower_the_sums_of_later_rules(rows):
+    # 1,000 untaxed: the first rule takes 300 off, so 750 is no longer reached; taxed it still is (1,210 - 363 = 847)
+    rules = [_rule(1, "cumulate", "amount_tax_excluded", 300), _rule(2, "cumulate", minimum=750), _rule(3, "cumulate", minimum=750, minimal_tax_incl=True)]
+    order_lines = [(1, 1, D(500), D(2), D(0), [VAT_EXCLUDED], False), (2, 1, D(1000), D(1), D(50), [VAT_EXCLUDED], True)]
+    found, applied = _promote(rows, rules, order_lines)
+    assert {r.order_id: list(r.applied) for r in applied.collect()} == {1: [1, 3], 2: []}
+    # no line takes a fixed amount that must keep existing discounts: the sums stay, the order still has the rule
+    rules[0] = _rule(1, "keep_existing", "amount_tax_excluded", 300)
+    _, applied = _promote(rows, rules, [(1, 1, D(500), D(2), D(5), [VAT_EXCLUDED], False)])
+    row = applied.first()
+    assert list(row.applied) == [1, 2, 3] and row.lines == []
+
+
+def test_fixed_amounts_meet_the_discount_with_either_tax(rows):
+    import itertools
+
+    cases = list(itertools.product(("amount_tax_excluded", "amount_tax_included"), (VAT_EXCLUDED, VAT_INCLUDED), ("20", "3", "719.77", "0.01")))
+    rules = [_rule(n, "use_best", kind, D(amount), taxes=[tax], partner_ids=[n]) for n, (kind, tax, amount) in enumerate(cases)]
+    order_lines = [(n, 1, D(5000), D(1), D(0), [tax], False) for n, (_, tax, _) in enumerate(cases)]
+    _, applied = _promote(rows, rules, order_lines, [(n, n, 1, 1, True, None) for n in range(len(cases))])
+    prices = {r.order_id: -r.price_unit for r in promotion.discount_lines(applied).collect()}
+    for n, (kind, tax, amount) in enumerate(cases):
+        base = prices[n] if tax is VAT_EXCLUDED else (prices[n] * 100 / 121).quantize(D("0.01"), "ROUND_HALF_UP")
+        taxed = base + (base * D("0.21")).quantize(D("0.01"), "ROUND_HALF_UP")
+        assert abs((taxed if kind.endswith("included") else base) - D(amount)) <= D("0.01")
+        if tax is VAT_EXCLUDED and kind.endswith("excluded"):
+            assert prices[n] == D(amount)
+
+
+def test_fixed_amounts_are_converted_and_need_a_rate(rows):
+    rules = [_rule(1, "use_best", "amount_tax_excluded", 20, currency_id=2, taxes=[])]
+    orders = [(1, 1, 1, 1, True, None), (2, 1, 1, 2, True, None), (3, 1, 1, 9, True, None)]
+    order_lines = [(o, 1, D(100), D(1), D(0), [], False) for o in (1, 2, 3)]
+    _, applied = _promote(rows, rules, order_lines, orders)
+    assert {(r.order_id, r.price_unit) for r in promotion.discount_lines(applied).collect()} == {(1, D(-10)), (2, D(-20))}
+
+
+def test_coupon_goes_first_and_once_per_partner_counts_other_orders(rows):
+    rules = [_rule(1, "exclusive"), _rule(2, "exclusive", rule_type="coupon", code="Elgekot", sequence=99), _rule(3, "cumulate", once_per_partner=True),
+             _rule(4, "cumulate", partner_ids=[7], pricelist_ids=[5]), _rule(5, "cumulate", only_newsletter=True, pricelist_ids=[1])]
+    orders = [(1, 1, 1, 1, True, "ELGEKOT"), (2, 1, 1, 1, False, "other"), (3, 7, 5, 1, None, None), (4, 8, 5, 1, True, None)]
+    order_lines = [(o, 1, D(100), D(1), D(0), [], False) for o in (1, 2, 3, 4)]
+    used = [(1, 3, 1, "sale"), (7, 3, 99, "cancel"), (8, 3, 98, "draft")]
+    _, applied = _promote(rows, rules, order_lines, orders, used)
+    # partner 1 used rule 3 on order 1 only: order 1 may keep it, order 2 may not; partner 7's use was cancelled
+    assert {r.order_id: list(r.applied) for r in applied.collect()} == {1: [2, 3, 5], 2: [1], 3: [1, 3, 4], 4: [1]}
 
 
 def test_exceptions_respect_the_ignore_flag(rows):

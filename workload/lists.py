@@ -78,103 +78,130 @@ def _(s):
 
 # -- promotions ---------------------------------------------------------------------------
 
-# id, sequence, type, code, discount type, amount, minimum, tax incl., from, to, once, strategy, partners, pricelists, newsletter
+# id, sequence, type, code, discount type, amount, minimum, tax incl., from, to, once, strategy, partners, pricelists, newsletter, currency
 PROMOTIONS = [
-    (1, 10, "coupon", "welcome20", "percentage", D(20), D(50000), False, None, None, False, "use_best", [], [], False),
-    (2, 1, "auto", None, "percentage", D(4), D(50000), True, None, None, False, "use_best", [], [1, 2], False),
-    (3, 2, "auto", None, "percentage", D(3), D(150000), False, date(1998, 1, 1), date(1998, 12, 31), False, "cumulate", [], [], False),
-    (4, 3, "auto", None, "amount_tax_included", D(20), D(250000), False, None, None, False, "keep_existing", [], [], True),
-    (5, 4, "auto", None, "percentage", D(9), D(1000), False, None, None, False, "exclusive", [], [], False),
-    (6, 5, "auto", None, "amount_tax_excluded", D(30), D(300000), True, None, None, True, "cumulate", [], [], False),
-    (7, 6, "auto", None, "percentage", D(50), D(10), False, None, date(1997, 1, 1), False, "use_best", [], [], False),
-    (8, 7, "auto", None, "percentage", D(6), D(10), False, None, None, False, "keep_existing", list(range(0, 400)), [], False),
+    (1, 10, "coupon", "welcome20", "percentage", D(20), D(50000), False, None, None, False, "use_best", [], [], False, 1),
+    (2, 1, "auto", None, "percentage", D(4), D(50000), True, None, None, False, "use_best", [], [1, 2], False, 1),
+    (3, 2, "auto", None, "percentage", D(3), D(150000), False, date(1998, 1, 1), date(1998, 12, 31), False, "cumulate", [], [], False, 1),
+    (4, 3, "auto", None, "amount_tax_included", D(20000), D(200000), False, None, None, False, "keep_existing", [], [], True, 1),
+    (5, 4, "auto", None, "percentage", D(9), D(1000), False, None, None, False, "exclusive", [], [], False, 1),
+    (6, 5, "auto", None, "amount_tax_excluded", D(30000), D(250000), True, None, None, True, "cumulate", [], [], False, 2),
+    (7, 6, "auto", None, "percentage", D(50), D(10), False, None, date(1997, 1, 1), False, "use_best", [], [], False, 1),
+    (8, 7, "auto", None, "percentage", D(6), D(10), False, None, None, False, "keep_existing", list(range(0, 400)), [], False, 1),
+    (9, 8, "auto", None, "amount_tax_excluded", D(5), D(240000), False, None, None, False, "use_best", [], [], False, 3),
+    (10, 9, "auto", None, "percentage", D(2), D(260000), True, None, None, False, "cumulate", [], [3], False, 1),
 ]
-PROMO_SCHEMA = "id bigint, sequence int, rule_type string, code string, discount_type string, discount_amount decimal(9,2), minimal_amount decimal(18,2), minimal_tax_incl boolean, date_from date, date_to date, once_per_partner boolean, strategy string, partner_ids array<bigint>, pricelist_ids array<bigint>, only_newsletter boolean"
+PROMO_SCHEMA = "id bigint, sequence int, rule_type string, code string, discount_type string, discount_amount decimal(9,2), minimal_amount decimal(18,2), minimal_tax_incl boolean, date_from date, date_to date, once_per_partner boolean, strategy string, partner_ids array<bigint>, pricelist_ids array<bigint>, only_newsletter boolean, currency_id bigint"
+PROMO_RATES = [(1, 1, date(1998, 1, 1), D("1")), (2, 2, date(1998, 1, 1), D("2")), (3, 2, date(1998, 6, 1), D("1.25")), (4, 2, date(1998, 7, 1), D("3")), (5, 3, date(1998, 1, 1), D("0.8"))]
 TODAY = date(1998, 6, 15)
 
 
 def promotions(s: Star):
-    return rows(s.spark, PROMO_SCHEMA, PROMOTIONS)
+    """The rules; the product that stands for a fixed discount bears 21 % on top of its price."""
+    return rows(s.spark, PROMO_SCHEMA, PROMOTIONS).withColumn("taxes", F.array(tax(1, "percent", D(21), False, 1)))
+
+
+def promo_rates(s: Star):
+    return rows(s.spark, "id bigint, currency_id bigint, date date, rate decimal(12,6)", PROMO_RATES)
 
 
 def promo_orders(s: Star):
     news = s.partners().select(F.col("id").alias("partner_id"), "newsletter")
-    return s.orders().select("id", "partner_id", "pricelist_id", "coupon_code").join(news, "partner_id")
+    return s.orders().select("id", "partner_id", "pricelist_id", "currency_id", "coupon_code").join(news, "partner_id")
 
 
-def promo_lines(s: Star):
-    return taxed_lines(s, keyed=True).withColumn("is_promotion_line", F.col("product_id") % 40 == 21)
+def promo_lines(s: Star, keyed=False):
+    return taxed_lines(s, keyed=keyed).withColumn("is_promotion_line", F.col("product_id") % 40 == 21)
 
 
 def used_rules(s: Star):
-    """Rule 6 counts as used on every order whose number ends in 37 and is not cancelled."""
-    return s.orders().filter("id % 100 = 37 AND state <> 'cancel'").select("partner_id", F.lit(6).cast("bigint").alias("rule_id"), F.col("id").alias("order_id"))
+    """Orders with a coupon code took rule 6 as well."""
+    return s.orders().filter("coupon_code IS NOT NULL").select("partner_id", F.lit(6).cast("bigint").alias("rule_id"), F.col("id").alias("order_id"), "state")
 
 
 def _promo_sql() -> str:
-    """The same fold written step by step: one column per rule, coupon first, then by sequence."""
+    """The fold written out, rule after rule on the lines: order sums ``u`` and ``t`` fall with each discount line.
+
+    A rule is tested against the sums left by the rules before it. The discount lines' prices are worked out by hand
+    for the three currencies: 21 % tax on the discount product, 1 : 1.25 : 0.8.
+    """
     static = {
         1: "lower(coupon_code) = 'welcome20' AND u > 50000",
         2: "t > 50000 AND pricelist_id IN (1, 2)",
         3: "u > 150000",
-        4: "u > 250000 AND newsletter",
+        4: "u > 200000 AND newsletter",
         5: "u > 1000",
-        6: "t > 300000 AND coalesce(n_used, 0) - CASE WHEN id % 100 = 37 AND state <> 'cancel' THEN 1 ELSE 0 END <= 0",
+        6: "t > 250000 AND coalesce(n_used, 0) - CASE WHEN coupon_code IS NOT NULL AND state <> 'cancel' THEN 1 ELSE 0 END <= 0",
         7: "FALSE",
         8: "u > 10 AND partner_id < 400",
+        9: "u > 240000",
+        10: "t > 260000 AND pricelist_id = 3",
     }
-    chain, prev = "", "pb"
-    for k in range(1, 9):
-        count = "+".join(f"CAST(v{j} AS INT)" for j in range(1, k)) or "0"
-        test = f"coalesce({static[k]}, FALSE)" + (f" AND {count} = 0" if k == 5 else "")
-        chain += f", s{k} AS (SELECT *, {test} AS v{k} FROM {prev})"
-        prev = f"s{k}"
-    base = SQL_TAXED + """
-, ns AS (SELECT partner_id, count(*) AS n_used FROM sale_order WHERE id % 100 = 37 AND state <> 'cancel' GROUP BY 1),
+    rules = {1: ("ub", 20), 2: ("ub", 4), 3: ("cu", 3), 4: ("ke", 20000), 5: ("ex", 9), 6: ("cu", 30000), 7: ("ub", 50), 8: ("ke", 6), 9: ("ub", 5), 10: ("cu", 2)}
+    sql = SQL_TAXED + """
+, ns AS (SELECT partner_id, count(*) AS n_used FROM sale_order WHERE coupon_code IS NOT NULL AND state <> 'cancel' GROUP BY 1),
+fixed_line(rule, cur, price, off_u, off_t) AS (VALUES
+  (4, 1, 16528.92, 16528.92, 19999.99), (4, 2, 20661.16, 20661.16, 25000.00), (4, 3, 13223.14, 13223.14, 16000.00),
+  (6, 1, 24000.00, 24000.00, 29040.00), (6, 2, 30000.00, 30000.00, 36300.00), (6, 3, 19200.00, 19200.00, 23232.00),
+  (9, 1, 6.25, 6.25, 7.56), (9, 2, 7.81, 7.81, 9.45), (9, 3, 5.00, 5.00, 6.05)),
 pb0 AS (SELECT order_id, sum(full_sub) AS u, sum(full_sub + full_tax) AS t FROM taxed WHERE product_id % 40 <> 21 GROUP BY 1),
-pb AS (SELECT o.id, o.state, o.partner_id, o.pricelist_id, o.coupon_code, p.newsletter, coalesce(u, 0) AS u, coalesce(t, 0) AS t, n_used FROM sale_order o JOIN partner p ON p.id = o.partner_id LEFT JOIN pb0 ON pb0.order_id = o.id LEFT JOIN ns ON ns.partner_id = o.partner_id)
+d0 AS (SELECT o.id AS order_id, o.state, o.partner_id, o.pricelist_id, o.currency_id, o.coupon_code, p.newsletter, n_used, l.line_no,
+    coalesce(l.product_id % 40 = 21, TRUE) AS pl, l.discount AS c0, coalesce(u, 0)::DECIMAL(28,2) AS u, coalesce(t, 0)::DECIMAL(28,2) AS t
+  FROM sale_order o JOIN partner p ON p.id = o.partner_id LEFT JOIN pb0 ON pb0.order_id = o.id LEFT JOIN ns ON ns.partner_id = o.partner_id
+  LEFT JOIN sale_order_line l ON l.order_id = o.id)
 """
-    rules = [(1, "ub", 20), (2, "ub", 4), (3, "cu", 3), (4, "ke", 0), (5, "ex", 9), (6, "cu", 0), (7, "ub", 50), (8, "ke", 6)]
-    lines = ", d0 AS (SELECT l.order_id, l.line_no, l.product_id % 40 = 21 AS pl, l.discount AS c0, s8.* FROM sale_order_line l JOIN s8 ON s8.id = l.order_id)"
-    prev = "d0"
-    for k, kind, amount in rules:
+    for k, (kind, amount) in rules.items():
         c = f"c{k - 1}"
-        ok = {"ub": f"({c} = 0 OR {amount if k not in (4, 6) else 0} > {c})", "cu": "TRUE", "ke": f"{c} = 0", "ex": "TRUE"}[kind]
-        new = f"{c} + {amount}" if kind == "cu" else str(amount)
-        lines += f", d{k} AS (SELECT *, v{k} AND NOT pl AND {ok} AS e{k}, CASE WHEN v{k} AND NOT pl AND {ok} THEN {new} ELSE {c} END AS c{k} FROM {prev})"
-        prev = f"d{k}"
-    return base + chain + lines
+        count = "+".join(f"CAST(v{j} AS INT)" for j in range(1, k)) or "0"
+        test = f"coalesce({static[k]}, FALSE)" + (f" AND {count} = 0" if kind == "ex" else "")
+        takes = {"ub": f"({c} = 0 OR {amount} > {c})", "cu": "TRUE", "ke": f"{c} = 0", "ex": "TRUE"}[kind]
+        fixed = k in (4, 6, 9)
+        percent = 0 if fixed else amount
+        new = f"{c} + {percent}" if kind == "cu" else str(percent)
+        sql += f", t{k} AS (SELECT *, {test} AS v{k} FROM d{k - 1}), e{k} AS (SELECT *, v{k} AND NOT pl AND {takes} AS e{k} FROM t{k})"
+        body = f"SELECT * REPLACE (u, t), CASE WHEN e{k} THEN {new} ELSE {c} END AS c{k} FROM e{k}"
+        if fixed:
+            body = f"""SELECT e{k}.* REPLACE (u - coalesce(off_u, 0) AS u, t - coalesce(off_t, 0) AS t), CASE WHEN e{k} THEN {new} ELSE {c} END AS c{k}, f.price AS p{k}
+  FROM (SELECT *, bool_or(e{k}) OVER (PARTITION BY order_id) AS any{k} FROM e{k}) e{k} LEFT JOIN fixed_line f ON f.rule = {k} AND f.cur = currency_id AND any{k}"""
+        sql += f", d{k} AS ({body.replace('SELECT * REPLACE (u, t)', 'SELECT *')})"
+    return sql
 
 
 SQL_PROMO = _promo_sql()
-_APPLIED = "concat_ws(',', " + ", ".join(f"CASE WHEN v{k} THEN '{k}' END" for k in range(1, 9)) + ")"
-_TAKEN = "concat_ws(',', " + ", ".join(f"CASE WHEN e{k} THEN '{k}' END" for k in range(1, 9)) + ")"
+_RULES = range(1, 11)
+_APPLIED = "concat_ws(',', " + ", ".join(f"CASE WHEN v{k} THEN '{k}' END" for k in _RULES) + ")"
+_TAKEN = "concat_ws(',', " + ", ".join(f"CASE WHEN e{k} THEN '{k}' END" for k in _RULES) + ")"
 
 
 def applied(s: Star):
-    return pr.applied_rules(promo_orders(s), promo_lines(s), promotions(s), TODAY, used_rules(s))
+    return pr.applied_rules(promo_orders(s), promo_lines(s), promotions(s), promo_rates(s), TODAY, used_rules(s))
+
+
+def listed(column: str):
+    return F.concat_ws(",", F.transform(column, lambda x: x.cast("string"))).alias(column)
 
 
-@query("promotion_rules_applied", SQL_PROMO + f"SELECT id AS order_id, {_APPLIED} AS applied FROM s8")
+@query("promotion_rules_applied", SQL_PROMO + f"SELECT DISTINCT order_id, {_APPLIED} AS applied FROM d10")
 def _(s):
-    return applied(s).select("order_id", F.transform("applied", lambda a: a["id"]).alias("applied"))
+    return applied(s).select("order_id", listed("applied"))
 
 
-@query("promotions", SQL_PROMO + f"SELECT order_id, line_no, c8::DOUBLE AS promo_discount, {_TAKEN} AS taken_rules FROM d8")
+@query("promotions", SQL_PROMO + f"SELECT order_id, line_no, c10::DOUBLE AS promo_discount, {_TAKEN} AS taken_rules FROM d10 WHERE line_no IS NOT NULL")
 def _(s):
-    return pr.promoted_lines(promo_lines(s), applied(s)).select("order_id", "line_no", "promo_discount", "taken_rules")
+    found = pr.promoted_lines(promo_lines(s, keyed=True), applied(s))
+    return found.select("order_id", "line_no", F.col("promo_discount").cast("double").alias("promo_discount"), listed("taken_rules"))
 
 
-@query("promotion_discount_lines", SQL_PROMO + "SELECT order_id, CAST(4 AS BIGINT) AS rule_id, -16.53::DOUBLE AS price_unit, CAST(1 AS BIGINT) AS qty FROM d8 WHERE e4 GROUP BY 1 UNION ALL SELECT order_id, 6, -30.0::DOUBLE, 1 FROM d8 WHERE e6 GROUP BY 1")
+@query("promotion_discount_lines", SQL_PROMO + " UNION ALL ".join(f"SELECT DISTINCT order_id, CAST({k} AS BIGINT) AS rule_id, (-p{k})::DOUBLE AS price_unit, CAST(1 AS BIGINT) AS qty FROM d10 WHERE p{k} IS NOT NULL" for k in (4, 6, 9)))
 def _(s):
-    vat = F.array(tax(1, "percent", D(21), False, 1))
-    return pr.discount_lines(pr.promoted_lines(promo_lines(s), applied(s)), promotions(s), vat)
+    return pr.discount_lines(applied(s))
 
 
-@query("promotion_usage", ", r AS (SELECT id AS order_id, partner_id, state, id % 3 + 1 AS rule_id FROM sale_order WHERE id % 5 < 2) SELECT rule_id, partner_id, min(order_id) AS first_order, max(order_id) AS last_order FROM r WHERE state <> 'cancel' GROUP BY ALL")
+@query("promotion_usage", SQL_PROMO + ", taken AS (SELECT DISTINCT order_id, partner_id, state, unnest([" + ", ".join(f"CASE WHEN v{k} THEN CAST({k} AS BIGINT) END" for k in _RULES) + "]) AS rule_id FROM d10) SELECT rule_id, partner_id, count(*) AS n_orders, min(order_id) AS first_order, max(order_id) AS last_order FROM taken WHERE rule_id IS NOT NULL AND state <> 'cancel' GROUP BY ALL")
 def _(s):
-    taken = s.orders().filter("id % 5 < 2").select(F.col("id").alias("order_id"), "partner_id", "state", (F.col("id") % 3 + 1).alias("rule_id"))
-    return pr.promotion_usage(taken)
+    """Use of every rule by the orders that took it."""
+    heads = s.orders().select(F.col("id").alias("order_id"), "partner_id", "state")
+    return pr.promotion_usage(applied(s).select("order_id", F.explode("applied").alias("rule_id")).join(heads, "order_id"))
 
 
 # -- recommendation and history -----------------------------------------------------------
