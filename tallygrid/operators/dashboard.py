@@ -114,15 +114,21 @@ def sales(orders: DataFrame, lines: DataFrame, flt: SalesFilter, states: Sequenc
 # -- metrics ------------------------------------------------------------------------------
 
 
+def rows_of(base: DataFrame) -> Column:
+    """How many orders a group has: ``base`` may be orders, or groups of them with their number ``n``."""
+    return F.sum("n") if "n" in base.columns else F.count("*")
+
+
 def core_metrics(base: DataFrame, all_orders: DataFrame | None = None) -> DataFrame:
     """One row of headline figures. ``all_orders`` counts orders without the product filter."""
     confirmed, quoted = F.col("state").isin(*CONFIRMED), F.col("state").isin(*QUOTATION)
+    orders_in = F.col("n") if "n" in base.columns else F.lit(1).cast("bigint")
     figures = base.agg(
         sum_when(confirmed, "amount").alias("confirmed_revenue"),
         sum_when(quoted, "amount").alias("quotation_revenue"),
-        F.count_if(confirmed).alias("confirmed_orders"),
-        F.count_if(quoted).alias("quotation_orders"),
-        F.count("*").alias("all_orders"),
+        sum_when(confirmed, orders_in).alias("confirmed_orders"),
+        sum_when(quoted, orders_in).alias("quotation_orders"),
+        zero_if_null(rows_of(base)).alias("all_orders"),
     )
     if all_orders is not None:
         figures = figures.withColumn("all_orders", all_orders.agg(F.count("*")).scalar())
@@ -144,7 +150,7 @@ def quotation_funnel(metrics: DataFrame) -> DataFrame:
 
 
 def state_distribution(orders: DataFrame) -> DataFrame:
-    return orders.groupBy("state").agg(F.count("*").alias("value")).select(
+    return orders.groupBy("state").agg(rows_of(orders).alias("value")).select(
         F.col("state").alias("key"), state_label("state").alias("label"), "value"
     )
 
@@ -164,12 +170,12 @@ def daily_revenue(base: DataFrame, window: Window) -> DataFrame:
 
 
 def daily_orders(base: DataFrame, window: Window) -> DataFrame:
-    return _daily(base, window, F.count("*"))
+    return _daily(base, window, rows_of(base))
 
 
 def average_order_trend(orders: DataFrame, window: Window) -> DataFrame:
     """Mean order total per day; by design not narrowed by products."""
-    return _daily(orders, window, ratio(F.sum("amount_total"), F.count("*")))
+    return _daily(orders, window, ratio(F.sum("amount_total"), rows_of(orders)))
 
 
 def monthly_revenue(base: DataFrame) -> DataFrame:
@@ -203,17 +209,17 @@ def _first(rows: DataFrame, limit: int | None, *order: Column | str) -> DataFram
 
 
 def by_team(base: DataFrame, teams: DataFrame, lang: str = "en_US") -> DataFrame:
-    groups = base.groupBy("team_id").agg(total("amount").alias("value"), F.count("*").alias("orders_count"))
+    groups = base.groupBy("team_id").agg(total("amount").alias("value"), rows_of(base).alias("orders_count"))
     return _labelled(groups, "team_id", teams.select("id", "names"), translated("names", lang, "No Team"), ["value", "orders_count"])
 
 
 def by_salesperson(base: DataFrame, users: DataFrame) -> DataFrame:
-    groups = base.groupBy("user_id").agg(total("amount").alias("value"), F.count("*").alias("orders_count"))
+    groups = base.groupBy("user_id").agg(total("amount").alias("value"), rows_of(base).alias("orders_count"))
     return _labelled(groups, "user_id", users.select("id", "name"), named("name", "No Salesperson"), ["value", "orders_count"])
 
 
 def by_customer(base: DataFrame, partners: DataFrame) -> DataFrame:
-    groups = base.groupBy("partner_id").agg(total("amount").alias("value"), F.count("*").alias("orders_count"))
+    groups = base.groupBy("partner_id").agg(total("amount").alias("value"), rows_of(base).alias("orders_count"))
     return _labelled(groups, "partner_id", partners.select("id", "name"), named("name", "No Customer"), ["value", "orders_count"])
 
 
@@ -255,9 +261,10 @@ def top_categories(sold: DataFrame, products: DataFrame) -> DataFrame:
 
 def pivot_summary(base: DataFrame, teams: DataFrame, lang: str = "en_US", limit: int | None = None) -> DataFrame:
     confirmed, quoted = F.col("state").isin(*CONFIRMED), F.col("state").isin(*QUOTATION)
+    orders_in = F.col("n") if "n" in base.columns else F.lit(1).cast("bigint")
     groups = base.groupBy("team_id").agg(
-        F.count_if(quoted).alias("quotations"),
-        F.count_if(confirmed).alias("confirmed_orders"),
+        sum_when(quoted, orders_in).alias("quotations"),
+        sum_when(confirmed, orders_in).alias("confirmed_orders"),
         sum_when(confirmed, "amount").alias("revenue"),
     )
     named_groups = _labelled(
@@ -280,6 +287,9 @@ def line_cost(lines: DataFrame) -> Column:
 
 
 def with_margin(sold: DataFrame) -> DataFrame:
+    """Lines with their margin; groups of lines bring its sum already."""
+    if "margin" in sold.columns:
+        return sold
     return sold.withColumn("margin", F.round(F.col("price_subtotal") - line_cost(sold), 2).cast("decimal(18,2)"))
 
 

@@ -15,7 +15,7 @@ from tallygrid.plans.ranking import top_n_with_others
 from tallygrid.sources.rules import rows
 from tallygrid.sources.star import Star
 from workload.prelude import ratio_sql
-from workload.registry import query
+from workload.registry import ORACLES, query
 
 YEAR = d.SalesFilter(Window(date(1997, 1, 1), date(1997, 12, 31)), (0, 1, 2, 3))
 BY_PRODUCT = d.SalesFilter(YEAR.window, YEAR.company_ids, product_ids=tuple(range(0, 60)))
@@ -359,3 +359,50 @@ PAYLOAD_KEYS = {
 )
 def _(s):
     return payload.dashboard_payload(s.orders(), s.lines(), YEAR)
+
+
+# section: key, label and up to three numbers of the query of that name, or of the one named first
+BUNDLE = {
+    "team_performance": ("record_id", "label", "value", "orders_count"),
+    "salesperson_performance": ("record_id", "label", "value", "orders_count"),
+    "top_customers": ("record_id", "label", "value", "orders_count"),
+    "top_products": ("record_id", "label", "value", "quantity"),
+    "top_categories": ("record_id", "label", "value"),
+    "margin_top_products": ("record_id", "label", "value"),
+    "margin_top_customers": ("record_id", "label", "value"),
+    "kpis": ("key", "label", "value"),
+    "comparison": ("key", "label", "current_value", "previous_value", "difference_pct"),
+    "alerts": ("level", "title"),
+    "quotation_funnel": ("key", "label", "value", "pct"),
+    "state_distribution": ("key", "label", "value"),
+    "daily_revenue": ("date", "label", "value"),
+    "daily_orders": ("date", "label", "value"),
+    "average_order_trend": ("date", "label", "value"),
+    "monthly_revenue": ("date", "label", "value"),
+    "weekday_heatmap": ("key", "label", "value"),
+    "pivot_summary": ("record_id", "label", "revenue", "average_order_value", "conversion"),
+    "profitability": ("'all'", "'all'", "revenue", "margin_amount", "margin_rate"),
+    "low_margin_orders": ("record_id", "label", "revenue", "margin_amount", "margin_rate"),
+    "target_progress": ("key", "owner_type", "actual_amount", "target_amount", "achievement"),
+    "recent_orders": ("id", "partner_name", "amount_total", "amount_untaxed"),
+}
+_QUERY_OF = {"kpis": "kpi_cards", "comparison": "comparison_cards", "alerts": "dashboard_alerts"}
+
+
+def _bundle_sql() -> str:
+    """Every section from the SQL of its own query."""
+    parts = []
+    for section, columns in BUNDLE.items():
+        key, label, *numbers = columns
+        values = ", ".join(f"{n}::DOUBLE AS {c}" for n, c in zip([*numbers, "NULL", "NULL", "NULL"][:3], ("value", "second", "third"), strict=True))
+        end = " ORDER BY date_order DESC, id DESC LIMIT 10" if section == "recent_orders" else ""
+        parts.append(f"(SELECT '{section}' AS section, ({key})::VARCHAR AS key, ({label})::VARCHAR AS label, {values} FROM ({ORACLES[_QUERY_OF.get(section, section)]}){end})")
+    return " UNION ALL ".join(parts)
+
+
+@query("dashboard_bundle")
+def _(s):
+    return payload.dashboard_bundle(s.orders(), s.lines(), _targets(s), s.partners(), s.products(), s.teams(), s.users(), YEAR)
+
+
+ORACLES["dashboard_bundle"] = _bundle_sql()
