@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallygrid.functions.labels import CONFIRMED
 from tallygrid.functions.money import MONEY, PERCENT, QTY, floored, money, percent_of, quantity, total, zero_if_null
 from tallygrid.plans.asof import convert_currency
-from tallygrid.plans.skew import attach_totals, running_totals
+from tallygrid.plans.skew import attach_totals, prefix_sums
 
 
 def amount_to_invoice(orders: DataFrame, lines: DataFrame) -> DataFrame:
@@ -255,9 +255,7 @@ def greedy_payment_allocation(invoices: DataFrame, budgets: DataFrame, group: st
     open_ = invoices.filter((F.col("state") == "posted") & (F.col("payment_state") != "paid"))
     refund = F.col("move_type") == "out_refund"
     given_back = open_.filter(refund).groupBy(group).agg(F.sum("amount_residual").alias("_back"))
-    bills = running_totals(
-        open_.filter(~refund), [group], "invoice_date", [F.col("invoice_date"), F.col("id")], {"_until": F.col("amount_residual")}
-    )
+    bills = prefix_sums(open_.filter(~refund), [group], [F.col("invoice_date"), F.col("id")], {"_until": F.col("amount_residual")})
     enlarged = budgets.join(given_back, group, "left").withColumn("_budget", F.col("budget") + zero_if_null("_back"))
     spread = bills.join(enlarged, group).withColumn(
         "payment", floored(F.least("amount_residual", F.col("_budget") - (F.col("_until") - F.col("amount_residual")))).cast(MONEY)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallygrid.functions.money import QTY, zero_if_null
-from tallygrid.plans.skew import numbered, running_totals
+from tallygrid.plans.skew import prefix_sums
 
 ORDER = ("sequence", "line_no")
 
@@ -16,15 +15,13 @@ ORDER = ("sequence", "line_no")
 def line_number(lines: DataFrame) -> DataFrame:
     """1..n over the product lines of an order, by sequence."""
     plain = lines.filter(F.col("display_type").isNull())
-    return numbered(plain, ["order_id"], "sequence", [F.col(c) for c in ORDER], "line_number")
+    return prefix_sums(plain, ["order_id"], [F.col(c) for c in ORDER], {"line_number": F.lit(1).cast("bigint")})
 
 
 def serial_no(lines: DataFrame) -> DataFrame:
     """Product lines numbered in sequence, sections and notes 0."""
     plain = F.col("display_type").isNull()
-    counted = running_totals(
-        lines, ["order_id"], "sequence", [F.col(c) for c in ORDER], {"_n": F.when(plain, F.lit(1)).otherwise(F.lit(0)).cast("bigint")}
-    )
+    counted = prefix_sums(lines, ["order_id"], [F.col(c) for c in ORDER], {"_n": F.when(plain, F.lit(1)).otherwise(F.lit(0)).cast("bigint")})
     return counted.withColumn("serial_no", F.when(plain, F.col("_n")).otherwise(F.lit(0))).drop("_n")
 
 
@@ -66,7 +63,7 @@ def lot_numbers(lines: DataFrame) -> DataFrame:
     number = F.when(index.rlike("^[0-9]+$"), index.cast("bigint")).otherwise(F.lit(0))
     top = lines.filter("lot_name IS NOT NULL").groupBy("order_id").agg(F.max(number).alias("_top"))
     missing = lines.filter(F.col("auto_lot") & F.col("lot_name").isNull())
-    counted = numbered(missing, ["order_id"], "sequence", [F.col(c) for c in ORDER], "_n")
+    counted = prefix_sums(missing, ["order_id"], [F.col(c) for c in ORDER], {"_n": F.lit(1).cast("bigint")})
     position = zero_if_null("_top") + F.col("_n")
     return counted.join(top, "order_id", "left").withColumn("lot_name", F.format_string("%s-%03d", "order_name", position)).drop("_n", "_top")
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallygrid.session import staged
+
 
 def attach_totals(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
     """Every row with its group's totals: partial aggregation, then a join that AQE can split."""
@@ -52,6 +54,36 @@ def running_totals(
     )
 
 
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], totals: dict[str, Column]) -> DataFrame:
+    """Inclusive running sums of ``totals`` inside ``keys`` by ``order``, for groups of any size and any order columns.
+
+    The rows are cut into sorted runs by ranges of (keys, order), so a large group is spread over many runs, and are
+    written once. Each run sums its own part of a group; what the runs before it hold of the group is added as an offset.
+    A window never holds more than one run's part of a group, or one sum for each run of a group. ``order`` must be
+    unique inside a group for repeatable results; null keys are a group of their own.
+    """
+    keys = list(keys)
+    along = [*[F.col(k).asc_nulls_first() for k in keys], *order]
+    runs = df.repartitionByRange(*along).sortWithinPartitions(*along)
+    runs = staged(runs.withColumn("_at", F.monotonically_increasing_id()), "runs")
+    runs = runs.withColumn("_run", F.shiftright("_at", 33))
+    per_run = runs.groupBy("_run", *keys).agg(*[F.sum(value).alias(f"_{name}_sum") for name, value in totals.items()])
+    before = W.partitionBy(*keys).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    offsets = per_run.select(
+        F.col("_run").alias("_of_run"),
+        *[F.col(k).alias(f"_of_{k}") for k in keys],
+        *[F.coalesce(F.sum(f"_{n}_sum").over(before), F.lit(0)).alias(f"_{n}_before") for n in totals],
+    )
+    # a run's first group only can have begun in an earlier one
+    offsets = offsets.filter(" OR ".join(f"_{n}_before <> 0" for n in totals))
+    inside = W.partitionBy("_run", *keys).orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = runs.select(*df.columns, "_run", *[F.coalesce(F.sum(value).over(inside), F.lit(0)).alias(f"_{n}_local") for n, value in totals.items()])
+    same = [F.col("_run") == F.col("_of_run"), *[F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]]
+    return local.join(offsets, same, "left").select(
+        *df.columns, *[(F.col(f"_{n}_local") + F.coalesce(f"_{n}_before", F.lit(0))).alias(n) for n in totals]
+    )
+
+
 def numbered(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], name: str) -> DataFrame:
     """1..n inside ``keys``: ``row_number`` for groups of any size."""
     return running_totals(df, keys, bucket, order, {name: F.lit(1).cast("bigint")})
@@ -69,9 +101,3 @@ def pick_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column], colum
     ranked = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)])
     packed = F.max_by(F.struct(*columns), ranked).alias("_last")
     return df.groupBy(*keys).agg(packed).select(*keys, "_last.*")
-
-
-def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """Up to ``n`` rows per group; Spark limits each group before the shuffle (window group limit)."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("rank", rank).filter(F.col("rank") <= n)

@@ -308,3 +308,31 @@ def test_currency_is_converted_before_rounding(spark):
     facts = spark.createDataFrame([(D("1000000.00"), 1, 2, day), (D("90000000000.00"), 3, 4, day)], "a decimal(18,2), src long, dst long, day date")
     found = {r["a"]: r["out"] for r in convert_currency(facts, rates, "a", "src", "dst", "day", "out").collect()}
     assert found == {D("1000000.00"): D("333333.33"), D("90000000000.00"): D("630000.00")}
+
+
+def test_prefix_sums_spread_one_large_group(spark):
+    """200,000 rows of one key with unique order values: same sums as a window, and no run holds the group."""
+    from tallygrid.plans.skew import prefix_sums
+    from tallygrid.session import staged
+
+    hot = spark.range(200_000).select(F.lit(1).cast("bigint").alias("k"), F.col("id").alias("seq"), (F.col("id") % 7 - 3).alias("v"))
+    small = spark.range(3000).select((F.col("id") % 1000 + 2).alias("k"), F.col("id").alias("seq"), F.lit(1).cast("bigint").alias("v"))
+    none = spark.range(10).select(F.lit(None).cast("bigint").alias("k"), F.col("id").alias("seq"), F.lit(2).cast("bigint").alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = staged(prefix_sums(hot.unionByName(small).unionByName(none), ["k"], [F.col("seq")], {"run": F.col("v"), "n": F.lit(1).cast("bigint")}), "sums")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    first = got.filter("k = 1").agg(F.count("*"), F.sum(F.when(F.col("n") == F.col("seq") + 1, 0).otherwise(1)), F.max("n")).first()
+    assert tuple(first) == (200_000, 0, 200_000)
+    at = {r.seq: r.run for r in got.filter("k = 1 AND seq IN (0, 99999, 199999)").collect()}
+    assert at == {s: sum(i % 7 - 3 for i in range(s + 1)) for s in (0, 99999, 199999)}
+    assert got.filter("k > 1").agg(F.max("n"), F.count("*")).first()[:] == (3, 3000)
+    assert sorted(r.run for r in got.filter("k IS NULL").collect()) == list(range(2, 21, 2))
+
+
+def test_prefix_sums_of_nothing(spark):
+    from tallygrid.plans.skew import prefix_sums
+
+    empty = spark.createDataFrame([], "k bigint, seq bigint, v bigint")
+    assert prefix_sums(empty, ["k"], [F.col("seq")], {"run": F.col("v")}).count() == 0
