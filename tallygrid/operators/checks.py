@@ -28,6 +28,56 @@ def duplicates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+@dataclass(frozen=True)
+class KeySet:
+    """Columns that must be unique in ``rows``.
+
+    As in SQL a key with a null counts for nothing, unless ``nulls_equal`` holds: then nulls are a value like any other.
+    """
+
+    rule: str
+    rows: DataFrame
+    keys: tuple[str, ...]
+    nulls_equal: bool = False
+
+
+def uniqueness_checks(sets: Sequence[KeySet]) -> DataFrame:
+    """(rule, key, n) of every key that occurs more than once, all sets in one shuffle.
+
+    Each set is reduced to its keys and counted before the shuffle. Keys meet as JSON, so no two different keys look alike;
+    ``key`` shows the values joined by a slash, nulls as nothing.
+    """
+    parts = []
+    for s in sets:
+        rows = s.rows if s.nulls_equal else s.rows.dropna(subset=list(s.keys))
+        values = [F.col(k) for k in s.keys]
+        shown = F.concat_ws("/", *[F.coalesce(v.cast("string"), F.lit("")) for v in values])
+        exact = F.to_json(F.struct(*[v.cast("string").alias(f"k{i}") for i, v in enumerate(values)]), {"ignoreNullFields": "false"})
+        parts.append(rows.select(F.lit(s.rule).alias("rule"), shown.alias("key"), exact.alias("_exact")))
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part)
+    return stacked.groupBy("rule", "key", "_exact").agg(F.count("*").alias("n")).filter("n > 1").drop("_exact")
+
+
+def out_of_range(probability: Column | None = None, cancel_days: Column | None = None, rate: Column | None = None, owner: tuple[Column, Column, Column] | None = None) -> list[tuple[str, Column]]:
+    """Range tests for :func:`failing`: a probability in 0..100, cancel days from 0, a rate above 0, the owner its scope asks for.
+
+    ``owner`` is (scope, team, user). A null value fails no range test, a missing owner fails its own.
+    """
+    tests = []
+    if probability is not None:
+        tests.append(("probability out of range", ~probability.between(0, 100)))
+    if cancel_days is not None:
+        tests.append(("negative cancel days", cancel_days < 0))
+    if rate is not None:
+        tests.append(("rate not positive", rate <= 0))
+    if owner is not None:
+        scope, team, user = owner
+        tests += [("team missing", (scope == "team") & team.isNull()), ("salesperson missing", (scope == "user") & user.isNull())]
+    return tests
+
+
 # -- exception rules ----------------------------------------------------------------------
 
 

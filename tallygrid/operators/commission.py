@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions.dates import month_start, period_end, period_start
-from tallygrid.functions.money import MONEY, PERCENT, floored, money, percent_of, total
+from tallygrid.functions.money import MONEY, PERCENT, floored, money, percent_of, total, zero_if_null
 
 # Payment states that release a commission which waits for payment.
 PAID_STATES = ("in_payment", "paid", "reversed")
@@ -179,6 +179,32 @@ def settle_commissions(due: DataFrame, existing: DataFrame) -> DataFrame:
     return groups.join(known, list(SETTLEMENT_KEYS), "left")
 
 
+def settlement_run(
+    agent_lines: DataFrame, agents: DataFrame, commissions: DataFrame, settlements: DataFrame, settlement_lines: DataFrame, date_to: date, keys: Sequence[str]
+) -> DataFrame:
+    """The settlement lines that one more run adds: (settlement_id, *SETTLEMENT_KEYS, *keys, amount).
+
+    ``settlements`` is (id string, *SETTLEMENT_KEYS, state) and ``settlement_lines`` (settlement_id, *keys) of all earlier
+    runs. A line with a settlement that is not cancelled is settled and left out, so a repeated run adds nothing, and lines
+    of cancelled settlements are due again. The open settlement of the same agent, company, currency and period takes
+    the lines; else a new one does, whose id is the keys and the number of earlier settlements with these keys.
+    """
+    left = settled_flags(agent_lines.drop("settled"), settlement_lines, settlements, keys)
+    due = settleable_lines(left, agents, commissions, date_to).select(*SETTLEMENT_KEYS, *keys, "amount")
+    known = settlements.groupBy(*SETTLEMENT_KEYS).agg(
+        F.min(F.when(F.col("state") == "settled", F.col("id"))).alias("_open"), F.count("*").alias("_earlier")
+    )
+    fresh = F.concat_ws("/", *[F.col(k).cast("string") for k in SETTLEMENT_KEYS], zero_if_null("_earlier").cast("string"))
+    return due.join(known, list(SETTLEMENT_KEYS), "left").select(
+        F.coalesce("_open", fresh).alias("settlement_id"), *SETTLEMENT_KEYS, *keys, "amount"
+    )
+
+
+def settlements_of(lines: DataFrame) -> DataFrame:
+    """The open settlements that a run's lines make up, as further runs read them."""
+    return lines.select(F.col("settlement_id").alias("id"), *SETTLEMENT_KEYS).distinct().withColumn("state", F.lit("settled"))
+
+
 def settlement_totals(lines: DataFrame, key: str = "settlement_id") -> DataFrame:
     return lines.groupBy(key).agg(total("settled_amount").alias("total"))
 

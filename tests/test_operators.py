@@ -336,3 +336,39 @@ def test_prefix_sums_of_nothing(spark):
 
     empty = spark.createDataFrame([], "k bigint, seq bigint, v bigint")
     assert prefix_sums(empty, ["k"], [F.col("seq")], {"run": F.col("v")}).count() == 0
+
+
+def test_key_sets_count_nulls_only_where_they_are_equal(rows):
+    df = rows("a string, b bigint", [("x", 1), ("x", 1), ("x", None), ("x", None), ("x/1", 2), ("x", 12), (None, None), (None, None)])
+    slash = rows("a string, b string", [("p/q", "r"), ("p", "q/r")])
+    sets = [checks.KeySet("plain", df, ("a", "b")), checks.KeySet("null", df, ("a", "b"), nulls_equal=True), checks.KeySet("slash", slash, ("a", "b"))]
+    assert pairs(checks.uniqueness_checks(sets), "rule", "key", "n") == [("null", "/", 2), ("null", "x/", 2), ("null", "x/1", 2), ("plain", "x/1", 2)]
+
+
+def test_ranges_pass_nulls_and_ask_for_owners(rows):
+    df = rows("id bigint, p bigint, d bigint, r double, scope string, team bigint, usr bigint",
+              [(1, 101, -1, 0.0, "team", None, 1), (2, None, None, None, "user", 1, None), (3, 0, 0, 0.1, "user", None, 4)])
+    tests = checks.out_of_range(F.col("p"), F.col("d"), F.col("r"), (F.col("scope"), F.col("team"), F.col("usr")))
+    assert pairs(checks.failing(df, *tests), "id", "reason") == [
+        (1, "negative cancel days"), (1, "probability out of range"), (1, "rate not positive"), (1, "team missing"), (2, "salesperson missing"),
+    ]
+
+
+def test_a_second_settlement_run_adds_nothing_until_one_is_cancelled(rows):
+    line = "order_id bigint, agent_id bigint, commission_id bigint, company_id bigint, currency_id bigint, invoice_date date, move_state string, payment_state string, product_id bigint, amount decimal(18,2)"
+    facts = rows(line, [(n, 1, 1, 1, 1, d, "posted", "paid", 5, D(10)) for n, d in enumerate((date(2024, 1, 3), date(2024, 1, 30), date(2024, 2, 5)))])
+    agents = rows("id bigint, settlement string", [(1, "monthly")])
+    terms = rows("id bigint, invoice_state string", [(1, "paid")])
+    keys, top = "agent_id bigint, company_id bigint, currency_id bigint, date_from date, date_to date", date(2024, 2, 20)
+
+    def run(settlements, settled, date_to=top):
+        found = commission.settlement_run(facts, agents, terms, rows(f"id string, {keys}, state string", settlements), rows("settlement_id string, order_id bigint", settled), date_to, ["order_id"])
+        return sorted((r.settlement_id, r.order_id) for r in found.collect())
+
+    january = "1/1/1/2024-01-01/2024-01-31/"
+    made = [(january + "0", 1, 1, 1, date(2024, 1, 1), date(2024, 1, 31), "settled")]
+    assert run([], []) == [(january + "0", 0), (january + "0", 1)]
+    assert run(made, [(january + "0", 0), (january + "0", 1)]) == []
+    assert run(made, [(january + "0", 0)]) == [(january + "0", 1)]  # the open settlement is extended
+    assert run([(*made[0][:-1], "cancel")], [(january + "0", 0), (january + "0", 1)]) == [(january + "1", 0), (january + "1", 1)]
+    assert run(made, [(january + "0", 0), (january + "0", 1)], date(2024, 3, 1)) == [("1/1/1/2024-02-01/2024-02-29/0", 2)]

@@ -402,26 +402,52 @@ def _(s):
     return ck.agent_integrity_check(agents).select("id", "reason")
 
 
-@query("uniqueness_checks", """SELECT 'order line position' AS rule, order_id || '/' || sequence AS key, count(*) AS n FROM sale_order_line GROUP BY 2 HAVING count(*) > 1
-UNION ALL SELECT 'line agent', order_id || '/' || product_id || '/' || agent_id, count(*) FROM sale_order_line GROUP BY 2 HAVING count(*) > 1
-UNION ALL SELECT 'revision', revision_group || '/' || revision_number // 2 || '/' || company_id, count(*) FROM sale_order GROUP BY 2 HAVING count(*) > 1""")
-def _(s):
-    def keyed(name, df, keys):
-        return ck.duplicates(df, keys).select(F.lit(name).alias("rule"), F.concat_ws("/", *keys).alias("key"), "n")
-
-    revisions = s.orders().withColumn("half", F.floor(F.col("revision_number") / 2))
-    return (
-        keyed("order line position", s.lines(), ["order_id", "sequence"])
-        .unionByName(keyed("line agent", s.lines(), ["order_id", "product_id", "agent_id"]))
-        .unionByName(keyed("revision", revisions, ["revision_group", "half", "company_id"]))
-    )
-
-
-@query("range_checks", "SELECT id, 'validity before order' AS reason FROM sale_order WHERE validity_date < CAST(date_order AS DATE) + CAST(id % 40 AS INT) UNION ALL SELECT id, 'probability out of range' FROM sale_order WHERE id % 120 > 100 UNION ALL SELECT id, 'no owner' FROM sale_order WHERE user_id IS NULL AND team_id IS NULL")
+def unique_sql(rule: str, keys: list[str], source: str, nulls_equal: bool = False) -> str:
+    shown = " || '/' || ".join(f"coalesce(({k})::VARCHAR, '')" for k in keys)
+    some = "" if nulls_equal else " WHERE " + " AND ".join(f"({k}) IS NOT NULL" for k in keys)
+    return f"SELECT '{rule}' AS rule, {shown} AS key, count(*) AS n FROM {source}{some} GROUP BY {', '.join(keys)} HAVING count(*) > 1"
+
+
+UNIQUE_SQL = " UNION ALL ".join([
+    unique_sql("line agent", ["order_id", "product_id", "agent_id"], "sale_order_line"),
+    unique_sql("target", ["company_id", "id % 2", "team_id", "user_id", "CAST(date_trunc('month', date_order) AS DATE)"], "sale_order"),
+    unique_sql("area rate", ["CAST(date_order AS DATE)", "nullif(type_id, 5)", "company_id"], "sale_order"),
+    unique_sql("applied area rate", ["CAST(date_order AS DATE)", "nullif(type_id, 5)", "company_id"], "(SELECT * FROM sale_order WHERE state = 'sale')", True),
+    unique_sql("revision", ["revision_group", "revision_number // 2", "company_id"], "sale_order"),
+    unique_sql("coupon code", ["zip"], "partner"),
+    unique_sql("instalment", ["order_id", "sequence"], "sale_order_line"),
+])
+
+
+@query("uniqueness_checks", UNIQUE_SQL)
+def _(s):
+    """Orders stand for targets, area rates and revisions, customers' codes for coupons, line positions for instalments."""
+    orders = s.orders().select(
+        "id", "company_id", "team_id", "user_id", "state", "revision_group",
+        (F.col("id") % 2).alias("scope"), F.trunc("date_order", "month").alias("month"), F.col("date_order").cast("date").alias("day"),
+        F.expr("nullif(type_id, 5)").alias("categ_id"), F.expr("revision_number div 2").alias("half"),
+    )
+    rate = ("day", "categ_id", "company_id")
+    return ck.uniqueness_checks([
+        ck.KeySet("line agent", s.lines(), ("order_id", "product_id", "agent_id")),
+        ck.KeySet("target", orders, ("company_id", "scope", "team_id", "user_id", "month")),
+        ck.KeySet("area rate", orders, rate),
+        ck.KeySet("applied area rate", orders.filter("state = 'sale'"), rate, nulls_equal=True),
+        ck.KeySet("revision", orders, ("revision_group", "half", "company_id")),
+        ck.KeySet("coupon code", s.partners(), ("zip",)),
+        ck.KeySet("instalment", s.lines(), ("order_id", "sequence")),
+    ])
+
+
+@query("range_checks", """SELECT id, 'validity before order' AS reason FROM sale_order WHERE validity_date < CAST(date_order AS DATE) + CAST(id % 40 AS INT)
+UNION ALL SELECT id, 'probability out of range' FROM sale_order WHERE id % 120 > 100 UNION ALL SELECT id, 'negative cancel days' FROM sale_order WHERE id % 50 < 3
+UNION ALL SELECT id, 'rate not positive' FROM sale_order WHERE discount_rate <= 0 UNION ALL SELECT id, 'team missing' FROM sale_order WHERE id % 2 = 0 AND team_id IS NULL
+UNION ALL SELECT id, 'salesperson missing' FROM sale_order WHERE id % 2 = 1 AND user_id IS NULL""")
 def _(s):
     late = F.col("validity_date") < F.date_add(F.col("date_order").cast("date"), (F.col("id") % 40).cast("int"))
-    tests = (("validity before order", late), ("probability out of range", ~(F.col("id") % 120).between(0, 100)), ("no owner", F.col("user_id").isNull() & F.col("team_id").isNull()))
-    return ck.failing(s.orders(), *tests).select("id", "reason")
+    scope = F.when(F.col("id") % 2 == 0, F.lit("team")).otherwise(F.lit("user"))
+    tests = ck.out_of_range(F.col("id") % 120, F.col("id") % 50 - 3, F.col("discount_rate"), (scope, F.col("team_id"), F.col("user_id")))
+    return ck.failing(s.orders(), ("validity before order", late), *tests).select("id", "reason")
 
 
 # -- automation ---------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions.labels import CONFIRMED
 from tallygrid.operators import commission as c
+from tallygrid.session import staged
 from tallygrid.sources.rules import rows
 from tallygrid.sources.star import Star
 from workload.registry import query
@@ -111,10 +112,10 @@ def assigned(s: Star):
     )
 
 
-def invoice_agent_lines(s: Star):
+def invoice_agent_lines(s: Star, keyed=False):
     goods = s.products().select(F.col("id").alias("product_id"), "commission_free", "standard_price", "categ_id", F.col("uom_id").alias("product_uom_id"))
     agents = s.users().select(F.col("id").alias("agent_id"), "commission_id")
-    lines = s.invoice_lines().filter("display_type IS NULL").join(goods, "product_id").join(agents, "agent_id")
+    lines = s.invoice_lines(s.keyed_lines() if keyed else None).filter("display_type IS NULL").join(goods, "product_id").join(agents, "agent_id")
     lines = lines.withColumn("settled", F.col("order_id") % 10 == 0)
     return c.commission_amount(lines, commissions(s), bands(s), FORMULAS, F.col("move_type") == "out_refund")
 
@@ -176,6 +177,47 @@ def _(s):
     return settlements(s)
 
 
+def _run_sql(name: str, cut: str, earlier: str) -> str:
+    """Lines due before ``cut`` and not in ``earlier``, a table of settled (order_id, line_no)."""
+    return f""", {name} AS (SELECT *, {end_sql('date_from')} AS date_to FROM (
+  SELECT a.order_id, a.line_no, a.agent_id, a.company_id, a.currency_id, a.amount, u.settlement, {start_sql('a.invoice_date')} AS date_from
+  FROM agent_line a JOIN users u ON u.id = a.agent_id JOIN commission k2 ON k2.id = a.commission_id
+  WHERE NOT EXISTS (FROM {earlier} e WHERE e.order_id = a.order_id AND e.line_no = a.line_no) AND move_state = 'posted'
+    AND NOT (k2.invoice_state = 'paid' AND payment_state NOT IN ('in_payment','paid','reversed')) AND a.invoice_date < {start_sql(cut)}))"""
+
+
+_KEY = "agent_id || '/' || company_id || '/' || currency_id || '/' || date_from || '/' || date_to || '/'"
+# the first run's settlements of every fifth agent are cancelled before the second; the third repeats the second
+RUNS_SQL = (
+    SQL_RULES + INVOICE_AGENT_SQL + ", nothing AS (SELECT order_id, line_no FROM agent_line WHERE FALSE)"
+    + _run_sql("run1", "DATE '1997-05-20'", "nothing")
+    + ", live1 AS (SELECT order_id, line_no FROM run1 WHERE agent_id % 5 <> 2)"
+    + _run_sql("run2", "DATE '1998-05-20'", "live1")
+    + ", seen AS (SELECT agent_id, company_id, currency_id, date_from, count(*) AS n FROM run1 GROUP BY ALL)"
+    + f""" SELECT 2::BIGINT AS run, {_KEY} || CASE WHEN s.n IS NOT NULL AND agent_id % 5 = 2 THEN 1 ELSE 0 END AS settlement_id, count(*) AS line_count, sum(amount)::DOUBLE AS amount
+FROM run2 LEFT JOIN seen s USING (agent_id, company_id, currency_id, date_from) GROUP BY ALL
+UNION ALL SELECT 1, {_KEY} || 0, count(*), sum(amount)::DOUBLE FROM run1 GROUP BY ALL"""
+)
+
+
+@query("settlement_runs", RUNS_SQL)
+def _(s):
+    """Three runs one after another: the second also takes the lines of cancelled settlements, the third adds nothing."""
+    keys = ["order_id", "line_no"]
+    facts = staged(invoice_agent_lines(s, keyed=True).drop("settled"), "agent-lines")
+    none = s.spark.createDataFrame([], "id string, agent_id bigint, company_id bigint, currency_id bigint, date_from date, date_to date, state string")
+    no_lines = s.spark.createDataFrame([], "settlement_id string, order_id bigint, line_no bigint")
+    names = ["settlement_id", *keys]
+    first = staged(c.settlement_run(facts, s.users(), commissions(s), none, no_lines, date(1997, 5, 20), keys), "run")
+    cancelled = F.when(F.col("agent_id") % 5 == 2, F.lit("cancel")).otherwise(F.lit("settled"))
+    made = c.settlements_of(first).withColumn("state", cancelled)
+    second = staged(c.settlement_run(facts, s.users(), commissions(s), made, first.select(names), date(1998, 5, 20), keys), "run")
+    both, lines = made.unionByName(c.settlements_of(second)).distinct(), first.select(names).unionByName(second.select(names))
+    third = c.settlement_run(facts, s.users(), commissions(s), both, lines, date(1998, 5, 20), keys)
+    runs = [r.groupBy(F.lit(n).cast("bigint").alias("run"), "settlement_id").agg(F.count("*").alias("line_count"), F.sum("amount").alias("amount")) for n, r in ((1, first), (2, second), (3, third))]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
 @query("settlement_period_runs", DUE_SQL + "SELECT agent_id, settlement, CAST(date_from AS VARCHAR) AS date_from, CAST(date_to AS VARCHAR) AS date_to, CAST(min(invoice_date) AS VARCHAR) AS first_invoice, CAST(max(invoice_date) AS VARCHAR) AS last_invoice, count(*) AS line_count FROM due GROUP BY ALL")
 def _(s):
     due = c.settleable_lines(invoice_agent_lines(s), s.users(), commissions(s), date(1998, 5, 20))
