@@ -150,11 +150,11 @@ def _(s):
     return f.move_sequence_copy(s.stock_moves(), s.keyed_lines()).select("order_id", "line_no", "is_return", "move_sequence")
 
 
-@query("purchase_orders_of_sale", """, l AS (SELECT DISTINCT order_id, order_id * 10 + sequence % 2 AS g FROM sale_order_line), p AS (SELECT DISTINCT order_id * 10 + sequence % 2 AS g, agent_id AS po FROM sale_order_line WHERE product_id % 3 = 0 UNION SELECT order_id * 10 + line_no % 2, product_id % 50 FROM stock_move)
+@query("purchase_orders_of_sale", """, l AS (SELECT DISTINCT order_id, order_id * 10 + sequence % 2 AS g FROM sale_order_line), p AS (SELECT DISTINCT order_id * 10 + sequence % 2 AS g, agent_id AS po FROM sale_order_line UNION SELECT order_id * 10 + line_no % 2, product_id % 50 FROM stock_move)
 SELECT DISTINCT order_id, po AS purchase_id FROM l JOIN p USING (g)""")
 def _(s):
     group = (F.col("order_id") * 10 + F.col("sequence") % 2).alias("group_id")
-    direct = s.lines().filter("product_id % 3 = 0").select(group, F.col("agent_id").alias("purchase_id"))
+    direct = s.lines().select(group, F.col("agent_id").alias("purchase_id"))
     moved = s.stock_moves().select((F.col("order_id") * 10 + F.col("line_no") % 2).alias("group_id"), (F.col("product_id") % 50).alias("purchase_id"))
     return f.purchase_orders_of_sale(s.lines().select("order_id", group), direct, moved)
 
@@ -411,7 +411,7 @@ def blanket_id(partner="partner_id"):
 def blanket_lines(s: Star):
     """One blanket line per (customer, product) that was ever ordered together, for every third product."""
     heads = s.orders().select(F.col("id").alias("order_id"), "partner_id", (F.col("partner_id") % 3 + 1).alias("currency_id"))
-    wanted = s.lines().filter("product_id % 3 = 0 AND display_type IS NULL").select("order_id", "product_id", "qty", "price_unit", "tax_rate", "ship_date").join(heads, "order_id")
+    wanted = s.lines().filter("display_type IS NULL").select("order_id", "product_id", "qty", "price_unit", "tax_rate", "ship_date").join(heads, "order_id")
     return wanted.groupBy("partner_id", "product_id", "currency_id").agg(
         (F.sum("qty") + F.col("product_id") % 4 * 5 - 5).cast(QTY).alias("original_qty"), F.max("price_unit").alias("price_unit"), F.max("tax_rate").alias("tax_rate"),
         F.when(F.col("product_id") % 2 == 0, F.max("ship_date")).alias("date_schedule"),
@@ -431,7 +431,7 @@ def linked_lines(s: Star):
 
 SQL_BLANKET = SQL_UOM + """
 , bl AS (SELECT partner_id, product_id, partner_id % 3 + 1 AS currency_id, sum(qty) + product_id % 4 * 5 - 5 AS original_qty, max(price_unit) AS price_unit, max(tax_rate) AS tax_rate, CASE WHEN product_id % 2 = 0 THEN max(ship_date) END AS date_schedule, partner_id * 1000000 + product_id AS id, CASE WHEN product_id % 4 = 0 THEN 2 ELSE 1 END AS uom_id
- FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id WHERE product_id % 3 = 0 AND display_type IS NULL GROUP BY partner_id, product_id),
+ FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id WHERE display_type IS NULL GROUP BY partner_id, product_id),
 us AS (SELECT o.partner_id * 1000000 + l.product_id AS id, l.uom_id AS su, sum(qty) AS a, sum(qty_invoiced) AS b, sum(qty_delivered) AS c FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id WHERE o.state <> 'cancel' GROUP BY 1, 2),
 bq AS (SELECT bl.*, coalesce(CAST(a / uf.factor * ut.factor AS DECIMAL(18,4)), 0) AS ordered, coalesce(CAST(b / uf.factor * ut.factor AS DECIMAL(18,4)), 0) AS invoiced, coalesce(CAST(c / uf.factor * ut.factor AS DECIMAL(18,4)), 0) AS delivered FROM bl JOIN uom ut ON ut.id = bl.uom_id LEFT JOIN us ON us.id = bl.id LEFT JOIN uom uf ON uf.id = us.su),
 bs AS (SELECT p.id, p.id % 6 <> 0 AS confirmed, DATE '1998-01-01' + CAST(p.id % 400 AS INT) AS vd, sum(original_qty) AS original_qty, sum(ordered) AS ordered, sum(original_qty - ordered) AS remaining FROM partner p LEFT JOIN bq ON bq.partner_id = p.id GROUP BY p.id),

@@ -290,12 +290,12 @@ def _(s):
     return ln.serial_no(s.keyed_lines()).select("order_id", "line_no", "serial_no")
 
 
-@query("related_so_sequence", """, k AS (SELECT order_id // 3 AS move_id, (order_id // 3) * 10 + line_no % 4 AS il, order_id, 'SO' || order_id AS on_, line_no FROM sale_order_line WHERE order_id % 7 < 5),
+@query("related_so_sequence", """, k AS (SELECT order_id // 3 AS move_id, (order_id // 3) * 10 + line_no % 4 AS il, order_id, 'SO' || order_id AS on_, line_no FROM sale_order_line),
 m AS (SELECT move_id, min(order_id) <> max(order_id) AS many FROM k GROUP BY 1), g AS (SELECT move_id, il, count(*) AS n, string_agg(on_ || '/' || line_no, ', ' ORDER BY line_no, on_) AS t, min(line_no) AS f FROM k GROUP BY 1, 2)
 SELECT move_id, il AS invoice_line_id, CASE WHEN many OR n > 1 THEN t ELSE CAST(f AS VARCHAR) END AS related_so_sequence FROM g JOIN m USING (move_id)""")
 def _(s):
     move = F.floor(F.col("order_id") / 3).cast("bigint")
-    links = s.keyed_lines().filter("order_id % 7 < 5").select(
+    links = s.keyed_lines().select(
         move.alias("move_id"), (move * 10 + F.col("line_no") % 4).alias("invoice_line_id"), "order_id", F.concat(F.lit("SO"), F.col("order_id").cast("string")).alias("order_name"), F.col("line_no").alias("number")
     )
     return ln.related_so_sequence(links)
@@ -359,33 +359,33 @@ def _(s):
     return ln.product_set_expand(asks, sets, s.lines().select("order_id", "product_id", "sequence"))
 
 
-@query("elaboration_merge", """, x AS (SELECT order_id, product_id % 200 AS product_id, sum(quantity) AS eq FROM stock_move WHERE dest_usage = 'customer' AND state = 'done' AND product_id % 2 = 0 GROUP BY 1, 2),
+@query("elaboration_merge", """, x AS (SELECT order_id, product_id % 200 AS product_id, sum(quantity) AS eq FROM stock_move WHERE dest_usage = 'customer' AND state = 'done' GROUP BY 1, 2),
 f AS (SELECT order_id, product_id, arg_min(qty, line_no) AS q, arg_min(sequence, line_no) AS sq FROM sale_order_line GROUP BY 1, 2), la AS (SELECT order_id, max(sequence) AS top FROM sale_order_line GROUP BY 1)
 SELECT x.order_id, x.product_id, (coalesce(q, 0) + eq)::DOUBLE AS qty, CASE WHEN q IS NULL THEN coalesce(top, 0) + 1 ELSE sq END AS sequence, CASE WHEN q IS NULL THEN 'create' ELSE 'update' END AS action FROM x LEFT JOIN f USING (order_id, product_id) LEFT JOIN la ON la.order_id = x.order_id""")
 def _(s):
-    extra = s.stock_moves().filter("dest_usage = 'customer' AND state = 'done' AND product_id % 2 = 0").select("order_id", (F.col("product_id") % 200).alias("product_id"), F.col("quantity").alias("qty"))
+    extra = s.stock_moves().filter("dest_usage = 'customer' AND state = 'done'").select("order_id", (F.col("product_id") % 200).alias("product_id"), F.col("quantity").alias("qty"))
     return ln.elaboration_merge(s.keyed_lines().select("order_id", "line_no", "product_id", "sequence", "qty"), extra)
 
 
 def bookings(s: Star):
     states = F.array(*[F.lit(x) for x in ("pending", "canceled", "confirmed", "scheduled")])
-    base = s.keyed_lines().filter("product_id % 4 = 0").select("order_id", "line_no", F.explode(F.sequence(F.lit(1), (F.col("product_id") % 6 + 1).cast("int"))).alias("n"))
+    base = s.keyed_lines().select("order_id", "line_no", F.explode(F.sequence(F.lit(1), (F.col("product_id") % 6 + 1).cast("int"))).alias("n"))
     return base.select(
         ((F.col("order_id") * 100 + F.col("line_no")) * 10 + F.col("n")).alias("id"), "order_id", "line_no",
         F.element_at(states, ((F.col("order_id") + F.col("n")) % 4 + 1).cast("int")).alias("state"),
     )
 
 
-SQL_BOOKINGS = ", bk AS (SELECT (order_id * 100 + line_no) * 10 + n AS id, order_id, line_no, CASE (order_id + n) % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'canceled' WHEN 2 THEN 'confirmed' ELSE 'scheduled' END AS state FROM sale_order_line, range(1, 7) r(n) WHERE product_id % 4 = 0 AND n <= product_id % 6 + 1)"
+SQL_BOOKINGS = ", bk AS (SELECT (order_id * 100 + line_no) * 10 + n AS id, order_id, line_no, CASE (order_id + n) % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'canceled' WHEN 2 THEN 'confirmed' ELSE 'scheduled' END AS state FROM sale_order_line, range(1, 7) r(n) WHERE n <= product_id % 6 + 1)"
 
 
-@query("booking_sync", SQL_BOOKINGS + """, t AS (SELECT order_id, line_no, CASE WHEN product_id % 8 = 4 OR o.state = 'cancel' THEN 0 ELSE CAST(floor(qty / 10) AS BIGINT) END AS want FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id WHERE product_id % 4 = 0 AND (product_id % 8 = 4 OR o.state IN ('cancel','sale'))),
+@query("booking_sync", SQL_BOOKINGS + """, t AS (SELECT order_id, line_no, CASE WHEN product_id % 8 = 4 OR o.state = 'cancel' THEN 0 ELSE CAST(floor(qty / 10) AS BIGINT) END AS want FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id WHERE product_id % 8 = 4 OR o.state IN ('cancel','sale')),
 rk AS (SELECT bk.*, want, row_number() OVER (PARTITION BY bk.order_id, bk.line_no ORDER BY CASE bk.state WHEN 'confirmed' THEN 100 WHEN 'scheduled' THEN 200 WHEN 'pending' THEN 300 ELSE 400 END, id) AS pl FROM bk JOIN t USING (order_id, line_no)),
 hv AS (SELECT order_id, line_no, count(*) AS have FROM bk GROUP BY 1, 2)
 SELECT order_id, line_no, id AS booking_id, CASE WHEN pl <= want THEN 'keep' ELSE 'cancel' END AS action FROM rk UNION ALL SELECT order_id, line_no, NULL, 'create' FROM (SELECT t.order_id, t.line_no, want - coalesce(have, 0) AS miss FROM t LEFT JOIN hv USING (order_id, line_no)) q, range(1, 10) r(n) WHERE n <= miss""")
 def _(s):
     heads = s.orders().select(F.col("id").alias("order_id"), "state")
-    lines = s.keyed_lines().filter("product_id % 4 = 0").join(heads, "order_id").select(
+    lines = s.keyed_lines().join(heads, "order_id").select(
         "order_id", "line_no", "state", (F.col("product_id") % 8 != 4).alias("bookable"), F.floor(F.col("qty") / 10).alias("qty")
     )
     return ln.booking_sync(lines, bookings(s))
