@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallygrid.functions.labels import filled
@@ -126,20 +127,29 @@ def shipping_split(lines: DataFrame) -> DataFrame:
 # -- areas --------------------------------------------------------------------------------
 
 
+def _rated(products: DataFrame, rates: DataFrame) -> DataFrame:
+    """Products of positive size with every rate of their category or of one above it, and with the rates for all.
+
+    The subtree test is an equi join on path ids. Rates without a category are listed as one constant, since each product
+    meets all of them; as a join key they would put all products into one task.
+    """
+    sized = products.filter((F.col("width") > 0) & (F.col("height") > 0))
+    names = [c for c in rates.columns if c != "categ_id"]
+    general = rates.filter(F.col("categ_id").isNull()).agg(F.collect_list(F.struct(*names))).scalar()
+    by_branch = sized.withColumn("_branch", F.explode(F.array_distinct(path_ids("parent_path"))))
+    special = by_branch.join(rates.withColumnRenamed("categ_id", "_branch"), "_branch").drop("_branch")
+    return special.unionByName(sized.withColumn("_rate", F.explode(general)).select(*products.columns, "_rate.*"))
+
+
 def area_price(products: DataFrame, rates: DataFrame) -> DataFrame:
     """Price before and after applying a rate per area unit to all products below the rate's category.
 
     ``rates`` is (rate_id, categ_id, rate); a NULL category means all. Products need (id, parent_path,
-    width, height, list_price, standard_price). The subtree test is an equi join on path ids.
+    width, height, list_price, standard_price).
     """
-    sized = products.filter((F.col("width") > 0) & (F.col("height") > 0))
-    branch = sized.withColumn(
-        "_branch", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), path_ids("parent_path")))
-    )
-    joined = branch.join(rates, F.col("_branch").eqNullSafe(rates.categ_id))
     area = (F.col("width") * F.col("height")).cast("decimal(18,4)")
     after = money(area * F.col("rate"))
-    return joined.select(
+    return _rated(products, rates).select(
         "rate_id",
         F.col("id").alias("product_id"),
         area.alias("area"),
@@ -150,6 +160,32 @@ def area_price(products: DataFrame, rates: DataFrame) -> DataFrame:
     )
 
 
+def rate_apply(products: DataFrame, rates: DataFrame) -> DataFrame:
+    """What applying the rates one after another does: (rate_id, position, product_id, price_before, cost_before, cost_after).
+
+    Only products with ``use_area_pricing`` and a size take a rate; it sets their cost to area × rate and leaves the list
+    price. ``rates`` is (rate_id, categ_id, rate, date), applied by (date, rate_id); a later rate finds the cost that the
+    earlier one left. The window holds the rates of one product.
+    """
+    cost = money((F.col("width") * F.col("height")).cast("decimal(18,4)") * F.col("rate"))
+    taken = _rated(products.filter(F.col("use_area_pricing")), rates).withColumn("cost_after", cost)
+    along = W.partitionBy("id").orderBy("date", "rate_id")
+    return taken.select(
+        "rate_id",
+        F.row_number().over(along).alias("position"),
+        F.col("id").alias("product_id"),
+        F.col("list_price").alias("price_before"),
+        F.coalesce(F.lag("cost_after").over(along), F.col("standard_price")).cast(MONEY).alias("cost_before"),
+        "cost_after",
+    )
+
+
+def products_after(products: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """The product table after :func:`rate_apply`: the cost of the last rate, all other products as they were."""
+    last = snapshot.groupBy(F.col("product_id").alias("id")).agg(F.max_by("cost_after", "position").alias("_cost"))
+    return products.join(last, "id", "left").withColumn("standard_price", F.coalesce("_cost", "standard_price")).drop("_cost")
+
+
 def path_ids(path: Column | str) -> Column:
     """Ids along a materialised path such as '1/12/140/'."""
     return F.transform(F.filter(F.split(col(path), "/"), lambda x: x != ""), lambda x: x.cast("bigint"))

@@ -19,20 +19,26 @@ def sale_report_by_type(lines: DataFrame, orders: DataFrame, by: Sequence[str] =
     )
 
 
-def discount_analytics(orders: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Discounts by user and currency, orders and invoices stacked; invoice ids are negative to stay apart."""
-    keys = ["user_id", "currency_id"]
-    sold = orders.groupBy(*keys).agg(
-        F.min("id").alias("id"), F.sum("discount_amount").alias("total_discount"), F.count_if(F.col("state").isin(*CONFIRMED)).alias("order_count"),
-        F.lit(0).cast("bigint").alias("invoice_count"),
-    )
-    billed = invoices.filter(F.col("move_type").isin("out_invoice", "out_refund")).groupBy(*keys).agg(
-        (-F.min("id")).alias("id"), F.sum("discount_amount").alias("total_discount"), F.lit(0).cast("bigint").alias("order_count"),
-        F.count_if(F.col("state") == "posted").alias("invoice_count"),
+def stacked_documents(orders: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Orders and customer invoices one below the other, one row each; invoice ids are negative to stay apart."""
+    keys = ["user_id", "currency_id", "discount_amount"]
+    none = F.lit(0).cast("bigint")
+    sold = orders.select("id", *keys, F.col("state").isin(*CONFIRMED).cast("bigint").alias("order_count"), none.alias("invoice_count"))
+    billed = invoices.filter(F.col("move_type").isin("out_invoice", "out_refund")).select(
+        (-F.col("id")).alias("id"), *keys, none.alias("order_count"), (F.col("state") == "posted").cast("bigint").alias("invoice_count")
     )
     return sold.unionByName(billed)
 
 
+def discount_analytics(orders: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Discounts by user and currency, one row for the orders and one for the invoices, with the id of the first of them."""
+    stacked = stacked_documents(orders, invoices).withColumn("_billed", F.col("id") < 0)
+    return stacked.groupBy("user_id", "currency_id", "_billed").agg(
+        F.when(F.col("_billed"), F.max("id")).otherwise(F.min("id")).alias("id"),
+        F.sum("discount_amount").alias("total_discount"), F.sum("order_count").alias("order_count"), F.sum("invoice_count").alias("invoice_count"),
+    ).drop("_billed")
+
+
 def salesperson_report(orders: DataFrame, returns: DataFrame, users: DataFrame, team_of: Column, within: Column | None = None) -> DataFrame:
     """Figures of each salesperson in the own team, and the share of all orders inside and outside that team.
 

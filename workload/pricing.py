@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
 from decimal import Decimal as D
 
 from pyspark.sql import functions as F
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 from tallygrid.functions.money import MONEY, PERCENT, QTY
 from tallygrid.operators import discounts as g
 from tallygrid.operators import pricing as p
+from tallygrid.session import shared_dir
 from tallygrid.sources.rules import rows
 from tallygrid.sources.star import Star
+from tallygrid.sources.versions import publish_version
 from workload.registry import query
 
 # Units typed in by people: how many of the unit make one reference unit.
@@ -244,11 +248,39 @@ def area_rates(s: Star):
     return rows(s.spark, "rate_id bigint, categ_id bigint, rate decimal(9,2)", RATES)
 
 
-for _name in ("area_price", "rate_apply"):
+@query("area_price", SQL_AREA + "SELECT rate_id, product_id, area::DOUBLE AS area, list_price::DOUBLE AS price_before, standard_price::DOUBLE AS cost_before, pa::DOUBLE AS price_after, (pa - list_price)::DOUBLE AS difference FROM area")
+def _(s):
+    return p.area_price(sized_products(s), area_rates(s))
+
+
+APPLIED_RATES = [(1, 11, D("3.50"), date(2024, 3, 1)), (2, 12, D("4.25"), date(2024, 1, 1)), (3, 110, D("7.10"), date(2024, 2, 1)), (4, None, D("2.00"), date(2024, 2, 1))]
+SQL_APPLY = """
+, rate AS (SELECT * FROM (VALUES (1, '/11/', 3.5, DATE '2024-03-01'), (2, '/12/', 4.25, DATE '2024-01-01'), (3, '/110/', 7.1, DATE '2024-02-01'), (4, '/', 2.0, DATE '2024-02-01')) v(rate_id, node, rate, date)),
+took AS (SELECT CAST(rate_id AS BIGINT) AS rate_id, id AS product_id, list_price, standard_price, round((id % 30) * (id % 20) * rate, 2)::DECIMAL(18,2) AS cost, row_number() OVER (PARTITION BY id ORDER BY date, rate_id) AS position
+  FROM product, rate WHERE id % 3 <> 1 AND contains('/' || parent_path, node) AND id % 30 > 0 AND id % 20 > 0)
+"""
+
+
+def area_products(s: Star):
+    return sized_products(s).withColumn("use_area_pricing", F.col("id") % 3 != 1)
+
 
-    @query(_name, SQL_AREA + "SELECT rate_id, product_id, area::DOUBLE AS area, list_price::DOUBLE AS price_before, standard_price::DOUBLE AS cost_before, pa::DOUBLE AS price_after, (pa - list_price)::DOUBLE AS difference FROM area")
-    def _(s):
-        return p.area_price(sized_products(s), area_rates(s))
+def applied_rates(s: Star):
+    return rows(s.spark, "rate_id bigint, categ_id bigint, rate decimal(9,2), date date", APPLIED_RATES)
+
+
+@query("rate_apply", SQL_APPLY + "SELECT rate_id, position, product_id, list_price::DOUBLE AS price_before, coalesce(lag(cost) OVER (PARTITION BY product_id ORDER BY position), standard_price)::DOUBLE AS cost_before, cost::DOUBLE AS cost_after FROM took")
+def _(s):
+    return p.rate_apply(area_products(s), applied_rates(s))
+
+
+@query("rate_apply_products", SQL_APPLY + "SELECT id, list_price::DOUBLE AS list_price, coalesce(c.cost, p.standard_price)::DOUBLE AS standard_price FROM product p LEFT JOIN (SELECT product_id, arg_max(cost, position) AS cost FROM took GROUP BY 1) c ON c.product_id = p.id")
+def _(s):
+    """The product table written once, rewritten with the applied rates, and read back."""
+    root = f"{shared_dir(s.spark).rstrip('/')}/products-{uuid.uuid4().hex}"
+    before = publish_version(area_products(s), root)
+    after = publish_version(p.products_after(before, p.rate_apply(before, applied_rates(s))), root)
+    return after.select("id", "list_price", "standard_price")
 
 
 @query("affected_product_count", SQL_AREA + "SELECT rate_id, count(*) AS products FROM area GROUP BY rate_id")
