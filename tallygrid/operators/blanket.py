@@ -70,22 +70,37 @@ def blanket_expired(blankets: DataFrame, today: date) -> DataFrame:
     return blankets.filter((F.col("state") == "open") & (F.col("validity_date") <= F.lit(today)))
 
 
-def nearest_blanket_line(sale_lines: DataFrame, blanket_lines: DataFrame, keys: Sequence[str], today: date) -> DataFrame:
-    """For each sale line the open blanket line nearest in time with enough left, else the first undated one.
+def nearest_blanket_line(
+    sale_lines: DataFrame, blanket_lines: DataFrame, uoms: DataFrame, keys: Sequence[str], today: date, max_days: int = MAX_DISTANCE_DAYS
+) -> DataFrame:
+    """(keys, blanket_line_id): for each sale line a blanket line of its customer, product and currency with enough left.
+
+    Enough is measured in the product's unit. A line that is already assigned stays while it is open and has enough,
+    however far its date; else the one whose schedule date is nearest to ``today``, if nearer than ``max_days``, else the
+    first undated one. Sale lines need (partner_id, product_id, currency_id, qty, uom_id, product_uom_id, blanket_line_id).
 
     The candidates of a (partner, product, currency) are packed into one array sorted by preference, so a sale
     line meets one row instead of every candidate and takes the first with enough quantity.
     """
     gap = F.abs(F.date_diff("date_schedule", F.lit(today)))
-    usable = blanket_lines.filter(F.col("state") == "open").withColumn("_gap", gap).filter(
-        F.col("_gap").isNull() | (F.col("_gap") < MAX_DISTANCE_DAYS)
-    )
+    usable = blanket_lines.filter(F.col("state") == "open").withColumn("_gap", gap)
     match = ["partner_id", "product_id", "currency_id"]
-    entry = F.struct(F.col("_gap").isNull().alias("undated"), F.coalesce("_gap", F.lit(0)).alias("gap"), F.col("id").alias("id"), F.col("remaining").alias("remaining"))
+    far = F.coalesce(F.col("_gap") >= max_days, F.lit(False))
+    entry = F.struct(
+        F.col("_gap").isNull().alias("undated"), F.coalesce("_gap", F.lit(0)).alias("gap"), F.col("id").alias("id"),
+        F.col("remaining").alias("remaining"), far.alias("far"),
+    )
     packed = usable.groupBy(*match).agg(F.array_sort(F.collect_list(entry)).alias("_candidates"))
-    joined = sale_lines.select(*keys, *match, "qty").join(packed, match, "left")
-    enough = F.filter("_candidates", lambda b: b["remaining"] >= F.col("qty"))
-    return joined.select(*keys, F.get(enough, F.lit(0))["id"].alias("blanket_line_id"))
+    asked = sale_lines.select(*keys, *match, "qty", "uom_id", "product_uom_id", F.col("blanket_line_id").alias("_assigned"))
+    in_units = asked.join(uoms.select(F.col("id").alias("uom_id"), F.col("factor").alias("_from")), "uom_id", "left").join(
+        uoms.select(F.col("id").alias("product_uom_id"), F.col("factor").alias("_to")), "product_uom_id", "left"
+    )
+    based = in_units.withColumn("_asked", convert_uom(F.col("qty"), F.col("_from"), F.col("_to"))).join(packed, match, "left")
+    enough = F.filter("_candidates", lambda b: b["remaining"] >= F.col("_asked"))
+    kept = F.exists("_enough", lambda b: b["id"] == F.col("_assigned"))
+    nearest = F.get(F.filter("_enough", lambda b: ~b["far"]), F.lit(0))["id"]
+    chosen = F.when(kept, F.col("_assigned")).otherwise(nearest)
+    return based.withColumn("_enough", enough).select(*keys, chosen.alias("blanket_line_id"))
 
 
 def agreed(value: str) -> Column:

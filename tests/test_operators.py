@@ -139,7 +139,8 @@ def test_nearest_blanket_line(rows):
     cand = rows("id bigint, partner_id bigint, product_id bigint, currency_id bigint, state string, remaining decimal(18,4), date_schedule date",
                 [(1, 1, 1, 1, "open", D(5), None), (2, 1, 1, 1, "open", D(5), date(2024, 1, 20)), (3, 1, 1, 1, "open", D(50), date(2024, 3, 1)), (4, 1, 1, 1, "done", D(99), date(2024, 1, 1)), (5, 1, 1, 1, "open", D(900), date(2026, 1, 1))])
     sale = rows("order_id bigint, partner_id bigint, product_id bigint, currency_id bigint, qty decimal(18,4)", [(1, 1, 1, 1, D(2)), (2, 1, 1, 1, D(20)), (3, 1, 1, 1, D(100)), (4, 1, 2, 1, D(1))])
-    got = blanket.nearest_blanket_line(sale, cand, ["order_id"], date(2024, 1, 1))
+    sale = sale.selectExpr("*", "1L AS uom_id", "1L AS product_uom_id", "CAST(NULL AS BIGINT) AS blanket_line_id")
+    got = blanket.nearest_blanket_line(sale, cand, rows("id bigint, factor decimal(9,4)", [(1, D(1))]), ["order_id"], date(2024, 1, 1))
     assert pairs(got.na.fill(0), "order_id", "blanket_line_id") == [(1, 2), (2, 3), (3, 0), (4, 0)]
 
 
@@ -372,3 +373,21 @@ def test_a_second_settlement_run_adds_nothing_until_one_is_cancelled(rows):
     assert run(made, [(january + "0", 0)]) == [(january + "0", 1)]  # the open settlement is extended
     assert run([(*made[0][:-1], "cancel")], [(january + "0", 0), (january + "0", 1)]) == [(january + "1", 0), (january + "1", 1)]
     assert run(made, [(january + "0", 0), (january + "0", 1)], date(2024, 3, 1)) == [("1/1/1/2024-02-01/2024-02-29/0", 2)]
+
+
+def test_assigned_blanket_lines_stay_while_they_have_enough(rows):
+    line = "line_id bigint, partner_id bigint, product_id bigint, currency_id bigint, qty decimal(18,4), uom_id bigint, product_uom_id bigint, blanket_line_id bigint"
+    held = "id bigint, partner_id bigint, product_id bigint, currency_id bigint, state string, remaining decimal(18,4), date_schedule date"
+    blankets = rows(held, [
+        (10, 1, 1, 1, "open", D(100), date(2024, 6, 1)), (11, 1, 1, 1, "open", D(20), date(2024, 1, 10)), (12, 1, 1, 1, "open", D(1000), None),
+        (13, 1, 1, 1, "open", D(100), date(2030, 1, 1)), (14, 1, 1, 1, "done", D(1000), date(2024, 1, 1)),
+    ])
+    units = rows("id bigint, factor decimal(9,4)", [(1, D(1)), (2, D("0.25"))])
+    asked = rows(line, [
+        (1, 1, 1, 1, D(10), 1, 1, None), (2, 1, 1, 1, D(10), 2, 1, None),  # ten packs of four are 40
+        (3, 1, 1, 1, D(10), 1, 1, 10), (4, 1, 1, 1, D(10), 1, 1, 13), (5, 1, 1, 1, D(50), 1, 1, 11), (6, 1, 1, 1, D(5), 1, 1, 14),
+        (7, 1, 1, 1, D(500), 1, 1, None), (8, 1, 1, 1, D(5000), 1, 1, 10), (9, 2, 1, 1, D(1), 1, 1, 10),
+    ])
+    got = blanket.nearest_blanket_line(asked, blankets, units, ["line_id"], date(2024, 1, 1))
+    assert dict(pairs(got.fillna(-1), "line_id", "blanket_line_id")) == {1: 11, 2: 10, 3: 10, 4: 13, 5: 10, 6: 11, 7: 12, 8: -1, 9: -1}
+    assert dict(pairs(blanket.nearest_blanket_line(asked, blankets, units, ["line_id"], date(2024, 1, 1), 5).fillna(-1), "line_id", "blanket_line_id"))[1] == 12

@@ -457,12 +457,19 @@ FLOW_SCHEMA = "id bigint, validate_order boolean, create_invoice boolean, sale_d
 
 
 @query("workflow_stage_select", """SELECT 'order' AS kind, id, 'validate_order' AS action FROM sale_order WHERE workflow_id IN (1, 2) AND state = 'draft' UNION ALL SELECT 'order', id, 'create_invoice' FROM sale_order WHERE workflow_id = 1 AND state IN ('sale','done') AND invoice_status = 'to invoice'
-UNION ALL SELECT 'order', id, 'sale_done' FROM sale_order WHERE workflow_id = 2 AND state = 'sale' AND invoice_status = 'invoiced' UNION ALL SELECT 'invoice', id, 'validate_invoice' FROM invoice WHERE id % 3 <> 0 AND state = 'draft' UNION ALL SELECT 'invoice', id, 'register_payment' FROM invoice WHERE id % 3 = 1 AND state = 'posted' AND payment_state = 'not_paid'""")
+UNION ALL SELECT 'order', id, 'sale_done' FROM sale_order WHERE workflow_id = 2 AND state = 'sale' AND invoice_status = 'invoiced' UNION ALL SELECT 'invoice', id, 'validate_invoice' FROM invoice WHERE id % 3 <> 0 AND state = 'draft' UNION ALL SELECT 'invoice', id, 'register_payment' FROM invoice WHERE id % 3 = 1 AND state = 'posted' AND payment_state = 'not_paid'
+UNION ALL SELECT 'picking', p.id, 'validate_picking' FROM (SELECT DISTINCT order_id, order_id * 2 + CAST(is_return AS INT) AS id FROM stock_move) p JOIN sale_order o ON o.id = order_id WHERE workflow_id = 1 AND p.id % 5 < 3""")
 def _(s):
+    """Orders, invoices and their transfers; a transfer's state follows from its number."""
     flows = rows(s.spark, FLOW_SCHEMA, FLOWS)
+    states = F.array(*[F.lit(x) for x in ("draft", "confirmed", "assigned", "done", "cancel")])
+    transfers = s.stock_moves().select("order_id", (F.col("order_id") * 2 + F.col("is_return").cast("int")).alias("id")).distinct()
+    transfers = transfers.withColumn("state", F.element_at(states, (F.col("id") % 5 + 1).cast("int"))).join(s.orders().select(F.col("id").alias("order_id"), "workflow_id"), "order_id")
+    moved = au.workflow_stage_select(transfers, flows.withColumn("validate_picking", F.col("id") == 1), au.PICKING_STAGES)
     orders = au.workflow_stage_select(s.orders(), flows, au.ORDER_STAGES).select(F.lit("order").alias("kind"), "id", "action")
     bills = s.invoices().withColumn("workflow_id", F.when(F.col("id") % 3 != 0, F.col("id") % 3))
-    return orders.unionByName(au.workflow_stage_select(bills, flows, au.INVOICE_STAGES).select(F.lit("invoice").alias("kind"), "id", "action"))
+    billed = au.workflow_stage_select(bills, flows, au.INVOICE_STAGES).select(F.lit("invoice").alias("kind"), "id", "action")
+    return orders.unionByName(billed).unionByName(moved.select(F.lit("picking").alias("kind"), "id", "action"))
 
 
 @query("warehouse_automation_select", """, o AS (SELECT *, warehouse_id % 2 = 0 AS dd, warehouse_id < 3 AS mi, warehouse_id > 0 AS po FROM sale_order WHERE state IN ('sale','done')), op AS (SELECT DISTINCT order_id FROM sale_order_line WHERE qty_delivered > 0 AND product_id % 3 <> 0), iv AS (SELECT order_id, bool_or(state = 'draft') AS d FROM invoice GROUP BY 1)

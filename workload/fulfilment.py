@@ -464,15 +464,21 @@ def _(s):
 
 
 @query("nearest_blanket_line", SQL_BLANKET + """, cand AS (SELECT partner_id, product_id, currency_id, partner_id * 10000000 + product_id * 10 + k AS id, original_qty + k * 3 AS remaining, CASE WHEN k < 2 THEN date_schedule + k * 50 END AS ds FROM bl, (VALUES (0),(1),(2)) v(k)),
-x AS (SELECT l.order_id, l.line_no, c.id, row_number() OVER (PARTITION BY l.order_id, l.line_no ORDER BY c.ds IS NULL, abs(c.ds - DATE '1998-06-15'), c.id) AS rk FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id LEFT JOIN cand c ON c.partner_id = o.partner_id AND c.product_id = l.product_id AND c.currency_id = o.currency_id AND c.remaining >= l.qty AND (c.ds IS NULL OR abs(c.ds - DATE '1998-06-15') < 365))
-SELECT order_id, line_no, id AS blanket_line_id FROM x WHERE rk = 1""")
+ask AS (SELECT l.order_id, l.line_no, o.partner_id, l.product_id, o.currency_id, CASE WHEN l.uom_id = 2 THEN l.qty * 4 ELSE l.qty END AS base, CASE WHEN l.order_id % 2 = 0 THEN o.partner_id * 10000000 + l.product_id * 10 + l.order_id // 2 % 4 END AS had FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id),
+el AS (SELECT a.order_id, a.line_no, a.had, c.id, c.ds FROM ask a JOIN cand c USING (partner_id, product_id, currency_id) WHERE c.remaining >= a.base),
+near AS (SELECT order_id, line_no, id, row_number() OVER (PARTITION BY order_id, line_no ORDER BY ds IS NULL, abs(ds - DATE '1998-06-15'), id) AS rk FROM el WHERE ds IS NULL OR abs(ds - DATE '1998-06-15') < 365)
+SELECT a.order_id, a.line_no, coalesce(k.id, n.id) AS blanket_line_id FROM ask a LEFT JOIN el k ON k.order_id = a.order_id AND k.line_no = a.line_no AND k.id = k.had LEFT JOIN near n ON n.order_id = a.order_id AND n.line_no = a.line_no AND n.rk = 1""")
 def _(s):
+    """Every second order has lines assigned, some of them to a blanket line that is not theirs or has too little left."""
     k = F.col("k")
+    number = F.col("partner_id") * 10000000 + F.col("product_id") * 10
     cand = blanket_lines(s).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(
-        "partner_id", "product_id", "currency_id", (F.col("partner_id") * 10000000 + F.col("product_id") * 10 + k).alias("id"), F.lit("open").alias("state"),
+        "partner_id", "product_id", "currency_id", (number + k).alias("id"), F.lit("open").alias("state"),
         (F.col("original_qty") + k * 3).cast(QTY).alias("remaining"), F.when(k < 2, F.date_add("date_schedule", k * 50)).alias("date_schedule"),
     )
-    return b.nearest_blanket_line(stated(s, s.keyed_lines()), cand, ["order_id", "line_no"], date(1998, 6, 15))
+    assigned = F.when(F.col("order_id") % 2 == 0, number + F.expr("order_id div 2 % 4"))
+    lines = stated(s, s.keyed_lines()).withColumn("blanket_line_id", assigned).withColumn("product_uom_id", F.lit(1).cast("bigint"))
+    return b.nearest_blanket_line(lines, cand, uoms(s), ["order_id", "line_no"], date(1998, 6, 15))
 
 
 @query("blanket_to_orders", SQL_BLANKET + "SELECT partner_id, count(*) AS line_count, sum(round(price_unit * (product_id % 5), 2))::DOUBLE AS amount, count(*) FILTER (product_id % 5 > original_qty) AS over_quantity_lines, CASE WHEN count(DISTINCT product_id % 4) = 1 THEN min(product_id % 4) END AS payment_term_id, min(currency_id) AS currency_id FROM bl WHERE product_id % 5 <> 0 GROUP BY 1")
