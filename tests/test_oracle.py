@@ -9,7 +9,8 @@ import __spark_entry__ as entry
 from tools.verify import TABLES, compare
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-MAY_BE_EMPTY = {"price_history", "dashboard_alerts"}
+#: Queries without a row on the smallest data set, on both sides.
+MAY_BE_EMPTY = {"holiday_check", "blanket_expired"}
 
 
 @pytest.fixture(scope="session")
@@ -23,7 +24,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_matches_sql(spark, con, name):
     text, good = compare(name, entry.queries()[name](spark, SF_DIR), con, entry.oracle_sql().get(name))
-    assert good or (text.startswith("ok 0") and "types" not in text), text
+    assert good or (name in MAY_BE_EMPTY and text.startswith("ok 0") and "types" not in text), text
 
 
 def test_entry_runs(spark):
