@@ -1,4 +1,4 @@
-"""As-of lookup of rates by day, as equi joins."""
+"""As-of lookup of rates by day: equi joins for a short rate table, a sorted merge for any other."""
 
 from __future__ import annotations
 
@@ -9,12 +9,67 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallygrid.plans.skew import pick_last
+from tallygrid.session import staged
 
+#: Rate rows up to which the lookup is an equi join on intervals that Spark can send to all tasks.
+SHORT_TABLE = 20_000
 
-def asof_join(facts: DataFrame, rates: DataFrame, keys: Sequence[str], day: str, values: Sequence[str]) -> DataFrame:
+
+def asof_join(
+    facts: DataFrame, rates: DataFrame, keys: Sequence[str], day: str, values: Sequence[str], short: int = SHORT_TABLE
+) -> DataFrame:
     """Attach the rate row with the latest ``date`` not after ``day`` (highest id on one date).
 
-    Rates become validity intervals. Closed ones are listed under each month they touch, so facts
+    The rates are counted, as far as ``short``: a table within it is met by interval, a longer one is merged with the
+    facts in order. Both give the same rows.
+    """
+    if rates.limit(short + 1).count() > short:
+        return merge_asof(facts, rates, keys, day, values)
+    return interval_asof(facts, rates, keys, day, values)
+
+
+def merge_asof(facts: DataFrame, rates: DataFrame, keys: Sequence[str], day: str, values: Sequence[str]) -> DataFrame:
+    """The same lookup for rate tables and keys of any size: one sorted merge, without meeting facts by key.
+
+    Facts and rates are stacked and cut into sorted runs by ranges of (keys, date, kind, row hash), so the facts of one
+    key, even of one day, are spread over many runs (only rows alike in all columns stay together); the runs are written once. Inside a run the last rate is carried
+    forward; a key that began in an earlier run starts with the last rate the runs before hold of it. Facts with a null
+    key or day, or before the first rate, get nulls.
+    """
+    keys = list(keys)
+    names = [f"_k{i}" for i in range(len(keys))]
+    daily = pick_last(rates.dropna(subset=[*keys, "date"]), [*keys, "date"], [F.col("id")], values)
+    found = F.struct(*[F.col(v).alias(v) for v in values])
+    marks = daily.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("date").cast("date").alias("_day"), F.lit(0).alias("_kind"),
+        F.lit(0).cast("bigint").alias("_spread"), found.alias("_rate"), F.lit(None).cast(facts.schema).alias("_fact"),
+    )
+    plain = [F.col(f"`{c}`") for c, t in facts.dtypes if "map<" not in t]  # maps have no hash
+    row = F.struct(*[F.col(f"`{c}`") for c in facts.columns])
+    asked = facts.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(day).cast("date").alias("_day"), F.lit(1).alias("_kind"),
+        F.xxhash64(*plain).alias("_spread"), F.lit(None).cast(marks.schema["_rate"].dataType).alias("_rate"), row.alias("_fact"),
+    )
+    along = [F.col(c).asc_nulls_first() for c in (*names, "_day", "_kind", "_spread")]
+    runs = marks.unionByName(asked).repartitionByRange(*along).sortWithinPartitions(*along)
+    runs = staged(runs.drop("_spread").withColumn("_at", F.monotonically_increasing_id()), "asof").withColumn("_run", F.shiftright("_at", 33))
+    # a run's last rate of each key; a fact-only part of a key has none and takes over what came before
+    ends = runs.groupBy("_run", *names).agg(F.max_by("_rate", F.when(F.col("_kind") == 0, F.col("_at"))).alias("_end"))
+    before = W.partitionBy(*names).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    heads = ends.select(
+        F.col("_run").alias("_h_run"), *[F.col(n).alias(f"_h{n}") for n in names], F.last("_end", ignorenulls=True).over(before).alias("_head")
+    ).filter("_head IS NOT NULL")  # only a run's first key can have begun in an earlier run
+    inside = W.partitionBy("_run", *names).orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    carried = runs.withColumn("_last", F.last("_rate", ignorenulls=True).over(inside)).filter("_kind = 1")
+    same = [F.col("_run") == F.col("_h_run"), *[F.col(n) == F.col(f"_h{n}") for n in names]]
+    best = F.when(F.col("_day").isNotNull(), F.coalesce("_last", "_head"))
+    return carried.join(heads, same, "left").select("_fact", best.alias("_best")).select(
+        *[F.col("_fact")[c].alias(c) for c in facts.columns], *[F.col("_best")[v].alias(v) for v in values]
+    )
+
+
+def interval_asof(facts: DataFrame, rates: DataFrame, keys: Sequence[str], day: str, values: Sequence[str]) -> DataFrame:
+    """The lookup by intervals. Rates become validity intervals. Closed ones are listed under each month they touch, so facts
     meet them by (keys, month) and at most one interval fits; the open last interval of a key joins by key.
     """
     keys = list(keys)

@@ -1,5 +1,6 @@
 """Operators on tiny hand-made rows, and invariants."""
 
+import os
 from datetime import date
 from decimal import Decimal as D
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from conftest import pairs
 from tallygrid.functions.dates import Window, period_end, period_start
 from tallygrid.operators import blanket, checks, commission, dashboard, discounts, fulfilment, invoicing, lines, promotion
-from tallygrid.plans.asof import asof_join, convert_currency
+from tallygrid.plans.asof import asof_join, convert_currency, merge_asof
 from tallygrid.plans.ranking import top_n_with_others
 from tallygrid.plans.skew import numbered, running_totals
 from tallygrid.sources import sinks
@@ -147,8 +148,35 @@ def test_nearest_blanket_line(rows):
 def test_asof_join_picks_the_latest_rate(rows):
     rates = rows("id bigint, c bigint, date date, rate decimal(9,2)", [(1, 1, date(2023, 1, 1), D(25)), (2, 1, date(2023, 3, 15), D(30)), (3, 1, date(2023, 3, 15), D(31)), (4, 2, date(2024, 1, 1), D(2))])
     facts = rows("id bigint, c bigint, day date", [(1, 1, date(2022, 12, 31)), (2, 1, date(2023, 3, 14)), (3, 1, date(2023, 3, 15)), (4, 1, date(2030, 1, 1)), (5, 2, date(2024, 1, 1)), (6, 3, date(2024, 1, 1))])
-    got = {r.id: r.rate for r in asof_join(facts, rates, ["c"], "day", ["rate"]).collect()}
-    assert got == {1: None, 2: D(25), 3: D(31), 4: D(31), 5: D(2), 6: None}
+    for short in (0, 4):
+        got = {r.id: r.rate for r in asof_join(facts, rates, ["c"], "day", ["rate"], short=short).collect()}
+        assert got == {1: None, 2: D(25), 3: D(31), 4: D(31), 5: D(2), 6: None}
+
+
+def test_merge_asof_takes_nulls_repeats_and_no_rates(rows):
+    rates = rows("id bigint, c bigint, date date, rate decimal(9,2)", [(1, 1, date(2023, 1, 1), D(25)), (2, None, date(2020, 1, 1), D(9)), (3, 1, None, D(8)), (4, 1, date(2023, 2, 1), None)])
+    facts = rows("id bigint, c bigint, day date, _rate string", [(1, 1, date(2023, 1, 5), "x"), (1, 1, date(2023, 1, 5), "x"), (2, None, date(2023, 1, 5), None), (3, 1, None, ""), (4, 1, date(2023, 3, 1), "y")])
+    got = sorted((r.id, r.rate, r._rate) for r in merge_asof(facts, rates, ["c"], "day", ["rate"]).na.fill("-", ["_rate"]).na.fill({"rate": 0}).collect())
+    assert got == [(1, D(25), "x"), (1, D(25), "x"), (2, D(0), "-"), (3, D(0), ""), (4, D(0), "y")]
+    assert merge_asof(facts, rates.filter("id < 0"), ["c"], "day", ["rate"]).filter("rate IS NULL").count() == 5
+    assert merge_asof(facts.filter("id < 0"), rates, ["c"], "day", ["rate"]).count() == 0
+
+
+def test_merge_asof_spreads_one_key(spark):
+    """300,000 facts of one currency: the rate of every day, and no run holds more than a fraction of them."""
+    days = spark.range(1000).select(F.col("id"), F.lit(1).cast("bigint").alias("c"), F.date_add(F.lit(date(2020, 1, 1)), F.col("id").cast("int")).alias("date"), (F.col("id") * 2).alias("rate"))
+    rates = days.filter("id % 3 = 0")
+    facts = spark.range(300_000).select("id", F.lit(1).cast("bigint").alias("c"), F.date_add(F.lit(date(2020, 1, 1)), F.when(F.col("id") % 2 == 0, 500).otherwise(F.col("id") % 1000).cast("int")).alias("day"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = merge_asof(facts, rates, ["c"], "day", ["rate"])
+        assert "BroadcastNestedLoop" not in out._jdf.queryExecution().toString()
+        off = out.withColumn("n", F.date_diff("day", F.lit(date(2020, 1, 1)))).filter(~F.col("rate").eqNullSafe((F.col("n") - F.col("n") % 3) * 2))
+        assert (out.count(), off.count()) == (300_000, 0)
+        sizes = [r["count"] for r in spark.read.parquet(os.path.dirname(out.inputFiles()[0])).groupBy(F.shiftright("_at", 33)).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) >= 4 and max(sizes) < 150_000
 
 
 def _python_fold(discount, rules):

@@ -11,7 +11,7 @@ from tallygrid.functions.money import MONEY, QTY
 from tallygrid.operators import blanket as b
 from tallygrid.operators import fulfilment as f
 from tallygrid.operators import invoicing as i
-from tallygrid.plans.asof import asof_join, asof_rate, convert_currency
+from tallygrid.plans.asof import asof_join, asof_rate, convert_currency, merge_asof
 from tallygrid.sources.rules import rows
 from tallygrid.sources.star import Star
 from workload.pricing import SQL_UOM, uoms
@@ -263,6 +263,21 @@ def _(s):
     return asof_join(s.invoices(), rates(s), ["currency_id"], "invoice_date", ["rate"]).select("id", "rate")
 
 
+def price_marks(s: Star):
+    """List of prices that grows with the table: each order date of a product starts its lowest price of that day."""
+    days = s.orders().select(F.col("id").alias("order_id"), F.col("date_order").cast("date").alias("date"))
+    sold = s.lines().select("order_id", "product_id", "price_unit").join(days, "order_id")
+    return sold.groupBy("product_id", "date").agg(F.min("price_unit").alias("price"), F.min("order_id").alias("id"))
+
+
+@query("asof_merge", """, mark AS (SELECT l.product_id, CAST(o.date_order AS DATE) AS d, min(price_unit) AS price FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id GROUP BY ALL)
+SELECT l.order_id, l.line_no, m.price::DOUBLE AS price FROM sale_order_line l ASOF LEFT JOIN mark m ON m.product_id = l.product_id AND m.d <= l.ship_date - 60""")
+def _(s):
+    """Price in force sixty days before a line was shipped, from a price list as long as the sales themselves."""
+    facts = s.keyed_lines().select("order_id", "line_no", "product_id", F.date_sub("ship_date", 60).alias("day"))
+    return merge_asof(facts, price_marks(s), ["product_id"], "day", ["price"]).select("order_id", "line_no", "price")
+
+
 AREA_RATES = [
     (1, 0, None, date(1994, 1, 1), D("2")), (2, 0, 105, date(1996, 5, 5), D("3")), (3, 0, None, date(1998, 2, 1), D("2.5")),
     (4, 1, 110, date(1997, 1, 1), D("4")), (5, 1, 110, date(1997, 9, 9), D("4.5")), (6, 2, None, date(1995, 6, 1), D("1.75")),
