@@ -5,12 +5,14 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallygrid.functions.labels import CONFIRMED, QUOTATION
-from tallygrid.functions.money import QTY
+from tallygrid.functions.money import MONEY, QTY
 from tallygrid.operators.pricing import path_ids
-from tallygrid.plans.skew import pick_last
+from tallygrid.plans.skew import pick_last, prefix_sums
+from tallygrid.session import staged
 
 # Defaults of the recommendation and history dialogs.
 DEFAULT_PRODUCTS, DEFAULT_MONTHS, DAYS_PER_MONTH, HISTORY_LIMIT = 15, 6, 30, 20
@@ -86,6 +88,111 @@ def recommend_products(
     return shown.orderBy(lead, F.desc("priority"), "product_id")
 
 
+def recommend_for_orders(
+    targets: DataFrame,
+    orders: DataFrame,
+    lines: DataFrame,
+    partners: DataFrame,
+    products: DataFrame,
+    today: date,
+    months: int = DEFAULT_MONTHS,
+    amount: int = DEFAULT_PRODUCTS,
+    use_delivery_address: bool = False,
+    price_origin: str = "pricelist",
+    prices: DataFrame | None = None,
+) -> DataFrame:
+    """``recommend_products`` for a whole table of orders, with a price: (order_id, product_id, ..., price_unit).
+
+    ``targets`` holds rows of ``orders``. Deliveries are summed once per (company, customer group, product) and ranked
+    there; an order reads the first ``amount`` ranks and one more for each product it holds itself, which is always enough,
+    because only an order's own products can leave the list or change their place once its own deliveries are taken off.
+    Each rank is an equi join, so no order meets its group's whole history.
+
+    ``price_origin`` is "pricelist", the product's price in ``prices`` (pricelist_id, product_id, price) or else its
+    list price, or "last_sale_price", what the customer last paid in a confirmed order of the company, 0 if nothing.
+    """
+    if price_origin not in ("pricelist", "last_sale_price"):
+        raise ValueError(f"unknown price origin {price_origin}")
+    start = F.lit(today - timedelta(days=months * DAYS_PER_MONTH))
+    address = "partner_shipping_id" if use_delivery_address else "partner_id"
+    who = F.col("id") if use_delivery_address else F.col("commercial_partner_id")
+    people = partners.select(F.col("id").alias(address), who.alias("who"), F.array_contains(path_ids("parent_path"), who).alias("_inside"))
+    heads = targets.select(
+        F.col("id").alias("order_id"), "company_id", "pricelist_id", F.col("partner_id").alias("customer_id"), address, (F.col("date_order") >= start).alias("_recent")
+    ).join(people, address)
+    facts = lines.select("order_id", "product_id", "qty", "qty_delivered", "is_delivery", "display_type")
+    own = staged(heads.drop(address).join(facts, "order_id", "left"), "recommend")
+    delivered = (F.col("qty_delivered") != 0) & ~F.col("is_delivery")
+    order_keys = ["order_id", "company_id", "who", "pricelist_id", "customer_id"]
+
+    saleable = products.filter(F.col("active") & F.col("sale_ok")).select(F.col("id").alias("product_id"))
+    past = orders.filter(F.col("date_order") >= start).select(F.col("id").alias("order_id"), "company_id", F.col(address).alias("id"))
+    sold = (
+        lines.filter(delivered)
+        .join(past, "order_id")
+        .groupBy("company_id", "id", "product_id")
+        .agg(F.count("*").alias("times"), F.sum("qty_delivered").alias("units"))
+        .join(saleable, "product_id", "left_semi")
+    )
+    groups = own.select("company_id", "who").distinct()
+    sums = (
+        sold.join(ancestor_closure(partners).withColumnRenamed("ancestor_id", "who"), "id")
+        .join(groups, ["company_id", "who"], "left_semi")
+        .groupBy("company_id", "who", "product_id")
+        .agg(F.sum("times").alias("times"), F.sum("units").alias("units"))
+    )
+    best = [F.desc("times"), F.desc("units"), F.asc("product_id")]
+    # written with its ranks: both the ranks and the orders' own products read it
+    ranked = staged(prefix_sums(sums, ["company_id", "who"], best, {"rank": F.lit(1).cast("bigint")}), "recommend-ranks")
+
+    mine = F.when(delivered & F.col("_recent") & F.col("_inside"), F.lit(1)).otherwise(F.lit(0))
+    held = (
+        own.filter("product_id IS NOT NULL")
+        .groupBy(*order_keys, "product_id")
+        .agg(
+            F.sum(mine).alias("_times"),
+            F.sum(mine * F.col("qty_delivered")).alias("_units"),
+            F.max(~F.col("is_delivery") & F.col("display_type").isNull()).alias("in_basket"),
+        )
+        .join(ranked.drop("rank"), ["company_id", "who", "product_id"], "left")
+        .select(
+            *order_keys, "product_id", "in_basket",
+            F.coalesce(F.col("times") - F.col("_times"), F.lit(0)).alias("times_delivered"),
+            F.when(F.col("times") > F.col("_times"), F.col("units") - F.col("_units")).otherwise(F.lit(0)).cast(QTY).alias("units_delivered"),
+        )
+    )
+    reach = own.groupBy(*order_keys).agg(F.count_distinct("product_id").alias("_held"))
+    wanted = reach.select(*order_keys, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_held") + amount)).alias("rank"))
+    new = (
+        wanted.join(ranked, ["company_id", "who", "rank"])
+        .join(own.select("order_id", "product_id").distinct(), ["order_id", "product_id"], "left_anti")
+        .select(*order_keys, "product_id", F.lit(False).alias("in_basket"), F.col("times").alias("times_delivered"), F.col("units").cast(QTY).alias("units_delivered"))
+    )
+    place = F.row_number().over(W.partitionBy("order_id").orderBy(F.desc("times_delivered"), F.desc("units_delivered"), "product_id"))
+    fresh = new.unionByName(held.filter(~F.col("in_basket") & (F.col("times_delivered") > 0))).withColumn("_place", place).filter(F.col("_place") <= amount)
+    basket = own.filter(~F.col("is_delivery") & F.col("display_type").isNull() & F.col("product_id").isNotNull()).select(
+        "order_id", "product_id", F.col("qty").alias("units_included")
+    )
+    shown = (
+        held.filter("in_basket").join(basket, ["order_id", "product_id"])
+        .unionByName(fresh.drop("_place").withColumn("units_included", F.lit(0).cast(QTY)))
+    )
+    extra = products.select(F.col("id").alias("product_id"), "priority", "list_price")
+    shown = shown.join(extra, "product_id", "left")
+    if price_origin == "pricelist":
+        if prices is None:
+            priced = shown.withColumn("price_unit", F.col("list_price"))
+        else:
+            listed = prices.select("pricelist_id", "product_id", F.col("price").alias("_price"))
+            priced = shown.join(listed, ["pricelist_id", "product_id"], "left").withColumn("price_unit", F.coalesce("_price", "list_price"))
+    else:
+        last = last_sale_price(orders, lines).select("company_id", F.col("partner_id").alias("customer_id"), "product_id", F.col("price_unit").alias("_price"))
+        priced = shown.join(last, ["company_id", "customer_id", "product_id"], "left").withColumn("price_unit", F.coalesce("_price", F.lit(0)))
+    return priced.select(
+        "order_id", "product_id", "times_delivered", "units_delivered", "units_included", "in_basket", "priority", F.col("price_unit").cast(MONEY).alias("price_unit")
+    )
+
+
 def recommendation_actions(recommended: DataFrame) -> DataFrame:
     """What accepting does to the order: add, update or remove lines. Needs (units_chosen, units_included, in_basket)."""
     action = (

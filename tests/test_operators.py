@@ -419,3 +419,30 @@ def test_assigned_blanket_lines_stay_while_they_have_enough(rows):
     got = blanket.nearest_blanket_line(asked, blankets, units, ["line_id"], date(2024, 1, 1))
     assert dict(pairs(got.fillna(-1), "line_id", "blanket_line_id")) == {1: 11, 2: 10, 3: 10, 4: 13, 5: 10, 6: 11, 7: 12, 8: -1, 9: -1}
     assert dict(pairs(blanket.nearest_blanket_line(asked, blankets, units, ["line_id"], date(2024, 1, 1), 5).fillna(-1), "line_id", "blanket_line_id"))[1] == 12
+
+
+@pytest.mark.parametrize("delivery", [False, True])
+def test_recommendations_of_many_orders_equal_those_of_each(rows, delivery):
+    """Random orders of three customer groups, limit 2, own deliveries and repeated products: batch form against the single one."""
+    import random
+
+    from tallygrid.operators import recommend
+
+    rnd = random.Random(5)
+    paths = {1: "1/", 2: "1/2/", 3: "1/2/3/", 4: "4/", 5: "4/5/", 6: "6/"}
+    partners = rows("id bigint, parent_path string, commercial_partner_id bigint", [(k, p, {1: 1, 2: 1, 3: 2, 4: 4, 5: 4, 6: 6}[k]) for k, p in paths.items()])
+    products = rows("id bigint, active boolean, sale_ok boolean, priority string, list_price decimal(18,2)", [(k, k != 7, k != 8, "0", D(k)) for k in range(1, 10)])
+    heads = [(n, rnd.randint(1, 2), rnd.randint(1, 6), rnd.randint(1, 6), 1, date(2024, rnd.randint(1, 12), 1), "sale") for n in range(24)]
+    orders = rows("id bigint, company_id bigint, partner_id bigint, partner_shipping_id bigint, pricelist_id bigint, date_order date, state string", heads)
+    sold = [(n, k, rnd.randint(1, 9), D(rnd.randint(1, 3)), D(rnd.choice([0, 1, 2])), rnd.random() < 0.1, "line_note" if rnd.random() < 0.1 else None) for n in range(23) for k in range(rnd.randint(0, 5))]
+    items = rows("order_id bigint, line_no bigint, product_id bigint, qty decimal(18,4), qty_delivered decimal(18,4), is_delivery boolean, display_type string", sold).withColumn("price_unit", F.lit(D("3.00")))
+    args = (orders, items, partners, products, date(2024, 12, 31))
+    chosen = [0, 3, 8, 11, 23]
+    got = recommend.recommend_for_orders(orders.filter(F.col("id").isin(chosen)), *args, months=8, amount=2, use_delivery_address=delivery).collect()
+    columns = ["product_id", "times_delivered", "units_delivered", "units_included", "in_basket"]
+    for n in chosen:
+        one = recommend.recommend_products(n, *args, months=8, amount=2, use_delivery_address=delivery).collect()
+        assert sorted(tuple(r[c] for c in columns) for r in got if r.order_id == n) == sorted(tuple(r[c] for c in columns) for r in one)
+    assert all(r.price_unit == r.product_id for r in got)
+    with pytest.raises(ValueError):
+        recommend.recommend_for_orders(orders, *args, price_origin="other")

@@ -233,6 +233,39 @@ def _(s):
     return rc.recommendation_actions(chosen).select("product_id", "units_chosen", "action")
 
 
+#: Per open order: products of its customer group's other deliveries, best fifteen not in the basket, plus the basket.
+SQL_RECOMMEND_ALL = """
+, me AS (SELECT o.id AS order_id, o.company_id, o.partner_id, o.pricelist_id, p.commercial_partner_id AS root FROM sale_order o JOIN partner p ON p.id = o.partner_id WHERE o.state IN ('draft', 'sent')),
+up AS (SELECT id, CAST(unnest(string_split(rtrim(parent_path, '/'), '/')) AS BIGINT) AS root FROM partner),
+del AS (SELECT o.id AS oid, o.company_id, up.root, l.product_id, l.qty_delivered FROM sale_order o JOIN up ON up.id = o.partner_id JOIN sale_order_line l ON l.order_id = o.id JOIN product p ON p.id = l.product_id WHERE date_order >= DATE '2001-08-01' - 2160 AND qty_delivered <> 0 AND NOT is_delivery AND active AND sale_ok),
+fnd AS (SELECT me.order_id, del.product_id, count(*) AS times, sum(qty_delivered) AS units FROM me JOIN del ON del.company_id = me.company_id AND del.root = me.root AND del.oid <> me.order_id GROUP BY ALL),
+bk AS (SELECT l.order_id, product_id, qty FROM sale_order_line l JOIN me ON me.order_id = l.order_id WHERE NOT is_delivery AND display_type IS NULL),
+top AS (SELECT * FROM fnd WHERE (order_id, product_id) NOT IN (SELECT (order_id, product_id) FROM bk) QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY times DESC, units DESC, product_id) <= 15),
+rec AS (SELECT order_id, product_id, times, units, 0 AS inc, FALSE AS inb FROM top UNION ALL SELECT bk.order_id, bk.product_id, coalesce(times, 0), coalesce(units, 0), bk.qty, TRUE FROM bk LEFT JOIN fnd ON fnd.order_id = bk.order_id AND fnd.product_id = bk.product_id)
+"""
+SQL_RECOMMEND_COLUMNS = "rec.order_id, rec.product_id, times AS times_delivered, units::DOUBLE AS units_delivered, inc::DOUBLE AS units_included, inb AS in_basket, CAST(rec.product_id % 2 AS VARCHAR) AS priority"
+
+
+def recommended_all(s: Star, **options):
+    products = s.products().withColumn("priority", (F.col("id") % 2).cast("string"))
+    orders = s.orders()
+    return rc.recommend_for_orders(orders.filter("state IN ('draft', 'sent')"), orders, s.lines() if "prices" in options else s.keyed_lines(), s.partners(), products, date(2001, 8, 1), months=72, **options)
+
+
+@query("recommend_for_orders", SQL_RECOMMEND_ALL + f"SELECT {SQL_RECOMMEND_COLUMNS}, CASE WHEN me.pricelist_id = 2 AND rec.product_id % 3 = 0 THEN round(list_price * 0.8, 2) ELSE list_price END::DOUBLE AS price_unit FROM rec JOIN me ON me.order_id = rec.order_id JOIN product p ON p.id = rec.product_id")
+def _(s):
+    """All open orders at the prices of their list; list 2 sells a third of the products at 80 %."""
+    special = s.products().filter("id % 3 = 0").select(F.lit(2).cast("bigint").alias("pricelist_id"), F.col("id").alias("product_id"), F.round(F.col("list_price") * D("0.8"), 2).alias("price"))
+    return recommended_all(s, prices=special)
+
+
+@query("recommend_at_last_price", SQL_RECOMMEND_ALL + f""", lp AS (SELECT company_id, partner_id, product_id, arg_max(price_unit, (date_order, l.order_id, line_no)) AS price FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id WHERE state NOT IN ('draft','sent','cancel') GROUP BY ALL)
+SELECT {SQL_RECOMMEND_COLUMNS}, coalesce(price, 0)::DOUBLE AS price_unit FROM rec JOIN me ON me.order_id = rec.order_id LEFT JOIN lp ON lp.company_id = me.company_id AND lp.partner_id = me.partner_id AND lp.product_id = rec.product_id""")
+def _(s):
+    """All open orders at what their customer paid last."""
+    return recommended_all(s, price_origin="last_sale_price")
+
+
 @query("price_history", """, fam AS (SELECT p.id FROM partner p WHERE contains('/' || p.parent_path, '/' || (SELECT commercial_partner_id FROM partner WHERE id = 25) || '/'))
 SELECT order_id, line_no, o.partner_id, o.state, CAST(CAST(o.date_order AS DATE) AS VARCHAR) AS day, price_unit::DOUBLE AS price_unit FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id WHERE l.product_id = 56 AND NOT (order_id = 1 AND line_no = 1) AND o.state IN ('sale','done','draft','sent') AND (o.partner_id IN (SELECT id FROM fam)) ORDER BY o.date_order DESC, order_id DESC, line_no DESC LIMIT 20""")
 def _(s):
