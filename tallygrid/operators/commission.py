@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions.dates import month_start, period_end, period_start
 from tallygrid.functions.money import MONEY, PERCENT, floored, money, percent_of, total, zero_if_null
+from tallygrid.operators.hooks import COMMISSION_AMOUNT, hooked
 
 # Payment states that release a commission which waits for payment.
 PAID_STATES = ("in_payment", "paid", "reversed")
@@ -110,7 +111,7 @@ def commission_amount(
     """Amount per line and agent.
 
     Lines need (commission_id, commission_free, price_subtotal, standard_price, qty). A formula is
-    a SQL expression over the line, by commission id.
+    a SQL expression over the line, by commission id. Hooks of the commission amount see it before a refund's sign.
     """
     rules = commissions.select(
         F.col("id").alias("commission_id"), "commission_type", "fix_qty", "amount_base_type"
@@ -127,6 +128,7 @@ def commission_amount(
         .when(F.col("commission_type") == "section", percent_of(base, band_percent(base, F.col("bands"))))
         .otherwise(F.lit(0).cast(MONEY))
     )
+    amount = hooked(COMMISSION_AMOUNT, amount)
     if refund is not None:
         amount = F.when(refund, -amount).otherwise(amount)
     return joined.withColumn("amount", amount.cast(MONEY)).drop("commission_type", "fix_qty", "amount_base_type", "bands")

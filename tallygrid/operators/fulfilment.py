@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions.money import QTY, convert_uom, floored, zero_if_null
+from tallygrid.operators.hooks import DATE_PLANNED, GROUP_NAME, hooked
 
 KEY = ("order_id", "line_no")
 
@@ -131,9 +132,10 @@ GROUP_PRIORITY = {"order": 8, "warehouse": 10, "date": 24}
 def procurement_groups(lines: DataFrame, security_lead: int) -> DataFrame:
     """Group key and name of each line by the strongest criterion: planned date, warehouse, order.
 
-    Lines need (order_id, order_name, commitment_date, warehouse_id, blocked).
+    Lines need (order_id, order_name, commitment_date, warehouse_id, blocked). Hooks may move the planned date and
+    refine the name, as a split by lot or elaboration does.
     """
-    planned = F.date_sub("commitment_date", security_lead)
+    planned = hooked(DATE_PLANNED, F.date_sub("commitment_date", security_lead))
     dated, stored = F.col("commitment_date").isNotNull(), F.col("line_warehouse_id").isNotNull()
     return (
         lines.filter(~F.col("blocked"))
@@ -143,9 +145,12 @@ def procurement_groups(lines: DataFrame, security_lead: int) -> DataFrame:
         )
         .withColumn(
             "group_name",
-            F.when(dated, F.concat_ws("/", "order_name", planned.cast("string")))
-            .when(stored, F.concat_ws("/", "order_name", F.concat(F.lit("W"), F.col("line_warehouse_id").cast("string"))))
-            .otherwise(F.col("order_name")),
+            hooked(
+                GROUP_NAME,
+                F.when(dated, F.concat_ws("/", "order_name", planned.cast("string")))
+                .when(stored, F.concat_ws("/", "order_name", F.concat(F.lit("W"), F.col("line_warehouse_id").cast("string"))))
+                .otherwise(F.col("order_name")),
+            ),
         )
         .withColumn("date_planned", planned)
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions.money import CENT, MONEY, PERCENT, QTY, money
+from tallygrid.operators.hooks import PROMOTION_OFFERED, hooked
 from tallygrid.operators.pricing import gross_amount, path_ids, tax_total, untaxed_base
 from tallygrid.plans.skew import pick_last
 from tallygrid.session import staged
@@ -162,7 +163,8 @@ def candidate_rules(orders: DataFrame, rules: DataFrame, today: date) -> DataFra
     """Orders with ``_rules``, those that can hold for them, coupon first, then by (sequence, id).
 
     Rules are met by what they are restricted to: partner, else pricelist, else coupon code, each packed for one key; only
-    automatic rules without a restriction go to every order, since every order has to test them.
+    automatic rules without a restriction go to every order, since every order has to test them. Hooks of the offer
+    get the answer so far and the rule (a field each for id, type, amounts and strategy).
     """
     day = F.lit(today)
     live = rules.filter((F.col("date_from").isNull() | (F.col("date_from") <= day)) & (F.col("date_to").isNull() | (day <= F.col("date_to"))))
@@ -188,7 +190,7 @@ def candidate_rules(orders: DataFrame, rules: DataFrame, today: date) -> DataFra
     def holds(r: Column) -> Column:
         listed = (F.size(r["pricelist_ids"]) == 0) | F.coalesce(F.array_contains(r["pricelist_ids"], F.col("pricelist_id")), F.lit(False))
         named = (r["rule_type"] == "auto") | F.coalesce(F.lower(r["code"]) == F.col("_code"), F.lit(False))
-        return listed & named & (~r["only_newsletter"] | F.coalesce(F.col("newsletter"), F.lit(False)))
+        return hooked(PROMOTION_OFFERED, listed & named & (~r["only_newsletter"] | F.coalesce(F.col("newsletter"), F.lit(False))), r)
 
     together = F.concat(*[F.coalesce(c, none) for c in ("_p", "_l", "_c", "_all")])
 

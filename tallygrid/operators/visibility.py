@@ -74,16 +74,46 @@ def allowed_pricelists(orders: DataFrame, allowed: DataFrame) -> DataFrame:
     return joined.filter(F.col("_limited").isNull() | F.col("_listed").isNotNull()).drop("_limited", "_listed")
 
 
+def partner_combinations(partner_assortments: DataFrame) -> DataFrame:
+    """(partner_id, combination): the sorted assortments of each partner that has any."""
+    return partner_assortments.groupBy("partner_id").agg(F.array_sort(F.collect_set("assortment_id")).alias("combination"))
+
+
+def fitting_assortments(products: DataFrame, predicates: dict[int, str]) -> DataFrame:
+    """(product_id, fits): the assortments whose predicate holds for each product. A predicate is SQL over product columns."""
+    flags = F.array_compact(F.array(*[F.when(F.expr(p), F.lit(k).cast("bigint")) for k, p in predicates.items()]))
+    return products.select(F.col("id").alias("product_id"), flags.alias("fits"))
+
+
+def combination_products(combinations: DataFrame, fitting: DataFrame) -> DataFrame:
+    """(combination, product_id): products that all assortments of a combination let through.
+
+    Partners share few different combinations; each is met by its first assortment only.
+    """
+    by_first = fitting.select("product_id", "fits", F.explode("fits").alias("first"))
+    kinds = combinations.select("combination").distinct().withColumn("first", F.get("combination", F.lit(0)))
+    return kinds.join(by_first, "first").filter(F.size(F.array_except("combination", "fits")) == 0).select("combination", "product_id")
+
+
 def assortment_products(products: DataFrame, partner_assortments: DataFrame, predicates: dict[int, str]) -> DataFrame:
     """(partner, product) pairs allowed by all of the partner's assortments.
 
-    ``partner_assortments`` is (partner_id, assortment_id); a predicate is SQL over product columns. Partners
-    share few different assortment combinations, so products are tested per combination, not per partner.
+    ``partner_assortments`` is (partner_id, assortment_id). The pairs are as many as the result has; who needs less reads
+    ``partner_combinations`` and ``combination_products``, or tests lines with ``assortment_lines``.
     """
-    combos = partner_assortments.groupBy("partner_id").agg(F.array_sort(F.collect_set("assortment_id")).alias("combination"))
-    flags = F.array_compact(F.array(*[F.when(F.expr(p), F.lit(k).cast("bigint")) for k, p in predicates.items()]))
-    tested = products.select(F.col("id").alias("product_id"), flags.alias("fits"))
-    by_first = tested.select("product_id", "fits", F.explode("fits").alias("first"))
-    kinds = combos.select("combination").distinct().withColumn("first", F.get("combination", F.lit(0)))
-    allowed = kinds.join(by_first, "first").filter(F.size(F.array_except("combination", "fits")) == 0)
-    return combos.join(allowed.select("combination", "product_id"), "combination").select("partner_id", "product_id")
+    combos = partner_combinations(partner_assortments)
+    allowed = combination_products(combos, fitting_assortments(products, predicates))
+    return combos.join(allowed, "combination").select("partner_id", "product_id")
+
+
+def assortment_lines(lines: DataFrame, products: DataFrame, partner_assortments: DataFrame, predicates: dict[int, str]) -> DataFrame:
+    """Lines (with partner_id, product_id) and ``in_assortment``; a partner without assortments may buy anything.
+
+    A line meets its partner's combination and its product's assortments by key, so no partner meets any product but
+    those it has lines of. An unknown product fits no assortment.
+    """
+    fitting = fitting_assortments(products, predicates)
+    met = lines.join(partner_combinations(partner_assortments), "partner_id", "left").join(fitting, "product_id", "left")
+    missing = F.array_except("combination", F.coalesce("fits", F.array().cast("array<bigint>")))
+    flag = F.col("combination").isNull() | (F.size(missing) == 0)
+    return met.select(*[lines[c] for c in lines.columns], flag.alias("in_assortment"))

@@ -446,3 +446,26 @@ def test_recommendations_of_many_orders_equal_those_of_each(rows, delivery):
     assert all(r.price_unit == r.product_id for r in got)
     with pytest.raises(ValueError):
         recommend.recommend_for_orders(orders, *args, price_origin="other")
+
+
+def test_hooks_apply_in_order_and_end_with_their_block(rows):
+    from tallygrid.operators import hooks
+
+    lines = rows("order_id bigint, order_name string, commitment_date date, line_warehouse_id bigint, blocked boolean, qty decimal(18,4)", [(1, "S1", date(2024, 1, 10), None, False, D(1)), (2, "S2", None, 4, False, D(2))])
+    plain = [(1, "S1/2024-01-09"), (2, "S2/W4")]
+    with hooks.extended(hooks.GROUP_NAME, lambda name: F.concat(name, F.lit("-a"))), hooks.extended(hooks.GROUP_NAME, lambda name: F.concat(name, F.lit("-b"))):
+        changed = fulfilment.procurement_groups(lines, 1)
+    assert pairs(changed, "order_id", "group_name") == [(k, f"{n}-a-b") for k, n in plain]
+    assert pairs(fulfilment.procurement_groups(lines, 1), "order_id", "group_name") == plain
+    with pytest.raises(ValueError), hooks.extended("no such point", lambda c: c):
+        pass
+
+
+def test_assortment_lines_take_partners_without_and_unknown_products(rows):
+    from tallygrid.operators import visibility
+
+    products = rows("id bigint, price bigint", [(1, 5), (2, 50), (3, None)])
+    given = rows("partner_id bigint, assortment_id bigint", [(1, 1), (1, 2), (2, 1), (2, 1)])
+    sold = rows("partner_id bigint, product_id bigint", [(1, 1), (1, 2), (1, 3), (2, 1), (3, 3), (2, 9), (3, 9), (None, 1)])
+    got = visibility.assortment_lines(sold, products, given, {1: "price > 1", 2: "price > 10"}).na.fill(0, ["partner_id"])
+    assert pairs(got, "partner_id", "product_id", "in_assortment") == [(0, 1, True), (1, 1, False), (1, 2, True), (1, 3, False), (2, 1, True), (2, 9, False), (3, 3, True), (3, 9, True)]

@@ -168,6 +168,31 @@ def _(s):
     return vi.assortment_products(s.products(), given, ASSORTMENTS)
 
 
+def given_assortments(s: Star):
+    """Three of four partners have assortments: one, or two of the three."""
+    picks = F.when(F.col("id") % 4 == 1, F.array(F.lit(2), F.lit(1))).when(F.col("id") % 4 == 2, F.array(F.lit(2), F.lit(3))).when(F.col("id") % 4 == 3, F.array(F.lit(3)))
+    return s.partners().select(F.col("id").alias("partner_id"), F.explode(picks.cast("array<bigint>")).alias("assortment_id"))
+
+
+@query("assortment_combinations", "SELECT id AS partner_id, CASE id % 4 WHEN 1 THEN '1,2' WHEN 2 THEN '2,3' ELSE '3' END AS combination FROM partner WHERE id % 4 > 0")
+def _(s):
+    return vi.partner_combinations(given_assortments(s))
+
+
+@query("assortment_combination_products", """, t AS (SELECT id AS product_id, list_price > 950 AS a1, brand IN ('Brand#1', 'Brand#2', 'Brand#3') AS a2, type = 'product' AS a3 FROM product)
+SELECT '1,2' AS combination, product_id FROM t WHERE a1 AND a2 UNION ALL SELECT '2,3', product_id FROM t WHERE a2 AND a3 UNION ALL SELECT '3', product_id FROM t WHERE a3""")
+def _(s):
+    return vi.combination_products(vi.partner_combinations(given_assortments(s)), vi.fitting_assortments(s.products(), ASSORTMENTS))
+
+
+@query("assortment_lines", """SELECT l.order_id, line_no, product_id, CASE o.partner_id % 4 WHEN 1 THEN list_price > 950 AND brand IN ('Brand#1', 'Brand#2', 'Brand#3') WHEN 2 THEN brand IN ('Brand#1', 'Brand#2', 'Brand#3') AND p.type = 'product' WHEN 3 THEN p.type = 'product' ELSE TRUE END AS in_assortment
+FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id JOIN product p ON p.id = l.product_id""")
+def _(s):
+    heads = s.orders().select(F.col("id").alias("order_id"), "partner_id")
+    lines = s.keyed_lines().select("order_id", "line_no", "product_id").join(heads, "order_id")
+    return vi.assortment_lines(lines, s.products(), given_assortments(s), ASSORTMENTS).drop("partner_id")
+
+
 # -- exceptions ---------------------------------------------------------------------------
 
 HOLIDAYS = [(date(1997, m, 1), m if m % 2 else None, [1] if m == 5 else []) for m in range(1, 13)] + [(date(1998, 12, 25), None, [])]

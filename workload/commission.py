@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions.labels import CONFIRMED
 from tallygrid.operators import commission as c
+from tallygrid.operators import hooks
 from tallygrid.session import staged
 from tallygrid.sources.rules import rows
 from tallygrid.sources.star import Star
@@ -154,6 +155,15 @@ def _(s):
     )
 
 
+@query("hook_commission_amount", SQL_RULES + ASSIGN_SQL + ", r AS (" + amount_sql("SELECT * FROM assigned") + ") SELECT order_id, sequence, product_id, agent_id, commission_id, CASE WHEN qty > 30 THEN least(amount, 500) ELSE amount END::DOUBLE AS amount FROM r")
+def _(s):
+    """An extension limits the commission of large lines to 500."""
+    goods = s.products().select(F.col("id").alias("product_id"), "standard_price")
+    with hooks.extended(hooks.COMMISSION_AMOUNT, lambda amount: F.when(F.col("qty") > 30, F.least(amount, F.lit(500))).otherwise(amount)):
+        paid = c.commission_amount(assigned(s).join(goods, "product_id"), commissions(s), bands(s), FORMULAS)
+    return paid.select("order_id", "sequence", "product_id", "agent_id", "commission_id", "amount")
+
+
 @query("commission_formula", SQL_RULES + INVOICE_AGENT_SQL + "SELECT order_id, sequence, product_id, qty::DOUBLE AS qty, amount::DOUBLE AS amount FROM agent_line WHERE commission_id = 4")
 def _(s):
     return invoice_agent_lines(s).filter("commission_id = 4").select("order_id", "sequence", "product_id", "qty", "amount")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallygrid.functions.money import MONEY, QTY
 from tallygrid.operators import blanket as b
 from tallygrid.operators import fulfilment as f
+from tallygrid.operators import hooks
 from tallygrid.operators import invoicing as i
 from tallygrid.plans.asof import asof_join, asof_rate, convert_currency, merge_asof
 from tallygrid.sources.rules import rows
@@ -115,6 +116,17 @@ def _(s):
     return f.procurement_group_totals(f.procurement_groups(to_procure(s), 2))
 
 
+@query("hook_procurement_groups", SQL_GROUPS + """, hg AS (SELECT *, CASE WHEN commitment_date IS NOT NULL THEN on_ || '/' || CAST(commitment_date - CASE WHEN qty > 40 THEN 5 ELSE 2 END AS VARCHAR) WHEN wh IS NOT NULL THEN on_ || '/W' || wh ELSE on_ END || CASE WHEN product_id % 3 = 0 THEN '/lot ' || product_id ELSE '' END AS hooked_name FROM gg)
+SELECT order_id, CAST(priority AS BIGINT) AS priority, hooked_name AS group_name, count(*) AS line_count, sum(tp)::DOUBLE AS qty_to_procure FROM hg GROUP BY ALL""")
+def _(s):
+    """Extensions: large lines leave three days earlier, products kept by lot get a group of their own."""
+    lot = F.when(F.col("product_id") % 3 == 0, F.concat(F.lit("/lot "), F.col("product_id").cast("string"))).otherwise(F.lit(""))
+    earlier = hooks.extended(hooks.DATE_PLANNED, lambda day: F.date_sub(day, F.when(F.col("qty") > 40, 3).otherwise(0)))
+    with earlier, hooks.extended(hooks.GROUP_NAME, lambda name: F.concat(name, lot)):
+        grouped = f.procurement_groups(to_procure(s), 2)
+    return f.procurement_group_totals(grouped)
+
+
 @query("manual_deliveries", SQL_GROUPS + "SELECT partner_id, CAST(dp AS VARCHAR) AS date_planned, count(*) AS line_count, sum(tp)::DOUBLE AS quantity FROM gg WHERE tp > 0 GROUP BY partner_id, dp")
 def _(s):
     return f.manual_deliveries(f.procurement_groups(to_procure(s), 2))

@@ -8,6 +8,7 @@ from decimal import Decimal as D
 from pyspark.sql import functions as F
 
 from tallygrid.functions.money import QTY
+from tallygrid.operators import hooks
 from tallygrid.operators import lines as ln
 from tallygrid.operators import promotion as pr
 from tallygrid.operators import recommend as rc
@@ -119,9 +120,10 @@ def used_rules(s: Star):
     return s.orders().filter("coupon_code IS NOT NULL").select("partner_id", F.lit(6).cast("bigint").alias("rule_id"), F.col("id").alias("order_id"), "state")
 
 
-def _promo_sql() -> str:
+def _promo_sql(also: dict[int, str] | None = None) -> str:
     """The fold written out, rule after rule on the lines: order sums ``u`` and ``t`` fall with each discount line.
 
+    ``also`` adds conditions to rules.
     A rule is tested against the sums left by the rules before it. The discount lines' prices are worked out by hand
     for the three currencies: 21 % tax on the discount product, 1 : 1.25 : 0.8.
     """
@@ -153,7 +155,7 @@ d0 AS (SELECT o.id AS order_id, o.state, o.partner_id, o.pricelist_id, o.currenc
     for k, (kind, amount) in rules.items():
         c = f"c{k - 1}"
         count = "+".join(f"CAST(v{j} AS INT)" for j in range(1, k)) or "0"
-        test = f"coalesce({static[k]}, FALSE)" + (f" AND {count} = 0" if kind == "ex" else "")
+        test = f"coalesce({static[k]}{' AND ' + also[k] if also and k in also else ''}, FALSE)" + (f" AND {count} = 0" if kind == "ex" else "")
         takes = {"ub": f"({c} = 0 OR {amount} > {c})", "cu": "TRUE", "ke": f"{c} = 0", "ex": "TRUE"}[kind]
         fixed = k in (4, 6, 9)
         percent = 0 if fixed else amount
@@ -186,6 +188,16 @@ def _(s):
     return applied(s).select("order_id", listed("applied"))
 
 
+@query("hook_promotions", _promo_sql({2: "partner_id % 2 = 0", 3: "currency_id <> 1"}) + f"SELECT DISTINCT order_id, {_APPLIED} AS applied FROM d10")
+def _(s):
+    """An extension offers rule 2 to every second customer and rule 3 to foreign currencies only."""
+    def offered(so_far, rule):
+        return so_far & ((rule["id"] != 2) | (F.col("partner_id") % 2 == 0)) & ((rule["id"] != 3) | (F.col("currency_id") != 1))
+
+    with hooks.extended(hooks.PROMOTION_OFFERED, offered):
+        return applied(s).select("order_id", listed("applied"))
+
+
 @query("promotions", SQL_PROMO + f"SELECT order_id, line_no, c10::DOUBLE AS promo_discount, {_TAKEN} AS taken_rules FROM d10 WHERE line_no IS NOT NULL")
 def _(s):
     found = pr.promoted_lines(promo_lines(s, keyed=True), applied(s))
