@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygrid.session import staged
 from tallygrid.sources.rules import rows
 
 # Usual short forms of public licences.
@@ -27,6 +28,8 @@ TEMPLATES = {
 #: (licence, text) of whole licences and of the headers that files bear.
 BODIES = [(p.name.split(".txt")[0].removesuffix(".header"), p.read_text()) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
 THRESHOLD = 0.75
+#: Scores are compared after rounding to six places; bounds leave room for it.
+ROUNDING = 1e-6
 SPLIT = r"[^a-z0-9]+"
 
 
@@ -49,14 +52,23 @@ def _template_counts(templates: dict[str, str]) -> dict[str, dict[str, int]]:
     return found
 
 
-def idf(docs: DataFrame, text_col: str, templates: Iterable[str]) -> dict[str, float]:
-    """ln((N + 1) / (documents with the token + 1)) + 1 over all documents, for each token of a template; '' for others."""
+def template_words(docs: DataFrame, id_col: str, text_col: str, templates: Iterable[str]) -> DataFrame:
+    """(id, shared): the tokens of any template that each whole text holds; the only pass that splits all texts."""
     words = sorted({t for text in templates for t in re.split(SPLIT, text.lower()) if t})
-    inside = F.array_intersect(tokens(F.coalesce(F.col(text_col), F.lit(""))), _constant(words))
-    found = docs.select(F.explode(F.concat(F.array(F.lit("")), inside)).alias("token")).groupBy("token").count()
+    split = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SPLIT)
+    return docs.select(id_col, F.array_intersect(split, _constant(words)).alias("shared"))
+
+
+def idf(words: DataFrame, templates: Iterable[str]) -> dict[str, float]:
+    """ln((N + 1) / (documents with the token + 1)) + 1 over all documents, for each token of a template; '' for others.
+
+    ``words`` is the result of ``template_words``.
+    """
+    vocabulary = sorted({t for text in templates for t in re.split(SPLIT, text.lower()) if t})
+    found = words.select(F.explode(F.concat(F.array(F.lit("")), "shared")).alias("token")).groupBy("token").count()
     counts = {r[0]: r[1] for r in found.collect()}  # at most one row for each word of the templates
     n = counts.get("", 0)
-    return {t: log((n + 1) / (counts.get(t, 0) + 1)) + 1 for t in words} | {"": log(n + 1) + 1}
+    return {t: log((n + 1) / (counts.get(t, 0) + 1)) + 1 for t in vocabulary} | {"": log(n + 1) + 1}
 
 
 def _anchors(weights: dict[str, dict[str, float]], threshold: float) -> list[str]:
@@ -65,28 +77,54 @@ def _anchors(weights: dict[str, dict[str, float]], threshold: float) -> list[str
     for own in weights.values():
         total, rest = sum(w * w for w in own.values()), sum(w * w for w in own.values())
         for token, w in sorted(own.items(), key=lambda x: (-x[1], x[0])):
-            if rest < threshold**2 * total * (1 - 1e-9):
+            if rest < (threshold - ROUNDING) ** 2 * total:
                 break
             anchors.add(token)
             rest -= w * w
     return sorted(anchors)
 
 
+def candidates(
+    words: DataFrame, id_col: str, templates: dict[str, str], bodies: list[tuple[str, str]], threshold: float, weight: dict[str, float]
+) -> DataFrame:
+    """(id, anchored, possible): texts in which some line or run of tokens can come near a template, and near which.
+
+    ``anchored`` texts hold a token that a line needs to come near a notice. ``possible`` numbers the ``bodies``, then the
+    notices, of whose squared weight the text's tokens hold the share that the threshold asks for: a run's cosine is at
+    most the root of that share, so no run is lost. All shares are summed in one join with the templates' words, whose
+    number is that of the templates alone.
+    """
+    vectors = [{t: n * weight[t] for t, n in own.items()} for own in _vectors(templates, bodies)]
+    totals = [sum(w * w for w in v.values()) for v in vectors]
+    squares = [(t, [v.get(t, 0.0) ** 2 for v in vectors]) for t in sorted({t for v in vectors for t in v})]
+    # proven small: one row for each word of the templates
+    squares = F.broadcast(rows(words.sparkSession, "word string, squares array<double>", squares))
+    anchors = _constant(_anchors(_line_weights(templates, weight), threshold))
+    held = words.select(id_col, F.arrays_overlap("shared", anchors).alias("anchored"), F.explode("shared").alias("word")).join(squares, "word")
+    sums = held.groupBy(id_col).agg(F.bool_or("anchored").alias("anchored"), *[F.sum(F.col("squares")[i]).alias(f"_s{i}") for i in range(len(vectors))])
+    possible = F.array(*[F.when(F.col(f"_s{i}") >= (threshold - ROUNDING) ** 2 * total, F.lit(i)) for i, total in enumerate(totals)])
+    return sums.select(id_col, "anchored", F.array_compact(possible).alias("possible")).where(F.col("anchored") | (F.size("possible") > 0))
+
+
+def _vectors(templates: dict[str, str], bodies: list[tuple[str, str]]) -> list[dict[str, int]]:
+    return [_counted([t for t in re.split(SPLIT, text.lower()) if t]) for _, text in [*bodies, *templates.items()]]
+
+
+def _line_weights(templates: dict[str, str], weight: dict[str, float]) -> dict[str, dict[str, float]]:
+    return {name: {t: n * weight[t] for t, n in own.items()} for name, own in _template_counts(templates).items()}
+
+
 def line_licenses(
-    docs: DataFrame, id_col: str, text_col: str, templates=TEMPLATES, threshold: float = THRESHOLD, weight: dict[str, float] | None = None
+    docs: DataFrame, id_col: str, text_col: str, templates: dict[str, str], threshold: float, weight: dict[str, float]
 ) -> DataFrame:
     """(id, line, license, score): the best template of each line that comes near one; lines count from 0.
 
     Whole texts are read. Only lines with a token that is needed to reach the threshold are compared, which loses none.
     """
-    weight = weight or idf(docs, text_col, templates.values())
-    counts = _template_counts(templates)
-    weights = {name: {t: n * weight[t] for t, n in own.items()} for name, own in counts.items()}
+    weights = _line_weights(templates, weight)
     needed = rf"(^|[^a-z0-9])({'|'.join(map(re.escape, _anchors(weights, threshold)))})([^a-z0-9]|$)"
     lines = F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
-    # a text without the token has no line with it
-    some = docs.select(id_col, text_col).where(F.lower(text_col).rlike(needed))
-    near = some.select(id_col, lines.alias("line", "text")).where(F.lower("text").rlike(needed))
+    near = docs.select(id_col, lines.alias("line", "text")).where(F.lower("text").rlike(needed))
     known = F.create_map(*[F.lit(x) for t, w in weight.items() if t for x in (t, w)])
     near = near.select(id_col, "line", tokens(F.col("text")).alias("tokens")).select(
         id_col,
@@ -129,41 +167,18 @@ def block_licenses(
 ) -> DataFrame:
     """(id, line, license, score, kind): runs of neighbouring tokens, across lines, that come near a licence; ``line`` is the first.
 
-    Compared are the whole text and windows of as many tokens as the licence has, one every sixteenth of it (every token
-    if it is shorter). Only texts that hold enough of a licence's weight to reach the threshold are compared, which
-    loses none. ``kind`` is 0 for ``bodies`` and 2 for the notices in ``templates``, which are looked for in texts whose
-    ids are not in ``told``.
+    ``docs`` has ``possible`` from ``candidates``. Compared are the whole text and windows of as many tokens as the
+    licence has, one every sixteenth of it (every token if it is shorter). ``kind`` is 0 for ``bodies`` and 2 for the
+    notices in ``templates``, which are looked for in texts whose ids are not in ``told``.
     """
     whole = len(bodies)
     bodies = [*bodies, *templates.items()]
     sized = [[t for t in re.split(SPLIT, text.lower()) if t] for _, text in bodies]
     vectors = [{t: n * weight[t] for t, n in _counted(own).items()} for own in sized]
     squares = [sum(w * w for w in v.values()) for v in vectors]
-    heavy: list[dict[str, float]] = []
-    bounds: list[float] = []
-    for v, total in zip(vectors, squares, strict=True):
-        rest, chosen = total, {}
-        for t, w in sorted(v.items(), key=lambda x: (-x[1], x[0])):
-            if rest < threshold**2 * total / 2:
-                break
-            chosen[t] = w * w
-            rest -= w * w
-        heavy.append(chosen)
-        bounds.append((threshold**2 * total - rest) * (1 - 1e-9))
-    texts = _constant(sorted({t for chosen in heavy for t in chosen}))
-    some = docs.select(id_col, F.col(text_col).alias("text"), F.array_intersect(tokens(F.col(text_col)), texts).alias("shared"))
-
-    def reached(i: int) -> Column:
-        squared = F.str_to_map(F.lit(",".join(f"{t}:{w!r}" for t, w in heavy[i].items()))).cast("map<string,double>")
-        return F.aggregate(
-            F.array_intersect("shared", _constant(heavy[i])), F.lit(0.0), lambda a, t: a + F.try_element_at(squared, t)
-        ) >= bounds[i]
-
-    possible = F.array(*[F.when(reached(i), F.lit(i)) for i in range(len(bodies))])
-    some = some.where(F.size("shared") > 0).select(id_col, "text", F.array_compact(possible).alias("possible")).where(F.size("possible") > 0)
+    some = docs.select(id_col, F.col(text_col).alias("text"), F.explode("possible").alias("template"))
     told = told.select(id_col).distinct().withColumn("told", F.lit(True))
-    some = some.select(id_col, "text", F.explode("possible").alias("template")).join(told, id_col, "left")
-    some = some.where((F.col("template") < whole) | F.col("told").isNull())
+    some = some.join(told, id_col, "left").where((F.col("template") < whole) | F.col("told").isNull())
     lines = F.transform(F.split("text", "\n"), lambda t, i: F.transform(tokens(t), lambda w: F.struct(w.alias("t"), i.alias("line"))))
     some = some.select(id_col, F.flatten(lines).alias("words"), "template")
 
@@ -208,11 +223,17 @@ def license_scan(
     share one share what their lines show; an empty table gives no rows.
     """
     texts = files.select(F.col(id_col), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.coalesce(text_col, F.lit("")).alias(text_col))
-    weight = idf(texts, text_col, [*templates.values(), *(text for _, text in bodies)])
+    wording = [*templates.values(), *(text for _, text in bodies)]
+    # written once each: the texts' words, the texts to compare and what was found in them have several readers
+    words = staged(template_words(texts, id_col, text_col, wording), "license-words")
+    weight = idf(words, wording)
     of_lines = {t: weight[t] for text in templates.values() for t in re.split(SPLIT, text.lower()) if t} | {"": weight[""]}
-    found = line_licenses(texts, id_col, text_col, templates, threshold, of_lines).withColumn("kind", F.lit(1))
-    blocks = block_licenses(texts, id_col, text_col, bodies, templates, threshold, weight, found)
-    lines = found.unionByName(blocks)
+    chosen = staged(candidates(words, id_col, templates, bodies, threshold, weight), "license-candidates")
+    near = texts.join(chosen, id_col)
+    found = line_licenses(near.where("anchored"), id_col, text_col, templates, threshold, of_lines).withColumn("kind", F.lit(1))
+    found = staged(found, "license-lines")
+    blocks = block_licenses(near.where(F.size("possible") > 0), id_col, text_col, bodies, templates, threshold, weight, found)
+    lines = staged(found.unionByName(blocks), "license-found")
     rank = F.struct("kind", (-F.col("score")).alias("s"), "line", "license")
     own = lines.groupBy(id_col).agg(F.min(rank).alias("own"))
     named = texts.select(id_col, "path").join(own, id_col, "left")
