@@ -97,7 +97,7 @@ WITH templates(license, body) AS (VALUES {_TEMPLATE_ROWS}),
 files AS (
   SELECT doc_id, coalesce(text, '') AS body,
     concat_ws('/', source, CASE WHEN doc_id % 3 > 0 THEN lang END, CASE WHEN doc_id % 3 > 1 THEN (doc_id // 64)::VARCHAR END,
-      doc_id::VARCHAR || '.txt') AS path
+      CASE WHEN doc_id % 4 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END) AS path
   FROM documents
 ),
 template_tokens AS (
@@ -134,15 +134,17 @@ scores AS (
   FROM weighed l JOIN template_weights t USING (token) JOIN norms n USING (doc_id, line) JOIN template_norms m USING (license)
   GROUP BY doc_id, line, license
 ),
-own AS (
+best AS (
   SELECT doc_id, line, license, score FROM scores WHERE score >= {THRESHOLD}
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, license) = 1
+  QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY score DESC, license) = 1
 ),
+own AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, license) = 1),
 named AS (
   SELECT f.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, own.line, own.license, own.score FROM files f LEFT JOIN own USING (doc_id)
 ),
 dirs AS (
-  SELECT dir, license FROM named WHERE line = 0 QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) = 1
+  SELECT dir, b.license FROM named n JOIN best b USING (doc_id) WHERE path LIKE '%LICENSE-%'
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY b.score DESC, path, b.line, b.license) = 1
 ),
 inherited AS (
   SELECT n.doc_id, d.dir AS up, d.license FROM named n JOIN dirs d ON n.dir = d.dir OR starts_with(n.dir, d.dir || '/')
@@ -155,16 +157,16 @@ FROM named n LEFT JOIN inherited i USING (doc_id)
 
 @query("op9_license_scan", LICENSE_SQL)
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of source/lang/block folders, at three depths; a licence in the first line speaks for its folder."""
+    """Documents as files of source/lang/block folders, at three depths; those named LICENSE-* speak for their folder."""
     path = F.concat_ws(
         "/",
         "source",
         F.when(F.expr("doc_id % 3 > 0"), F.col("lang")),
         F.when(F.expr("doc_id % 3 > 1"), F.expr("doc_id div 64").cast("string")),
-        F.concat(F.col("doc_id").cast("string"), F.lit(".txt")),
+        F.when(F.expr("doc_id % 4 = 0"), F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))),
     )
     files = table(spark, sf_dir, "documents").withColumn("path", path)
-    return license_scan(files, "doc_id", "path", "text", F.col("line") == 0)
+    return license_scan(files, "doc_id", "path", "text", F.col("path").rlike(r"(^|/)LICENSE-[^/]*$"))
 
 
 TOP_K_SQL = """

@@ -232,6 +232,16 @@ def test_every_line_that_meets_the_condition_speaks_for_its_directory(spark):
     assert (found[2]["license"], found[2]["license_dir"]) == ("mit", "a")
 
 
+def test_registered_files_inherit(spark):
+    """On the given table some files own a licence, others have that of a folder at or above theirs."""
+    from tallygrid.llm import queries
+
+    found = queries.op9_license_scan(spark, "/root/testdata/sf0.01").collect()
+    heirs = [r for r in found if r["license_dir"] is not None]
+    assert heirs and all(r["own_license"] is None and r["license"] and r["path"].startswith(r["license_dir"]) for r in heirs)
+    assert any(r["own_license"] for r in found) and all(r["license"] == r["own_license"] for r in found if r["license_dir"] is None)
+
+
 def test_whole_licences_headers_and_broken_notices_are_found(spark):
     whole = {n: t for n, t in license_scan.BODIES if n in ("mit", "bsd-3-clause")}
     code = "\n".join(f"x{i} = call{i}(y{i})" for i in range(40))
