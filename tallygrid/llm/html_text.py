@@ -21,7 +21,7 @@ STRUCTURES = 512
 BROADCAST_ENTRIES = 1_000_000
 
 # Element names and conventional class names of the web.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -61,14 +61,27 @@ class Node:
         return self.children[-1]
 
     def written(self) -> str:
-        inner = ",".join(c.written() for c in self.children)
-        return f"{self.label}({inner})" if inner else self.label
-
-    def numbered(self, at: int = 0) -> int:
-        self.at, at = at, at + 1
-        for c in self.children:
-            at = c.numbered(at)
-        return at
+        parts: list[str] = []
+        todo: list[Node | str] = [self]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                parts.append(x)
+                continue
+            parts.append(x.label)
+            if x.children:
+                todo.append(")")
+                for i, c in enumerate(reversed(x.children)):
+                    todo += ["," if i else "", c]
+                parts.append("(")
+        return "".join(parts)
+
+    def numbered(self) -> None:
+        todo, at = [self], 0
+        while todo:
+            x = todo.pop()
+            x.at, at = at, at + 1
+            todo += reversed(x.children)
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -197,30 +210,47 @@ def read_structure(text: str) -> Node:
     return root
 
 
+def _table(a: Node, b: Node, sizes: dict[tuple[int, int], int]) -> list[list[int]]:
+    """Sizes of the best matchings of the first i children of ``a`` with the first j of ``b``."""
+    best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, c in enumerate(a.children, 1):
+        for j, d in enumerate(b.children, 1):
+            n = sizes.get((id(c), id(d)), 0)
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + n if n else 0)
+    return best
+
+
 def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the largest set of node pairs with equal labels that keeps parents and sibling order."""
+    """Simple tree matching: the largest set of node pairs with equal labels that keeps parents and sibling order.
+
+    Sizes are worked out from the leaves up, the pairs then read from the root down; no recursion, so depth is no limit.
+    """
     if a.label != b.label:
         return 0, []
-    rows, columns = len(a.children), len(b.children)
-    best = [[0] * (columns + 1) for _ in range(rows + 1)]
-    taken: dict[tuple[int, int], list[tuple[Node, Node]]] = {}
-    for i in range(1, rows + 1):
-        for j in range(1, columns + 1):
-            n, pairs = matching(a.children[i - 1], b.children[j - 1])
-            best[i][j] = max(best[i - 1][j], best[i][j - 1])
-            if n and best[i - 1][j - 1] + n > best[i][j]:
-                best[i][j] = best[i - 1][j - 1] + n
-                taken[i, j] = pairs
-    out, i, j = [(a, b)], rows, columns
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            out += taken[i, j]
-            i, j = i - 1, j - 1
-    return best[rows][columns] + 1, out
+    sizes: dict[tuple[int, int], int] = {}
+    todo = [(a, b, False)]
+    while todo:
+        x, y, ready = todo.pop()
+        if ready:
+            sizes[id(x), id(y)] = _table(x, y, sizes)[-1][-1] + 1
+            continue
+        todo.append((x, y, True))
+        todo += [(c, d, False) for c in x.children for d in y.children if c.label == d.label]
+    pairs, at = [(a, b)], 0
+    while at < len(pairs):
+        x, y = pairs[at]
+        at += 1
+        i, j = len(x.children), len(y.children)
+        best = _table(x, y, sizes)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((x.children[i], y.children[j]))
+    return sizes[id(a), id(b)], pairs
 
 
 def induced(structures: list[str]) -> list[list[int]]:
@@ -231,10 +261,11 @@ def induced(structures: list[str]) -> list[list[int]]:
         meets = {id(p): w for w, p in matching(wrapper, page)[1]}
         own: list[int] = []
 
-        def place(p: Node, w: Node) -> None:
-            nonlocal free
+        todo = [(page, wrapper)]
+        while todo:
+            p, w = todo.pop()
             own.append(w.at)
-            after = 0
+            after, below = 0, []
             for child in p.children:
                 met = meets.get(id(child))
                 if met is None:
@@ -242,9 +273,8 @@ def induced(structures: list[str]) -> list[list[int]]:
                     met.at, free = free, free + 1
                     w.children.insert(after, met)
                 after = next(i for i, c in enumerate(w.children) if c is met) + 1
-                place(child, met)
-
-        place(page, wrapper)
+                below.append((child, met))
+            todo += reversed(below)
         slots.append(own)
     return slots
 
@@ -256,9 +286,9 @@ def _chosen(blocks: list[dict], template: set[tuple[int, str]]) -> list[str]:
     Template texts go, unless nothing else is there.
     """
     real = [b for b in blocks if not b["chrome"]]
-    fresh = [b for b in real if (b["node"], b["text"]) not in template]
-    rows = fresh or real
-    return [b["text"] for b in rows if b["article"]] or [b["text"] for b in rows]
+    main = [b for b in real if b["article"]] or real
+    fresh = [b for b in main if (b["node"], b["text"]) not in template]
+    return [b["text"] for b in fresh or main]
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

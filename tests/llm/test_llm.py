@@ -211,6 +211,42 @@ def test_main_text_keeps_sibling_blocks_and_all_articles(spark):
     assert found == {1: "A\nB b", 2: "One one\nTwo", 3: "Title\nLead\nBody text of it"}
 
 
+def test_deep_pages_formulas_and_template_articles(spark):
+    """20,000 unclosed elements on one host, in shapes that differ; MathML is text; a text from outside never replaces an article."""
+    deep = "<div>" * 20_000
+    rows = [(1, "http://a/", f"{deep}deep text"), (2, "http://a/", f"{deep}<p>other</p></div><section>more"), (3, "http://a/", "<article>x <math><mi>y</mi></math> z</article>")]
+    rows += [(10 + i, "http://b/", f"<article>same</article><p>{i} outside</p>") for i in range(9)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_text.main_text(frame).collect()}
+    assert found == {1: "deep text", 2: "other\nmore", 3: "x y z"} | {10 + i: "same" for i in range(9)}
+
+
+def test_matching_without_recursion_is_the_largest():
+    import random
+
+    def largest(a, b):
+        if a.label != b.label:
+            return 0
+        best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+        for i, c in enumerate(a.children):
+            for j, d in enumerate(b.children):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + largest(c, d))
+        return best[-1][-1] + 1
+
+    rnd = random.Random(3)
+
+    def tree(depth):
+        node = html_text.Node(rnd.choice("pq"))
+        node.children = [tree(depth - 1) for _ in range(rnd.randint(0, 3))] if depth else []
+        return node
+
+    for _ in range(100):
+        a, b = tree(4), tree(4)
+        size, pairs = html_text.matching(a, b)
+        assert size == largest(a, b) == len(pairs)
+        assert all(x.label == y.label for x, y in pairs) and len({id(y) for _, y in pairs}) == size
+
+
 def test_licences_are_inherited_from_the_nearest_directory(spark, docs, empty):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "code"), (3, "a/c/LICENSE", "Licensed under the Apache License, Version 2.0"),
