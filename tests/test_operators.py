@@ -469,3 +469,38 @@ def test_assortment_lines_take_partners_without_and_unknown_products(rows):
     sold = rows("partner_id bigint, product_id bigint", [(1, 1), (1, 2), (1, 3), (2, 1), (3, 3), (2, 9), (3, 9), (None, 1)])
     got = visibility.assortment_lines(sold, products, given, {1: "price > 1", 2: "price > 10"}).na.fill(0, ["partner_id"])
     assert pairs(got, "partner_id", "product_id", "in_assortment") == [(0, 1, True), (1, 1, False), (1, 2, True), (1, 3, False), (2, 1, True), (2, 9, False), (3, 3, True), (3, 9, True)]
+
+
+def test_streamed_actions_and_alerts_come_once(spark, rows, tmp_path):
+    """Five files, one a batch, then a restart with an old order and a file delivered again: no action or alert twice."""
+    from tallygrid.operators.automation import ORDER_STAGES
+    from tallygrid.operators.checks import exception_catalog
+    from tallygrid.streaming import jobs
+    from workload.checks import FLOW_SCHEMA, FLOWS
+
+    columns = "id bigint, partner_id bigint, workflow_id bigint, state string, invoice_status string, amount_total decimal(18,2), date_order date, force_invoiced boolean"
+    folder, flows = str(tmp_path / "in"), rows(FLOW_SCHEMA, FLOWS)
+    partners = rows("id bigint, sale_warn string, zip string", [(1, "", "1"), (2, "careful", None)])
+
+    def deliver(*values):
+        rows(columns, list(values)).coalesce(1).write.mode("append").parquet(folder)
+
+    def order(k, day, state="draft"):
+        return (k, k % 2 + 1, 1, state, "no", D(5), day, False)
+
+    for k in range(5):
+        deliver(order(k, date(2024, 1 + k, 1)))
+    stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(folder)
+    rules = [r for r in exception_catalog() if r.name != "no lines"]
+    made = {
+        "actions": lambda: jobs.stream_workflow_actions(stream, flows, ORDER_STAGES),
+        "alerts": lambda: jobs.stream_exception_alerts(stream, partners, rules),
+    }
+    outs = {n: jobs.run_available(make(), "append", str(tmp_path / n)) for n, make in made.items()}
+    assert all(len(os.listdir(out)) >= 5 for out in outs.values())
+    deliver(order(2, date(2024, 3, 1)), order(1, date(2024, 2, 1)))
+    deliver(order(9, date(2020, 1, 1)))
+    for n, make in made.items():
+        jobs.run_available(make(), "append", str(tmp_path / n))
+    assert pairs(jobs.all_batches(spark, outs["actions"]), "id", "action") == [(k, "validate_order") for k in (0, 1, 2, 3, 4, 9)]
+    assert pairs(jobs.all_batches(spark, outs["alerts"]), "id", "rule") == [(k, r) for k in (1, 3, 9) for r in ("no zip", "partner warning")]
