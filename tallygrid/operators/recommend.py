@@ -230,6 +230,40 @@ def price_history(
     return history.orderBy(F.desc("date_order"), F.desc("order_id"), F.desc("line_no")).limit(limit)
 
 
+def price_histories(
+    asked: DataFrame,
+    orders: DataFrame,
+    lines: DataFrame,
+    partners: DataFrame,
+    limit: int = HISTORY_LIMIT,
+    include_quotations: bool = False,
+    include_commercial: bool = True,
+) -> DataFrame:
+    """``price_history`` for a table of lines: (order_id, line_no, place, and the earlier line's past_order, past_line, ...).
+
+    ``asked`` is (order_id, line_no, product_id, partner_id), one row a line. Sold lines are numbered once per (customer
+    group, product), newest first, in sorted runs; a line reads its first ``limit`` numbers and one more, since only the
+    line itself can drop out of them, by an equi join on (group, product, number).
+    """
+    states = CONFIRMED + QUOTATION if include_quotations else CONFIRMED
+    root = F.col("commercial_partner_id") if include_commercial else F.col("id")
+    wanted = asked.select("order_id", "line_no", "product_id", "partner_id").join(partners.select(F.col("id").alias("partner_id"), root.alias("root")), "partner_id")
+    heads = orders.filter(F.col("state").isin(*states)).select(F.col("id").alias("past_order"), F.col("partner_id").alias("id"), "state", "date_order")
+    sold = (
+        lines.select(F.col("order_id").alias("past_order"), F.col("line_no").alias("past_line"), "product_id", "price_unit")
+        .join(heads, "past_order")
+        .join(ancestor_closure(partners).withColumnRenamed("ancestor_id", "root"), "id")
+        .join(wanted.select("root", "product_id").distinct(), ["root", "product_id"], "left_semi")
+        .withColumnRenamed("id", "past_partner")
+    )
+    newest = [F.desc("date_order"), F.desc("past_order"), F.desc("past_line")]
+    numbered = prefix_sums(sold, ["root", "product_id"], newest, {"number": F.lit(1).cast("bigint")})
+    reads = wanted.drop("partner_id").withColumn("number", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(limit + 1).cast("bigint"))))
+    found = reads.join(numbered, ["root", "product_id", "number"]).filter((F.col("past_order") != F.col("order_id")) | (F.col("past_line") != F.col("line_no")))
+    place = F.row_number().over(W.partitionBy("order_id", "line_no").orderBy("number"))  # at most limit + 1 rows each
+    return found.withColumn("place", place).filter(F.col("place") <= limit).drop("root", "number")
+
+
 def last_sale_price(orders: DataFrame, lines: DataFrame) -> DataFrame:
     """Price of the latest confirmed line per company, customer and product; by maximum, so hot pairs combine early."""
     heads = orders.filter(~F.col("state").isin("draft", "sent", "cancel") & F.col("date_order").isNotNull()).select(

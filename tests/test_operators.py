@@ -504,3 +504,23 @@ def test_streamed_actions_and_alerts_come_once(spark, rows, tmp_path):
         jobs.run_available(make(), "append", str(tmp_path / n))
     assert pairs(jobs.all_batches(spark, outs["actions"]), "id", "action") == [(k, "validate_order") for k in (0, 1, 2, 3, 4, 9)]
     assert pairs(jobs.all_batches(spark, outs["alerts"]), "id", "rule") == [(k, r) for k in (1, 3, 9) for r in ("no zip", "partner warning")]
+
+
+def test_price_histories_equal_those_of_each_line(rows):
+    """Every line of random orders against the single form, with a limit that cuts."""
+    import random
+
+    from tallygrid.operators import recommend
+
+    rnd = random.Random(9)
+    partners = rows("id bigint, parent_path string, commercial_partner_id bigint", [(1, "1/", 1), (2, "1/2/", 1), (3, "3/", 3)])
+    heads = [(n, rnd.randint(1, 3), date(2024, rnd.randint(1, 6), 1), rnd.choice(["sale", "done", "draft", "cancel"])) for n in range(20)]
+    orders = rows("id bigint, partner_id bigint, date_order date, state string", heads)
+    sold = [(n, k, rnd.choice([1, 1, 1, 2]), D(rnd.randint(1, 99))) for n in range(20) for k in range(1, 4)]
+    lines = rows("order_id bigint, line_no bigint, product_id bigint, price_unit decimal(18,2)", sold)
+    asked = lines.join(orders.selectExpr("id AS order_id", "partner_id"), "order_id").drop("price_unit")
+    got = recommend.price_histories(asked, orders, lines, partners, limit=4).orderBy("place").collect()
+    for n, k, product, _ in sold[:15:2]:
+        one = recommend.price_history(product, heads[n][1], (n, k), orders, lines, partners, limit=4).collect()
+        assert [(r.past_order, r.past_line, r.price_unit) for r in got if (r.order_id, r.line_no) == (n, k)] == [(r.order_id, r.line_no, r.price_unit) for r in one]
+    assert {r.place for r in got} == {1, 2, 3, 4}

@@ -285,6 +285,21 @@ def _(s):
     return out.select("order_id", "line_no", "partner_id", "state", F.col("date_order").cast("date").alias("day"), "price_unit")
 
 
+@query("price_histories", """, up AS (SELECT id, CAST(unnest(string_split(rtrim(parent_path, '/'), '/')) AS BIGINT) AS root FROM partner),
+past AS (SELECT up.root, l.product_id, l.order_id, l.line_no, o.partner_id, o.state, o.date_order, price_unit FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id JOIN up ON up.id = o.partner_id WHERE o.state IN ('sale','done','draft','sent')),
+x AS (SELECT l.order_id, l.line_no, l.product_id, past.order_id AS past_order, past.line_no AS past_line, past.partner_id AS past_partner, past.state, past.price_unit,
+    row_number() OVER (PARTITION BY l.order_id, l.line_no ORDER BY past.date_order DESC, past.order_id DESC, past.line_no DESC) AS place
+  FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id JOIN partner p ON p.id = o.partner_id JOIN past ON past.root = p.commercial_partner_id AND past.product_id = l.product_id AND (past.order_id <> l.order_id OR past.line_no <> l.line_no)
+  WHERE o.state IN ('draft', 'sent'))
+SELECT order_id, line_no, product_id, past_order, past_line, past_partner, state, price_unit::DOUBLE AS price_unit, place FROM x WHERE place <= 3""")
+def _(s):
+    """The three newest other sales of every line of the open orders, to the customer's group."""
+    lines, orders = s.keyed_lines(), s.orders()
+    heads = orders.filter("state IN ('draft', 'sent')").select(F.col("id").alias("order_id"), "partner_id")
+    asked = lines.select("order_id", "line_no", "product_id").join(heads, "order_id")
+    return rc.price_histories(asked, orders, lines, s.partners(), limit=3, include_quotations=True).drop("date_order")
+
+
 @query("last_sale_price", "SELECT company_id, partner_id, product_id, arg_max(l.order_id, (date_order, l.order_id, line_no)) AS order_id, arg_max(price_unit, (date_order, l.order_id, line_no))::DOUBLE AS price_unit FROM sale_order_line l JOIN sale_order o ON o.id = l.order_id WHERE state NOT IN ('draft','sent','cancel') GROUP BY ALL")
 def _(s):
     return rc.last_sale_price(s.orders(), s.keyed_lines())
