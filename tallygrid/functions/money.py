@@ -53,7 +53,10 @@ def less_percent(amount: Column | str, percent: Column | str) -> Column:
 
 
 def ratio(numerator: Column | str, denominator: Column | str, digits: int = 4, empty: float = 0.0) -> Column:
-    """Quotient of decimals, rounded half up and given as a double; ``empty`` when the denominator is 0 or NULL."""
+    """Quotient of decimals, rounded half up and given as a double; ``empty`` when the denominator is 0 or NULL.
+
+    Both sides are taken to four decimals, as many as quantities have: a denominator that is 0 there counts as 0.
+    """
     quotient = F.try_divide(col(numerator).cast("decimal(24,4)"), col(denominator).cast("decimal(20,4)"))
     return F.coalesce(F.round(quotient, digits).cast("double"), F.lit(empty))
 
