@@ -471,6 +471,18 @@ def test_assortment_lines_take_partners_without_and_unknown_products(rows):
     assert pairs(got, "partner_id", "product_id", "in_assortment") == [(0, 1, True), (1, 1, False), (1, 2, True), (1, 3, False), (2, 1, True), (2, 9, False), (3, 3, True), (3, 9, True)]
 
 
+def test_union_all_analytics_sums_orders_and_invoices_by_user_and_currency(rows):
+    from tallygrid.operators import reports
+    from workload.registry import ORACLES
+
+    columns = "id bigint, user_id bigint, currency_id bigint, discount_amount decimal(18,2), state string"
+    orders = rows(columns, [(4, 1, 1, D(2), "sale"), (3, 1, 1, D(3), "draft"), (5, None, 1, D(1), "done"), (6, None, 1, None, "done")])
+    billed = [(7, 1, 1, D(4), "posted", "out_invoice"), (8, 1, 1, D(1), "draft", "out_refund"), (9, 1, 1, D(9), "posted", "entry")]
+    got = reports.union_all_analytics(orders, rows(columns + ", move_type string", billed)).na.fill(0, ["user_id"])
+    assert pairs(got, "id", "user_id", "currency_id", "total_discount", "order_count", "invoice_count") == [(-7, 1, 1, D(5), 0, 1), (3, 1, 1, D(5), 1, 0), (5, 0, 1, D(1), 2, 0)]
+    assert ORACLES["union_all_analytics"].count("GROUP BY 1, 2") >= 2
+
+
 def test_streamed_actions_and_alerts_come_once(spark, rows, tmp_path):
     """Five files, one a batch, then a restart with an old order and a file delivered again: no action or alert twice."""
     from tallygrid.operators.automation import ORDER_STAGES
