@@ -483,6 +483,29 @@ def test_union_all_analytics_sums_orders_and_invoices_by_user_and_currency(rows)
     assert ORACLES["union_all_analytics"].count("GROUP BY 1, 2") >= 2
 
 
+def test_assortment_products_spread_a_hot_combination(rows, spark):
+    from tallygrid.operators import visibility
+
+    products = spark.range(300).select("id", (F.col("id") % 2).alias("odd"))
+    given = spark.range(40).select(F.col("id").alias("partner_id"), F.explode(F.array(F.lit(1), F.lit(2)).cast("array<bigint>")).alias("assortment_id"))
+    given = given.unionByName(given).unionByName(rows("partner_id bigint, assortment_id bigint", [(None, 2), (50, 9), (51, None)]))
+    predicates = {1: "odd = 1", 2: "id > 99"}
+    got = visibility.assortment_products(products.unionByName(products.filter("id = 201")), given, predicates)
+    expected = [(p, q) for p in range(40) for q in [*range(101, 300, 2), 201]] + [(-1, q) for q in [*range(100, 300), 201]]
+    assert pairs(got.na.fill(-1, ["partner_id"]), "partner_id", "product_id") == sorted(expected)
+    # partners and products of one combination meet in many parts, not in one task
+    parts = got.groupBy(F.spark_partition_id()).count()
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = [r["count"] for r in parts.collect()]
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert max(sizes) < 0.6 * sum(sizes)
+
+
 def test_streamed_actions_and_alerts_come_once(spark, rows, tmp_path):
     """Five files, one a batch, then a restart with an old order and a file delivered again: no action or alert twice."""
     from tallygrid.operators.automation import ORDER_STAGES
