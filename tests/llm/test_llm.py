@@ -307,3 +307,26 @@ def test_language_model_base_scores_and_empty_table(docs, empty):
         assert math.isclose(got["base_score"], base, rel_tol=1e-9) and got["score"] < 0
         assert (got["n_tokens"], got["n_known"], got["train_tokens"]) == (len(words), sum(counts[w] > 0 for w in words), n)
     assert lm_scoring.log_probabilities(empty).count() == 0
+
+
+def test_every_training_word_teaches_the_mixing_weights(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LEARNER_WORDS", 150)
+    monkeypatch.setattr(lm_scoring, "STEP_WORDS", 16)
+    words = spark.range(400).select(F.concat(F.lit("w"), F.hex(F.xxhash64("id"))).cast("binary").alias("word"))
+    tables = lm_scoring.bit_tables(lm_scoring.context_counts(words))
+    shared = spark.sparkContext.broadcast(tables)
+    weights, refine = lm_scoring.mixing(words, 400, shared)
+    # the same by hand: learners by hash, in the order of another hash, averaged by their words
+    rows = words.select("word", F.pmod(F.hash("word"), F.lit(3)).alias("k"), F.xxhash64("word").alias("h")).collect()
+    total = 0
+    for k in range(3):
+        mine = [bytes(r["word"]) for r in sorted((r for r in rows if r["k"] == k), key=lambda r: (r["h"], r["word"]))]
+        model = lm_scoring.untrained(*tables)
+        model.learn(mine)
+        total = total + len(mine) / 400 * np.concatenate([model.weights.ravel(), model.refine.ravel()])
+    assert np.allclose(np.concatenate([weights.ravel(), refine.ravel()]), total)
+    more = lm_scoring.mixing(words.repartition(7), 400, shared)
+    assert np.allclose(weights, more[0]) and np.allclose(refine, more[1])
+    # leaving out any half of the words changes them
+    half = lm_scoring.mixing(words.where("hash(word) % 2 = 0"), 400, shared)
+    assert not np.allclose(weights, half[0])
