@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallygrid.functions.labels import CONFIRMED
 from tallygrid.functions.money import MONEY, PERCENT, QTY, floored, money, percent_of, quantity, total, zero_if_null
 from tallygrid.plans.asof import convert_currency
-from tallygrid.plans.skew import attach_totals, prefix_sums
+from tallygrid.plans.skew import prefix_sums
 
 
 def amount_to_invoice(orders: DataFrame, lines: DataFrame) -> DataFrame:
@@ -178,20 +179,20 @@ def plan_progress(plans: DataFrame, orders: DataFrame) -> DataFrame:
     heads = orders.select(F.col("id").alias("order_id"), "state", "amount_untaxed")
     known = F.when(F.col("invoiced"), F.col("amount_invoiced")).otherwise(percent_of("amount_untaxed", "percent"))
     joined = plans.join(heads, "order_id").withColumn("_known", known.cast(MONEY))
-    last = plans.groupBy("order_id").agg(F.max("installment").alias("_last"))
-    joined = joined.join(last, "order_id").withColumn("last", F.col("installment") == F.col("_last"))
+    # a plan has few rows: windows over it need no further shuffle after the join
+    plan = W.partitionBy("order_id")
+    joined = joined.withColumn("last", F.col("installment") == F.max("installment").over(plan))
     instalment = F.col("invoice_type") == "installment"
-    full = attach_totals(
-        joined,
-        ["order_id"],
-        total(F.when(instalment & ~F.col("last"), F.col("_known"))).alias("_before"),
-        F.min(F.when(~F.col("invoiced"), F.col("installment"))).alias("_next"),
-        F.bool_or(~F.col("invoiced")).alias("processable"),
+    full = joined.select(
+        "*",
+        F.coalesce(F.sum(F.when(instalment & ~F.col("last"), F.col("_known"))).over(plan), F.lit(0)).alias("_before"),
+        F.min(F.when(~F.col("invoiced"), F.col("installment"))).over(plan).alias("_next"),
+        F.bool_or(~F.col("invoiced")).over(plan).alias("processable"),
     )
     amount = F.when(~F.col("invoiced") & F.col("last"), F.col("amount_untaxed") - F.col("_before")).otherwise(F.col("_known")).cast(MONEY)
     return full.withColumn("amount", amount).withColumn(
         "to_invoice", (F.col("state") == "sale") & F.coalesce(F.col("installment") == F.col("_next"), F.lit(False))
-    ).drop("_known", "_last", "_before", "_next")
+    ).drop("_known", "_before", "_next")
 
 
 def plan_totals(progress: DataFrame) -> DataFrame:

@@ -506,6 +506,32 @@ def test_assortment_products_spread_a_hot_combination(rows, spark):
     assert max(sizes) < 0.6 * sum(sizes)
 
 
+def shuffles(spark, make) -> int:
+    """Exchanges of the planned query when nothing is small enough to be sent to all tasks."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return make()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_plan_progress_shuffles_plans_and_orders_once(spark, rows):
+    plans = rows(
+        "order_id bigint, installment int, invoice_type string, percent decimal(9,2), invoiced boolean, amount_invoiced decimal(18,2)",
+        [(1, 0, "advance", D(0), False, None), (1, 1, "installment", D(30), True, D(31)), (1, 2, "installment", D(70), False, None),
+         (2, 1, "installment", D(100), True, D(9)), (3, 1, "installment", D(100), False, None), (None, 1, "installment", D(100), False, None)],
+    )
+    orders = rows("id bigint, state string, amount_untaxed decimal(18,2)", [(1, "sale", D(100)), (2, "sale", D(10)), (None, "sale", D(1))])
+    got = invoicing.plan_progress(plans, orders)
+    assert pairs(got, "order_id", "installment", "amount", "last", "to_invoice", "processable") == [
+        (1, 0, D(0), False, True, True), (1, 1, D(31), False, False, True), (1, 2, D(69), True, False, True), (2, 1, D(9), True, False, False)
+    ]
+    assert shuffles(spark, lambda: invoicing.plan_progress(plans.repartition(2), orders.repartition(2))) == 2
+
+
 def test_streamed_actions_and_alerts_come_once(spark, rows, tmp_path):
     """Five files, one a batch, then a restart with an old order and a file delivered again: no action or alert twice."""
     from tallygrid.operators.automation import ORDER_STAGES
