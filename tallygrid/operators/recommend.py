@@ -163,13 +163,15 @@ def recommend_for_orders(
     )
     reach = own.groupBy(*order_keys).agg(F.count_distinct("product_id").alias("_held"))
     wanted = reach.select(*order_keys, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_held") + amount)).alias("rank"))
-    new = (
-        wanted.join(ranked, ["company_id", "who", "rank"])
-        .join(own.select("order_id", "product_id").distinct(), ["order_id", "product_id"], "left_anti")
-        .select(*order_keys, "product_id", F.lit(False).alias("in_basket"), F.col("times").alias("times_delivered"), F.col("units").cast(QTY).alias("units_delivered"))
+    new = wanted.join(ranked, ["company_id", "who", "rank"]).select(
+        *order_keys, "product_id", F.lit(False).alias("in_basket"), F.col("times").alias("times_delivered"), F.col("units").cast(QTY).alias("units_delivered")
     )
+    # ranks and own products of an order are dealt by order once: there its own products leave the ranks, and places are given
+    dealt = new.withColumn("_own", F.lit(False)).unionByName(held.withColumn("_own", F.lit(True))).repartition("order_id")
+    met = dealt.withColumn("_held", F.bool_or("_own").over(W.partitionBy("order_id", "product_id")))
     place = F.row_number().over(W.partitionBy("order_id").orderBy(F.desc("times_delivered"), F.desc("units_delivered"), "product_id"))
-    fresh = new.unionByName(held.filter(~F.col("in_basket") & (F.col("times_delivered") > 0))).withColumn("_place", place).filter(F.col("_place") <= amount)
+    offered = F.when(F.col("_own"), ~F.col("in_basket") & (F.col("times_delivered") > 0)).otherwise(~F.col("_held"))
+    fresh = met.filter(offered).drop("_own", "_held").withColumn("_place", place).filter(F.col("_place") <= amount)
     basket = own.filter(~F.col("is_delivery") & F.col("display_type").isNull() & F.col("product_id").isNotNull()).select(
         "order_id", "product_id", F.col("qty").alias("units_included")
     )
@@ -242,8 +244,8 @@ def price_histories(
     """``price_history`` for a table of lines: (order_id, line_no, place, and the earlier line's past_order, past_line, ...).
 
     ``asked`` is (order_id, line_no, product_id, partner_id), one row a line. Sold lines are numbered once per (customer
-    group, product), newest first, in sorted runs; a line reads its first ``limit`` numbers and one more, since only the
-    line itself can drop out of them, by an equi join on (group, product, number).
+    group, product), newest first, and kept up to number ``limit`` and one more, since only the line itself can drop out
+    of them; a line meets these few by an equi join on (group, product).
     """
     states = CONFIRMED + QUOTATION if include_quotations else CONFIRMED
     root = F.col("commercial_partner_id") if include_commercial else F.col("id")
@@ -257,9 +259,10 @@ def price_histories(
         .withColumnRenamed("id", "past_partner")
     )
     newest = [F.desc("date_order"), F.desc("past_order"), F.desc("past_line")]
-    numbered = prefix_sums(sold, ["root", "product_id"], newest, {"number": F.lit(1).cast("bigint")})
-    reads = wanted.drop("partner_id").withColumn("number", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(limit + 1).cast("bigint"))))
-    found = reads.join(numbered, ["root", "product_id", "number"]).filter((F.col("past_order") != F.col("order_id")) | (F.col("past_line") != F.col("line_no")))
+    # only the first numbers are kept, cut before the shuffle too, so a hot group sends few rows
+    number = F.row_number().over(W.partitionBy("root", "product_id").orderBy(*newest))
+    numbered = sold.withColumn("number", number).filter(F.col("number") <= limit + 1)
+    found = wanted.drop("partner_id").join(numbered, ["root", "product_id"]).filter((F.col("past_order") != F.col("order_id")) | (F.col("past_line") != F.col("line_no")))
     place = F.row_number().over(W.partitionBy("order_id", "line_no").orderBy("number"))  # at most limit + 1 rows each
     return found.withColumn("place", place).filter(F.col("place") <= limit).drop("root", "number")
 

@@ -532,6 +532,39 @@ def test_plan_progress_shuffles_plans_and_orders_once(spark, rows):
     assert shuffles(spark, lambda: invoicing.plan_progress(plans.repartition(2), orders.repartition(2))) == 2
 
 
+def test_lines_are_numbered_in_one_shuffle_also_without_an_order(spark, tmp_path):
+    from tallygrid.sources.star import Star
+
+    kinds = {"l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double",
+             "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp"}
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, " + ", ".join(f"{n} {t}" for n, t in kinds.items())
+    made = [(o, p, 1, n, 1.0, 9.0, 0.0, 0.0, "N", "F", None) for o in (1, 2, None) for n in (None, 1, 1, 2) for p in (8, 9)]
+    spark.createDataFrame(made * 2, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    lines = Star(spark, str(tmp_path)).keyed_lines()
+    got = pairs(lines.na.fill(-1, ["order_id", "sequence"]), "order_id", "line_no", "sequence", "product_id")
+    for order in (-1, 1, 2):
+        mine = [g[1:] for g in got if g[0] == order]
+        assert [g[0] for g in mine] == list(range(1, 17)) and [g[1:] for g in mine] == sorted(g[1:] for g in mine)
+    assert shuffles(spark, lambda: lines.filter("order_id > 0").groupBy("order_id").count()) == 1
+
+
+def test_price_histories_write_no_runs_and_recommendations_meet_orders_once(spark, rows, monkeypatch):
+    from tallygrid.operators import recommend
+
+    calls = []
+    monkeypatch.setattr(recommend, "prefix_sums", lambda *a, **k: calls.append(a))
+    partners = rows("id bigint, commercial_partner_id bigint, parent_path string", [(1, 1, "1/"), (2, 1, "1/2/")])
+    orders = rows("id bigint, partner_id bigint, state string, date_order date", [(k, 1 + k % 2, "sale", date(2024, 1, 1 + k % 9)) for k in range(30)])
+    lines = rows("order_id bigint, line_no bigint, product_id bigint, price_unit decimal(18,2)", [(k, n, 7, D(k)) for k in range(30) for n in (1, 2)])
+    asked = rows("order_id bigint, line_no bigint, product_id bigint, partner_id bigint", [(3, 1, 7, 1), (8, 2, 7, 2)])
+    got = recommend.price_histories(asked, orders, lines, partners, limit=3)
+    newest = sorted(((k % 9, k, n) for k in range(30) for n in (1, 2)), reverse=True)
+    for order, line in ((3, 1), (8, 2)):
+        expected = [(order, line, i + 1, k, n) for i, (_, k, n) in enumerate([x for x in newest if x[1:] != (order, line)][:3])]
+        assert pairs(got.filter(F.col("order_id") == order), "order_id", "line_no", "place", "past_order", "past_line") == expected
+    assert not calls
+
+
 def test_streamed_actions_and_alerts_come_once(spark, rows, tmp_path):
     """Five files, one a batch, then a restart with an old order and a file delivered again: no action or alert twice."""
     from tallygrid.operators.automation import ORDER_STAGES
