@@ -473,6 +473,7 @@ def test_assortment_lines_take_partners_without_and_unknown_products(rows):
 
 def test_union_all_analytics_sums_orders_and_invoices_by_user_and_currency(rows):
     from tallygrid.operators import reports
+    from workload.checks import SQL_ANALYTICS
     from workload.registry import ORACLES
 
     columns = "id bigint, user_id bigint, currency_id bigint, discount_amount decimal(18,2), state string"
@@ -480,7 +481,7 @@ def test_union_all_analytics_sums_orders_and_invoices_by_user_and_currency(rows)
     billed = [(7, 1, 1, D(4), "posted", "out_invoice"), (8, 1, 1, D(1), "draft", "out_refund"), (9, 1, 1, D(9), "posted", "entry")]
     got = reports.union_all_analytics(orders, rows(columns + ", move_type string", billed)).na.fill(0, ["user_id"])
     assert pairs(got, "id", "user_id", "currency_id", "total_discount", "order_count", "invoice_count") == [(-7, 1, 1, D(5), 0, 1), (3, 1, 1, D(5), 1, 0), (5, 0, 1, D(1), 2, 0)]
-    assert ORACLES["union_all_analytics"].count("GROUP BY 1, 2") >= 2
+    assert ORACLES["union_all_analytics"].endswith(SQL_ANALYTICS)
 
 
 def test_assortment_products_spread_a_hot_combination(rows, spark):
