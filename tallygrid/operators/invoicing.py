@@ -67,23 +67,30 @@ def untaxed_to_invoice(lines: DataFrame, invoice_lines: DataFrame, keys: Sequenc
     force_invoiced_qty); ``invoice_lines`` (*keys, inv_price, inv_qty, inv_discount, inv_subtotal, move_state).
     """
     live = invoice_lines.filter(F.col("move_state") != "cancel")
-    first = lines.select(*keys, F.col("discount").alias("_line_discount"))
-    summed = (
-        live.join(first, list(keys))
-        .groupBy(*keys)
-        .agg(
-            F.bool_or(F.col("inv_discount") != F.col("_line_discount")).alias("_differs"),
-            F.sum(money(F.col("inv_price") * F.col("inv_qty").cast("decimal(12,4)"))).alias("_gross"),
-            F.coalesce(F.sum(F.when(F.col("move_state") == "posted", F.col("inv_subtotal"))), F.lit(0)).alias("_invoiced"),
-        )
+    # a line meets its invoice lines once: their least and greatest discount tell whether one differs from the line's own
+    summed = live.groupBy(*keys).agg(
+        F.min("inv_discount").alias("_least"),
+        F.max("inv_discount").alias("_most"),
+        F.sum(money(F.col("inv_price") * F.col("inv_qty").cast("decimal(12,4)"))).alias("_gross_once"),
+        F.coalesce(F.sum(F.when(F.col("move_state") == "posted", F.col("inv_subtotal"))), F.lit(0)).alias("_invoiced_once"),
+    )
+    # lines that share their keys share what was invoiced, once for each of them
+    alike = W.partitionBy(*keys)
+    differs = (F.col("_least") != F.col("discount")) | (F.col("_most") != F.col("discount"))
+    copies = F.count("*").over(alike)
+    met = lines.join(summed, list(keys), "left").select(
+        "*",
+        F.bool_or(differs).over(alike).alias("_differs"),
+        (F.col("_gross_once") * copies).alias("_gross"),
+        (F.col("_invoiced_once") * copies).alias("_invoiced"),
     )
     basis = F.when(F.col("product_policy") == "delivery", F.col("qty_delivered")).otherwise(F.col("qty"))
     units = (basis - zero_if_null("force_invoiced_qty")).cast("decimal(12,4)")
     worth = money(less_percent_exact("price_unit", "discount") * units)
     left = F.when(F.coalesce("_differs", F.lit(False)), floored(worth - zero_if_null("_gross"))).otherwise(worth - zero_if_null("_invoiced"))
-    return lines.join(summed, list(keys), "left").withColumn(
+    return met.withColumn(
         "untaxed_to_invoice", F.when(F.col("state").isin(*CONFIRMED), left).otherwise(F.lit(0)).cast(MONEY)
-    ).drop("_differs", "_gross", "_invoiced")
+    ).drop("_differs", "_gross", "_invoiced", *[c for c in summed.columns if c not in keys])
 
 
 def less_percent_exact(price: str, discount: str) -> Column:

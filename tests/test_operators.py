@@ -619,3 +619,29 @@ def test_price_histories_equal_those_of_each_line(rows):
         one = recommend.price_history(product, heads[n][1], (n, k), orders, lines, partners, limit=4).collect()
         assert [(r.past_order, r.past_line, r.price_unit) for r in got if (r.order_id, r.line_no) == (n, k)] == [(r.order_id, r.line_no, r.price_unit) for r in one]
     assert {r.place for r in got} == {1, 2, 3, 4}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture()
+def joins_by_shuffle(spark):
+    """Plans as on tables too large to be sent to all tasks."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_untaxed_to_invoice_meets_invoice_lines_once(rows, joins_by_shuffle):
+    """A line that is there twice shares what was invoiced as before; any other discount counts."""
+    schema = "order_id bigint, line_no bigint, state string, product_policy string, qty decimal(18,4), qty_delivered decimal(18,4), force_invoiced_qty int, price_unit decimal(18,2), discount decimal(9,2)"
+    lines = rows(schema, [(1, 1, "sale", "order", D(10), D(0), 0, D(5), D(0)), (1, 2, "sale", "order", D(10), D(0), 0, D(5), D(10)), (2, 1, "sale", "order", D(10), D(0), 0, D(5), D(0)), (2, 1, "sale", "order", D(10), D(0), 0, D(5), D(0)), (None, 1, "sale", "order", D(1), D(0), 0, D(5), D(0))])
+    inv = rows(
+        "order_id bigint, line_no bigint, inv_price decimal(18,2), inv_qty decimal(18,4), inv_discount decimal(9,2), inv_subtotal decimal(18,2), move_state string",
+        [(1, 1, D(5), D(2), D(0), D(10), "posted"), (1, 1, D(5), D(1), D(0), D(5), "draft"), (1, 2, D(5), D(2), D(10), D(9), "posted"), (1, 2, D(5), D(1), D(0), D(5), "posted"), (2, 1, D(5), D(2), None, D(10), "posted"), (None, 1, D(5), D(1), D(0), D(5), "posted")],
+    )
+    got = invoicing.untaxed_to_invoice(lines, inv, ["order_id", "line_no"])
+    assert _plan(got).count("LocalTableScan") == 2
+    found = sorted(((r.order_id or 0, r.line_no, r.untaxed_to_invoice) for r in got.collect()))
+    assert found == [(0, 1, D(5)), (1, 1, D(40)), (1, 2, D(30)), (2, 1, D(30)), (2, 1, D(30))]
