@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallygrid.functions.money import CENT, MONEY, PERCENT, QTY, money
@@ -25,13 +26,15 @@ BY_TEMPLATE, BY_CATEGORY = "3_1_global_product_template", "3_2_global_product_ca
 def cumulative_qty(lines: DataFrame) -> DataFrame:
     """Each product line with the order's quantity of its template and of its category.
 
-    Lines need (order_id, template_id, categ_id, unit_qty, display_type). Two partial aggregations
-    and joins instead of windows, so one big order does not sit in one task.
+    Lines need (order_id, template_id, categ_id, unit_qty, display_type); one without one of the three ids falls out. The
+    sums are windows inside an order: lines that an earlier join dealt by order stay where they are, and a large group
+    is sorted on disk.
     """
-    plain = lines.filter(F.col("display_type").isNull())
-    by_template = plain.groupBy("order_id", "template_id").agg(F.sum("unit_qty").cast(QTY).alias("template_qty"))
-    by_category = plain.groupBy("order_id", "categ_id").agg(F.sum("unit_qty").cast(QTY).alias("category_qty"))
-    return plain.join(by_template, ["order_id", "template_id"]).join(by_category, ["order_id", "categ_id"])
+    ids = F.col("order_id").isNotNull() & F.col("template_id").isNotNull() & F.col("categ_id").isNotNull()
+    plain = lines.filter(F.col("display_type").isNull() & ids)
+    for key, name in (("template_id", "template_qty"), ("categ_id", "category_qty")):
+        plain = plain.withColumn(name, F.sum("unit_qty").over(W.partitionBy("order_id", key)).cast(QTY))
+    return plain
 
 
 def rule_prefix_join(categories: DataFrame, rules: DataFrame) -> DataFrame:
@@ -198,7 +201,7 @@ def candidate_rules(orders: DataFrame, rules: DataFrame, today: date) -> DataFra
         names = [c for c in ("auto", "sequence", *fields) if c not in ("lines", "code", "pricelist_ids")]
         return F.struct(*[r[c].alias(c) for c in names], F.try_element_at(r["lines"], F.col("currency_id")).alias("line"))
 
-    possible = F.array_sort(F.transform(F.filter(together, holds), own_line))
+    possible = F.sort_array(F.transform(F.filter(together, holds), own_line))
     return met.withColumn("_rules", possible).drop("_p", "_l", "_c", "_all", "_code")
 
 

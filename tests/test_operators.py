@@ -633,6 +633,17 @@ def joins_by_shuffle(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_cumulated_quantities_leave_lines_dealt_by_order(rows, joins_by_shuffle):
+    schema = "order_id bigint, template_id bigint, categ_id bigint, unit_qty decimal(18,4), display_type string"
+    made = [(1, 10, 5, D(2), None), (1, 10, 6, D(3), None), (1, 20, 5, D(4), None), (1, 10, 5, D(9), "note"), (2, 10, 5, D(7), None), (None, 10, 5, D(1), None), (2, None, 5, D(1), None)]
+    heads = rows("order_id bigint, pricelist_id bigint", [(1, 1), (2, 1)])
+    got = promotion.cumulative_qty(rows(schema, made))
+    assert pairs(got, "order_id", "template_id", "categ_id", "template_qty", "category_qty") == [
+        (1, 10, 5, D(5), D(6)), (1, 10, 6, D(5), D(3)), (1, 20, 5, D(4), D(6)), (2, 10, 5, D(7), D(7))
+    ]
+    assert _plan(promotion.cumulative_qty(rows(schema, made).join(heads, "order_id"))).count("Exchange hashpartitioning") == 2
+
+
 def test_untaxed_to_invoice_meets_invoice_lines_once(rows, joins_by_shuffle):
     """A line that is there twice shares what was invoiced as before; any other discount counts."""
     schema = "order_id bigint, line_no bigint, state string, product_policy string, qty decimal(18,4), qty_delivered decimal(18,4), force_invoiced_qty int, price_unit decimal(18,2), discount decimal(9,2)"

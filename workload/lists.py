@@ -54,7 +54,7 @@ def rule_lines(s: Star):
     heads = s.orders().select(F.col("id").alias("order_id"), "pricelist_id", F.col("date_order").cast("date").alias("day"))
     goods = s.products().select(F.col("id").alias("product_id"), "template_id", "categ_id", "list_price")
     units = F.when(F.col("uom_id") == 2, F.col("qty") * 4).otherwise(F.col("qty")).cast(QTY)
-    return s.keyed_lines().select("order_id", "line_no", "product_id", "display_type", units.alias("unit_qty")).join(heads, "order_id").join(goods, "product_id")
+    return s.keyed_lines().select("order_id", "line_no", "product_id", "display_type", units.alias("unit_qty")).join(goods, "product_id").join(heads, "order_id")
 
 
 @query("cumulative_qty", SQL_PRICE_RULES + "SELECT order_id, line_no, tq::DOUBLE AS template_qty, gq::DOUBLE AS category_qty FROM cq")
@@ -213,7 +213,9 @@ def _(s):
 def _(s):
     """Use of every rule by the orders that took it."""
     heads = s.orders().select(F.col("id").alias("order_id"), "partner_id", "state")
-    return pr.promotion_usage(applied(s).select("order_id", F.explode("applied").alias("rule_id")).join(heads, "order_id"))
+    # a plain explode would first test the list for rows, which works out the fold a second time
+    taken = applied(s).select("order_id", F.explode_outer("applied").alias("rule_id")).filter("rule_id IS NOT NULL")
+    return pr.promotion_usage(taken.join(heads, "order_id"))
 
 
 # -- recommendation and history -----------------------------------------------------------
