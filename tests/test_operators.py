@@ -633,6 +633,51 @@ def joins_by_shuffle(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def small_star(spark, rows, folder, orders=12):
+    """Orders 0 to 11 with three lines each, the first order's first line twice; a third of them has an invoice."""
+    from tallygrid.sources.star import Star
+
+    heads = [(k, k % 4, "FOP"[k % 3], D(10 * k), date(1997, 1, 1), "1-URGENT") for k in range(orders)]
+    made = rows("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice decimal(18,2), o_orderdate date, o_orderpriority string", heads)
+    made.write.parquet(f"{folder}/orders.parquet")
+    sold = [(k, k + n, 1, n, 2.0, 10.0 * n, 0.05, 0.02, "RNA"[(k + n) % 3], "FO"[n % 2], date(1997, 2, n)) for k in range(orders) for n in (1, 2, 3)]
+    columns = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date"
+    rows(columns, sold + sold[:1]).write.parquet(f"{folder}/lineitem.parquet")
+    return Star(spark, str(folder))
+
+
+def test_long_tables_are_numbered_in_more_parts(spark, rows, tmp_path, monkeypatch):
+    from tallygrid.sources import star
+
+    s = small_star(spark, rows, tmp_path)
+    plain = pairs(s.keyed_lines(), "order_id", "line_no", "product_id")
+    assert s.keyed_lines().rdd.getNumPartitions() <= 4
+    monkeypatch.setattr(star, "LINES_PER_TASK", 4)
+    assert s.keyed_lines().rdd.getNumPartitions() == 37 // 4
+    assert pairs(s.keyed_lines(), "order_id", "line_no", "product_id") == plain
+    assert pairs(s.keyed_lines().filter("order_id = 0"), "line_no", "product_id") == [(1, 1), (2, 1), (3, 2), (4, 3)]
+
+
+def test_invoice_lines_are_numbered_after_their_orders_are_picked(spark, rows, tmp_path):
+    s = small_star(spark, rows, tmp_path)
+    whole = s.invoice_lines(s.keyed_lines())
+    some = s.keyed_invoice_lines()
+    columns = ("order_id", "line_no", "product_id", "move_state")
+    assert pairs(some, *columns) == pairs(whole, *columns) and 0 < some.count() < s.lines().count()
+    text = _plan(some)
+    assert "LeftSemi" in text[text.index("Window") :]
+
+
+def test_stock_moves_number_the_lines_once(spark, rows, tmp_path):
+    s = small_star(spark, rows, tmp_path)
+    moves = s.stock_moves()
+    lines = s.keyed_lines().collect()
+    expected = [(r.order_id, r.line_no, False, r.qty, "customer") for r in lines if r.line_status == "F"]
+    expected += [(r.order_id, r.line_no, True, r.qty // 2, "internal") for r in lines if r.return_flag == "R"]
+    assert pairs(moves, "order_id", "line_no", "is_return", "quantity", "dest_usage") == sorted(expected)
+    assert _plan(moves).count("Window [") == 1
+
+
 def test_cumulated_quantities_leave_lines_dealt_by_order(rows, joins_by_shuffle):
     schema = "order_id bigint, template_id bigint, categ_id bigint, unit_qty decimal(18,4), display_type string"
     made = [(1, 10, 5, D(2), None), (1, 10, 6, D(3), None), (1, 20, 5, D(4), None), (1, 10, 5, D(9), "note"), (2, 10, 5, D(7), None), (None, 10, 5, D(1), None), (2, None, 5, D(1), None)]
@@ -656,3 +701,11 @@ def test_untaxed_to_invoice_meets_invoice_lines_once(rows, joins_by_shuffle):
     assert _plan(got).count("LocalTableScan") == 2
     found = sorted(((r.order_id or 0, r.line_no, r.untaxed_to_invoice) for r in got.collect()))
     assert found == [(0, 1, D(5)), (1, 1, D(40)), (1, 2, D(30)), (2, 1, D(30)), (2, 1, D(30))]
+
+
+def test_promotion_usage_folds_once(spark):
+    """Reading the rules taken must not work out the fold a second time to see whether there are any."""
+    import __spark_entry__ as entry
+
+    used = entry.queries()["promotion_usage"](spark, "/root/testdata/sf0.001")
+    assert _plan(used).count("aggregate(filter(") == 1

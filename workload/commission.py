@@ -116,7 +116,7 @@ def assigned(s: Star):
 def invoice_agent_lines(s: Star, keyed=False):
     goods = s.products().select(F.col("id").alias("product_id"), "commission_free", "standard_price", "categ_id", F.col("uom_id").alias("product_uom_id"))
     agents = s.users().select(F.col("id").alias("agent_id"), "commission_id")
-    lines = s.invoice_lines(s.keyed_lines() if keyed else None).filter("display_type IS NULL").join(goods, "product_id").join(agents, "agent_id")
+    lines = (s.keyed_invoice_lines() if keyed else s.invoice_lines()).filter("display_type IS NULL").join(goods, "product_id").join(agents, "agent_id")
     lines = lines.withColumn("settled", F.col("order_id") % 10 == 0)
     return c.commission_amount(lines, commissions(s), bands(s), FORMULAS, F.col("move_type") == "out_refund")
 
@@ -214,15 +214,17 @@ UNION ALL SELECT 1, {_KEY} || 0, count(*), sum(amount)::DOUBLE FROM run1 GROUP B
 def _(s):
     """Three runs one after another: the second also takes the lines of cancelled settlements, the third adds nothing."""
     keys = ["order_id", "line_no"]
-    facts = staged(invoice_agent_lines(s, keyed=True).drop("settled"), "agent-lines")
-    none = s.spark.createDataFrame([], "id string, agent_id bigint, company_id bigint, currency_id bigint, date_from date, date_to date, state string")
-    no_lines = s.spark.createDataFrame([], "settlement_id string, order_id bigint, line_no bigint")
+    needed = ["agent_id", "commission_id", "company_id", "currency_id", "product_id", "invoice_date", "move_state", "payment_state", "amount"]
+    facts = staged(invoice_agent_lines(s, keyed=True).select(*keys, *needed), "agent-lines")
+    none = rows(s.spark, "id string, agent_id bigint, company_id bigint, currency_id bigint, date_from date, date_to date, state string", [])
+    no_lines = rows(s.spark, "settlement_id string, order_id bigint, line_no bigint", [])
     names = ["settlement_id", *keys]
     first = staged(c.settlement_run(facts, s.users(), commissions(s), none, no_lines, date(1997, 5, 20), keys), "run")
     cancelled = F.when(F.col("agent_id") % 5 == 2, F.lit("cancel")).otherwise(F.lit("settled"))
-    made = c.settlements_of(first).withColumn("state", cancelled)
+    made = staged(c.settlements_of(first).withColumn("state", cancelled), "settlements")
     second = staged(c.settlement_run(facts, s.users(), commissions(s), made, first.select(names), date(1998, 5, 20), keys), "run")
-    both, lines = made.unionByName(c.settlements_of(second)).distinct(), first.select(names).unionByName(second.select(names))
+    both = staged(made.unionByName(c.settlements_of(second)).distinct(), "settlements")
+    lines = first.select(names).unionByName(second.select(names))
     third = c.settlement_run(facts, s.users(), commissions(s), both, lines, date(1998, 5, 20), keys)
     runs = [r.groupBy(F.lit(n).cast("bigint").alias("run"), "settlement_id").agg(F.count("*").alias("line_count"), F.sum("amount").alias("amount")) for n, r in ((1, first), (2, second), (3, third))]
     return runs[0].unionByName(runs[1]).unionByName(runs[2])
@@ -280,7 +282,7 @@ def _(s):
 
 @query("commission_fact_join", SQL_RULES + INVOICE_AGENT_SQL + "SELECT order_id, line_no, agent_id, commission_id, categ_id, product_id, product_uom_id, fix_qty::DOUBLE AS percentage, price_subtotal::DOUBLE AS price_subtotal FROM agent_line")
 def _(s):
-    lines = s.invoice_lines(s.keyed_lines()).filter("display_type IS NULL")
+    lines = s.keyed_invoice_lines().filter("display_type IS NULL")
     agents = s.users().select(F.col("id").alias("agent_id"), "commission_id")
     agent_lines = lines.select("order_id", "line_no", "agent_id").join(agents, "agent_id")
     facts = c.commission_fact_join(agent_lines, lines.drop("agent_id"), commissions(s), s.products(), ["order_id", "line_no"])

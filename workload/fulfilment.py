@@ -218,7 +218,7 @@ sm AS (SELECT il.order_id, il.line_no, bool_or(idisc <> l.discount) AS df, sum(r
 w AS (SELECT pl.*, round(CAST(price_unit * (100 - discount) * 0.01 AS DECIMAL(16,4)) * (CASE WHEN pp = 'delivery' THEN qty_delivered ELSE qty END - fq), 2) AS worth FROM pl)
 SELECT order_id, line_no, CASE WHEN state IN ('sale','done') THEN CASE WHEN coalesce(df, FALSE) THEN greatest(worth - coalesce(g, 0), 0) ELSE worth - coalesce(iv, 0) END ELSE 0 END::DOUBLE AS untaxed_to_invoice FROM w LEFT JOIN sm USING (order_id, line_no)""")
 def _(s):
-    inv = s.invoice_lines(s.keyed_lines()).filter("qty_invoiced <> 0").select(
+    inv = s.keyed_invoice_lines().filter("qty_invoiced <> 0").select(
         "order_id", "line_no", "move_state", F.col("price_unit").alias("inv_price"), F.col("qty_invoiced").alias("inv_qty"),
         F.when(F.col("product_id") % 6 == 0, F.col("discount") + 1).otherwise(F.col("discount")).alias("inv_discount"),
         F.round(F.col("price_subtotal") / 2, 2).cast(MONEY).alias("inv_subtotal"),
