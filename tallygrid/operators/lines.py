@@ -183,9 +183,12 @@ def customer_code(lines: DataFrame, codes: DataFrame) -> DataFrame:
 
     Lines need (product_id, partner_id, commercial_partner_id); ``codes`` (product_id, partner_id, sequence, code, min_qty).
     """
-    first = codes.groupBy("product_id", "partner_id").agg(F.min_by(F.struct("code", "min_qty"), "sequence").alias("_hit"))
+    # dealt first: the pick sorts its rows, which must not be all that one task reads from a small file; merged, since Spark
+    # takes codes made from a small file for a small table and would send them all through the driver to every task
+    dealt = codes.repartition("product_id", "partner_id")
+    first = dealt.groupBy("product_id", "partner_id").agg(F.min_by(F.struct("code", "min_qty"), "sequence").alias("_hit"))
     entity = first.withColumnRenamed("partner_id", "commercial_partner_id").withColumnRenamed("_hit", "_entity")
-    joined = lines.join(first, ["product_id", "partner_id"], "left").join(entity, ["product_id", "commercial_partner_id"], "left")
+    joined = lines.join(first.hint("merge"), ["product_id", "partner_id"], "left").join(entity.hint("merge"), ["product_id", "commercial_partner_id"], "left")
     hit = F.coalesce("_hit", "_entity")
     return joined.withColumn("customer_code", F.coalesce(hit["code"], F.lit(""))).withColumn("min_qty", hit["min_qty"]).drop("_hit", "_entity")
 

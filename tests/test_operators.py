@@ -709,3 +709,14 @@ def test_promotion_usage_folds_once(spark):
 
     used = entry.queries()["promotion_usage"](spark, "/root/testdata/sf0.001")
     assert _plan(used).count("aggregate(filter(") == 1
+
+
+def test_customer_codes_are_dealt_before_they_are_picked(rows):
+    """The pick sorts its rows, so no task may sort all the codes that it reads; nor are they sent to all tasks."""
+    codes = rows("product_id bigint, partner_id bigint, sequence int, code string, min_qty decimal(18,4)", [(1, 7, 2, "b", D(2)), (1, 7, 1, "a", D(1)), (1, 5, 1, "e", D(3)), (None, 7, 1, "n", D(1))])
+    asked = rows("line_no bigint, product_id bigint, partner_id bigint, commercial_partner_id bigint", [(1, 1, 7, 5), (2, 1, 6, 5), (3, 2, 7, 5), (4, None, 7, 5)])
+    got = lines.customer_code(asked, codes)
+    plan = _plan(got)
+    assert "Broadcast" not in plan
+    assert not any("Scan" in part[part.index("Aggregate(") :] for part in plan.split("Exchange hashpartitioning(") if "Aggregate(" in part)
+    assert pairs(got, "line_no", "customer_code") == [(1, "a"), (2, "e"), (3, ""), (4, "")]
