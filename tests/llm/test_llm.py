@@ -330,3 +330,41 @@ def test_every_training_word_teaches_the_mixing_weights(spark, monkeypatch):
     # leaving out any half of the words changes them
     half = lm_scoring.mixing(words.where("hash(word) % 2 = 0"), 400, shared)
     assert not np.allclose(weights, half[0])
+
+
+def _slot_by_hand(before: bytes, order: int, node: int) -> int:
+    """Slot of a predictor for one bit: a hash of the ``order`` bytes before (1 in front of the word) and the bits so far."""
+    mask = (1 << 64) - 1
+    k = lm_scoring.ORDERS.index(order)
+    context = k + 1
+    for back in range(1, order + 1):
+        context = (context * 0x9E3779B1 + (before[-back] + 2 if back <= len(before) else 1)) & mask
+        context = int(lm_scoring.mixed(np.array([context], np.uint64))[0])
+    return (((context ^ node) * 0xD6E8FEB86659FD93 & mask) >> (64 - lm_scoring.SLOT_BITS)) + k * lm_scoring.SLOTS
+
+
+def test_bits_of_words_are_looked_up_in_blocks_not_byte_by_byte(monkeypatch):
+    words = [b"", b"a", b"ab", "ünd".encode(), b"x" * 9, bytes(range(33, 60)), b"\x00\xff"]
+    want = []
+    for row, word in enumerate(words):
+        for place, byte in enumerate(word + b" "):
+            for bit in range(8):
+                slots = [_slot_by_hand(word[:place], order, (byte | 256) >> (8 - bit)) for order in lm_scoring.ORDERS]
+                want.append((row, bit, slots, byte >> (7 - bit) & 1))
+    for by_place in (False, True):
+        got, sizes = [], []
+        for rows, slots, bits, bounds in lm_scoring._bits(words, by_place):
+            got += [(int(rows[i]), k, slots[k, :, i].tolist(), int(bits[k, i])) for i in range(len(rows)) for k in range(8)]
+            sizes += np.diff(bounds).tolist() if by_place else []
+        assert sorted(got) == sorted(want)
+        if by_place:
+            assert sizes == [sum(len(w) >= place for w in words) for place in range(28)]
+    # words of 200 bytes: the bytes are hashed some thousands at once
+    calls = []
+    monkeypatch.setattr(lm_scoring, "mixed", lambda x, plain=lm_scoring.mixed: calls.append(1) or plain(x))
+    long = [bytes([97 + i % 26]) * 200 for i in range(40)]
+    zeros, ones = (np.zeros(len(lm_scoring.ORDERS) * lm_scoring.SLOTS, np.float32) for _ in range(2))
+    model = lm_scoring.untrained(zeros, ones)
+    assert model.log10_of(long).shape == (40,) and model.log10_of([]).shape == (0,)
+    model.learn(long)
+    assert len(calls) <= 2 * max(lm_scoring.ORDERS)
