@@ -13,6 +13,8 @@ from tallygrid.session import staged
 
 #: Rate rows up to which the lookup is an equi join on intervals that Spark can send to all tasks.
 SHORT_TABLE = 20_000
+#: Facts of a key up to which the merge is one window over each key; with a longer key the rows are cut into runs.
+SHORT_KEY = 100_000
 
 
 def asof_join(
@@ -28,13 +30,14 @@ def asof_join(
     return interval_asof(facts, rates, keys, day, values)
 
 
-def merge_asof(facts: DataFrame, rates: DataFrame, keys: Sequence[str], day: str, values: Sequence[str]) -> DataFrame:
-    """The same lookup for rate tables and keys of any size: one sorted merge, without meeting facts by key.
+def merge_asof(
+    facts: DataFrame, rates: DataFrame, keys: Sequence[str], day: str, values: Sequence[str], short: int = SHORT_KEY
+) -> DataFrame:
+    """The same lookup for rate tables and keys of any size: facts and rates are stacked and the last rate is carried forward.
 
-    Facts and rates are stacked and cut into sorted runs by ranges of (keys, date, kind, row hash), so the facts of one
-    key, even of one day, are spread over many runs (only rows alike in all columns stay together); the runs are written once. Inside a run the last rate is carried
-    forward; a key that began in an earlier run starts with the last rate the runs before hold of it. Facts with a null
-    key or day, or before the first rate, get nulls.
+    The facts of each key are counted. Where no key has more than ``short``, nor more than one rate a day, rows are dealt by
+    key and one window over each key carries the rate; with a longer key all rows are cut into sorted runs. Both give the
+    same rows. Facts with a null key or day, or before the first rate, get nulls.
     """
     keys = list(keys)
     names = [f"_k{i}" for i in range(len(keys))]
@@ -42,14 +45,36 @@ def merge_asof(facts: DataFrame, rates: DataFrame, keys: Sequence[str], day: str
     found = F.struct(*[F.col(v).alias(v) for v in values])
     marks = daily.select(
         *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("date").cast("date").alias("_day"), F.lit(0).alias("_kind"),
-        F.lit(0).cast("bigint").alias("_spread"), found.alias("_rate"), F.lit(None).cast(facts.schema).alias("_fact"),
+        found.alias("_rate"), F.lit(None).cast(facts.schema).alias("_fact"),
     )
-    plain = [F.col(f"`{c}`") for c, t in facts.dtypes if "map<" not in t]  # maps have no hash
     row = F.struct(*[F.col(f"`{c}`") for c in facts.columns])
     asked = facts.select(
         *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(day).cast("date").alias("_day"), F.lit(1).alias("_kind"),
-        F.xxhash64(*plain).alias("_spread"), F.lit(None).cast(marks.schema["_rate"].dataType).alias("_rate"), row.alias("_fact"),
+        F.lit(None).cast(marks.schema["_rate"].dataType).alias("_rate"), row.alias("_fact"),
     )
+    each = facts.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).count()
+    longest = each.agg(F.max("count")).first()[0] or 0
+    best = _carried_by_key(marks, asked, names) if longest <= short else _carried_by_run(marks, asked, names, facts)
+    return best.select(*[F.col("_fact")[c].alias(c) for c in facts.columns], *[F.col("_best")[v].alias(v) for v in values])
+
+
+def _carried_by_key(marks: DataFrame, asked: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(_fact, _best) by one window over each key."""
+    inside = W.partitionBy(*names).orderBy("_day", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    carried = marks.unionByName(asked).withColumn("_last", F.last("_rate", ignorenulls=True).over(inside)).filter("_kind = 1")
+    return carried.select("_fact", F.when(F.col("_day").isNotNull(), F.col("_last")).alias("_best"))
+
+
+def _carried_by_run(marks: DataFrame, asked: DataFrame, names: Sequence[str], facts: DataFrame) -> DataFrame:
+    """(_fact, _best) by one sorted merge, without meeting facts by key.
+
+    Facts and rates are cut into sorted runs by ranges of (keys, date, kind, row hash), so the facts of one
+    key, even of one day, are spread over many runs (only rows alike in all columns stay together); the runs are written once. Inside a run the last rate is carried
+    forward; a key that began in an earlier run starts with the last rate the runs before hold of it.
+    """
+    plain = [F.col("_fact")[c] for c, t in facts.dtypes if "map<" not in t]  # maps have no hash
+    marks = marks.withColumn("_spread", F.lit(0).cast("bigint"))
+    asked = asked.withColumn("_spread", F.xxhash64(*plain))
     along = [F.col(c).asc_nulls_first() for c in (*names, "_day", "_kind", "_spread")]
     runs = marks.unionByName(asked).repartitionByRange(*along).sortWithinPartitions(*along)
     runs = staged(runs.drop("_spread").withColumn("_at", F.monotonically_increasing_id()), "asof").withColumn("_run", F.shiftright("_at", 33))
@@ -63,9 +88,7 @@ def merge_asof(facts: DataFrame, rates: DataFrame, keys: Sequence[str], day: str
     carried = runs.withColumn("_last", F.last("_rate", ignorenulls=True).over(inside)).filter("_kind = 1")
     same = [F.col("_run") == F.col("_h_run"), *[F.col(n) == F.col(f"_h{n}") for n in names]]
     best = F.when(F.col("_day").isNotNull(), F.coalesce("_last", "_head"))
-    return carried.join(heads, same, "left").select("_fact", best.alias("_best")).select(
-        *[F.col("_fact")[c].alias(c) for c in facts.columns], *[F.col("_best")[v].alias(v) for v in values]
-    )
+    return carried.join(heads, same, "left").select("_fact", best.alias("_best"))
 
 
 def interval_asof(facts: DataFrame, rates: DataFrame, keys: Sequence[str], day: str, values: Sequence[str]) -> DataFrame:

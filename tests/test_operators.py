@@ -720,3 +720,18 @@ def test_customer_codes_are_dealt_before_they_are_picked(rows):
     assert "Broadcast" not in plan
     assert not any("Scan" in part[part.index("Aggregate(") :] for part in plan.split("Exchange hashpartitioning(") if "Aggregate(" in part)
     assert pairs(got, "line_no", "customer_code") == [(1, "a"), (2, "e"), (3, ""), (4, "")]
+
+
+def test_merge_asof_merges_short_keys_without_runs(rows):
+    rates = rows("id bigint, c bigint, date date, rate decimal(9,2)", [(1, 1, date(2023, 1, 1), D(25)), (2, 1, date(2023, 2, 1), None), (3, 2, date(2023, 1, 1), D(4)), (4, 2, date(2023, 1, 1), D(5)), (5, None, date(2020, 1, 1), D(9))])
+    days = [date(2022, 12, 31), date(2023, 1, 1), date(2023, 1, 31), date(2023, 2, 1), None]
+    facts = rows("id bigint, c bigint, day date", [(10 * c + i, c or None, d) for c in (0, 1, 2, 3) for i, d in enumerate(days)] + [(30, 3, days[1])] * 2)
+    want = {11: D(25), 12: D(25), 21: D(5), 22: D(5), 23: D(5)}
+    plans = {}
+    for short in (6, 7):  # key 3 has seven facts
+        out = merge_asof(facts, rates, ["c"], "day", ["rate"], short=short)
+        assert out.columns == ["id", "c", "day", "rate"] and out.count() == 22
+        assert {r.id: r.rate for r in out.collect() if r.rate is not None} == want
+        plans[short] = out._jdf.queryExecution().toString()
+    # one window where rows are dealt by key: no ranges, no written runs
+    assert "/asof-" in plans[6] and "/asof-" not in plans[7]
