@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import pairs
+from tallygrid.functions import money
 from tallygrid.functions.dates import Window, period_end, period_start
 from tallygrid.operators import blanket, checks, commission, dashboard, discounts, fulfilment, invoicing, lines, promotion
 from tallygrid.plans.asof import asof_join, convert_currency, merge_asof
@@ -735,3 +736,10 @@ def test_merge_asof_merges_short_keys_without_runs(rows):
         plans[short] = out._jdf.queryExecution().toString()
     # one window where rows are dealt by key: no ranges, no written runs
     assert "/asof-" in plans[6] and "/asof-" not in plans[7]
+
+
+def test_doubles_become_whole_numbers_and_decimals_as_round_and_cast_do(spark):
+    odd = [0.0, -0.0, 0.5, 0.49999999999999994, 1.5, 2.5, 2.4999999999999996, -0.5, -1.5, -2.4, 7.000000000000001, 57.99999999999999, 1005 * 100.0, 4503599627370497.5, 9e14 + 0.5, 2e15 + 1, 123.45, 0.00005, 999999999999.0, 12345678901234.0]
+    df = spark.createDataFrame([(float(x),) for x in odd] + [(None,)], "y double")
+    got = df.select("y", money.whole("y").alias("a"), F.round("y").cast("bigint").alias("b"), money.whole_or("y", "decimal(24,4)").alias("c"), F.col("y").cast("decimal(24,4)").alias("d")).collect()
+    assert all((r.a, r.c) == (r.b, r.d) for r in got), [r for r in got if (r.a, r.c) != (r.b, r.d)]
