@@ -332,6 +332,31 @@ def test_every_training_word_teaches_the_mixing_weights(spark, monkeypatch):
     assert not np.allclose(weights, half[0])
 
 
+def test_contexts_are_counted_by_occurrence_and_a_word_is_learned_without_its_own(spark):
+    """A word that stands n times in the training text counts n times, as the text repeated word by word does."""
+    texts = [(1, 0, "ab ab ab ac"), (2, 0, "ab"), (3, 1, "held")]
+    docs = spark.createDataFrame([(bool(h), 0, t) for _, h, t in texts], "held_out boolean, grp int, text string")
+    seen = lm_scoring.word_counts(docs).where("total > 0")
+    got = {r["slot"]: (r["zeros"], r["ones"]) for r in lm_scoring.context_counts(seen).collect()}
+    want = {}
+    for word in b"ab ab ab ac ab".split() + [b""] * 2:
+        for place, byte in enumerate(word + b" "):
+            for bit in range(8):
+                for order in lm_scoring.ORDERS:
+                    pair = want.setdefault(_slot_by_hand(word[:place], order, (byte | 256) >> (8 - bit)), [0, 0])
+                    pair[byte >> (7 - bit) & 1] += 1
+    assert got == {slot: tuple(pair) for slot, pair in want.items()}
+    # a word that all counts come from leaves only contexts that were not seen, exactly also when the counts are large
+    many = spark.createDataFrame([(b"often", (1 << 25) + 1)], "word binary, total long")
+    tables = lm_scoring.bit_tables(lm_scoring.context_counts(many))
+    assert tables[1].max() == (1 << 25) + 1
+    fresh, model = lm_scoring.untrained(*tables), lm_scoring.untrained(*tables)
+    model.learn([b"often"], [(1 << 25) + 1])
+    assert (model.weights == fresh.weights).all() and (model.refine[0] != fresh.refine[0]).any() and (model.refine[1:] == fresh.refine[1:]).all()
+    weights, refine = lm_scoring.mixing(many, 1, spark.sparkContext.broadcast(tables))
+    assert (weights == fresh.weights).all() and (refine == model.refine).all()
+
+
 def _slot_by_hand(before: bytes, order: int, node: int) -> int:
     """Slot of a predictor for one bit: a hash of the ``order`` bytes before (1 in front of the word) and the bits so far."""
     mask = (1 << 64) - 1
