@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,10 @@ from tallygrid.session import staged
 
 # Defaults of the recommendation and history dialogs.
 DEFAULT_PRODUCTS, DEFAULT_MONTHS, DAYS_PER_MONTH, HISTORY_LIMIT = 15, 6, 30, 20
+#: Products that a group's list holds beyond the wanted number, for orders that have some of them.
+SPARE = 32
+#: Orders of one customer group that meet its list in one task; those of a larger group are dealt into parts.
+GROUP_ORDERS = 100_000
 
 
 def ancestor_closure(tree: DataFrame) -> DataFrame:
@@ -88,6 +92,12 @@ def recommend_products(
     return shown.orderBy(lead, F.desc("priority"), "product_id")
 
 
+def _candidate(times: str, units: str) -> Column:
+    """A product that can be recommended, as a struct that sorts best first: most times, most units, lowest id."""
+    most = [(-F.col(times)).alias("_by_times"), F.col(units).isNull().alias("_no_units"), (-F.col(units).cast(QTY)).alias("_by_units")]
+    return F.struct(*most, "product_id", F.col(times).alias("times"), F.col(units).cast(QTY).alias("units"), "shown")
+
+
 def recommend_for_orders(
     targets: DataFrame,
     orders: DataFrame,
@@ -103,10 +113,11 @@ def recommend_for_orders(
 ) -> DataFrame:
     """``recommend_products`` for a whole table of orders, with a price: (order_id, product_id, ..., price_unit).
 
-    ``targets`` holds rows of ``orders``. Deliveries are summed once per (company, customer group, product) and ranked
-    there; an order reads the first ``amount`` ranks and one more for each product it holds itself, which is always enough,
-    because only an order's own products can leave the list or change their place once its own deliveries are taken off.
-    Each rank is an equi join, so no order meets its group's whole history.
+    ``targets`` holds rows of ``orders``. Deliveries are summed once per (company, customer group, product). A group's best
+    products form one list of ``amount`` + SPARE; an order meets it once, takes its own products out and reads the first
+    ``amount`` left, in place; own products that are not in its basket compete with these by what others had of them. That is
+    always enough, because only an order's own products can leave the list or change their place once its own deliveries are
+    taken off. Orders with over SPARE products, or ids that stand for several orders, read rank by rank, by equi join.
 
     ``price_origin`` is "pricelist", the product's price in ``prices`` (pricelist_id, product_id, price) or else its
     list price, or "last_sale_price", what the customer last paid in a confirmed order of the company, 0 if nothing.
@@ -121,66 +132,89 @@ def recommend_for_orders(
         F.col("id").alias("order_id"), "company_id", "pricelist_id", F.col("partner_id").alias("customer_id"), address, (F.col("date_order") >= start).alias("_recent")
     ).join(people, address)
     facts = lines.select("order_id", "product_id", "qty", "qty_delivered", "is_delivery", "display_type")
-    own = staged(heads.drop(address).join(facts, "order_id", "left"), "recommend")
     delivered = (F.col("qty_delivered") != 0) & ~F.col("is_delivery")
     order_keys = ["order_id", "company_id", "who", "pricelist_id", "customer_id"]
+    group = ["company_id", "who"]
 
-    saleable = products.filter(F.col("active") & F.col("sale_ok")).select(F.col("id").alias("product_id"))
+    # the lines of an order stand together after their join: what an order or one of its products needs is worked out there
+    mine = F.when(delivered & F.col("_recent") & F.col("_inside"), F.lit(1)).otherwise(F.lit(0))
+    order, alike = W.partitionBy(*order_keys), W.partitionBy(*order_keys, "product_id")
+    own = heads.drop(address).join(facts, "order_id", "left").select(
+        *order_keys, "product_id", F.col("qty").alias("units_included"), (~F.col("is_delivery") & F.col("display_type").isNull()).alias("_listed"),
+        mine.alias("_mine"), (mine * F.col("qty_delivered")).alias("_sent"),
+        (F.row_number().over(order.orderBy("product_id")) == 1).alias("_lead"),
+    ).select(
+        *order_keys, "product_id", "units_included", "_listed", "_lead",
+        ((F.row_number().over(alike.orderBy("product_id")) == 1) & F.col("product_id").isNotNull()).alias("_first"),
+        F.sum("_mine").over(alike).alias("_times"), F.sum("_sent").over(alike).alias("_units"), F.max("_listed").over(alike).alias("in_basket"),
+        F.sum(F.col("_lead").cast("int")).over(W.partitionBy("order_id")).alias("_alias"),
+    ).withColumn("_held", F.sum(F.col("_first").cast("bigint")).over(order))
+    own = own.withColumn("_long", (F.col("_held") > SPARE) | (F.col("_alias") > 1))
+    products_of = F.collect_set(F.when(F.col("_first") & ~F.col("_long"), F.col("product_id"))).over(order)  # at most SPARE
+    own = staged(own.withColumn("_products", F.when(F.col("_lead"), products_of)), "recommend")
+
+    groups = own.filter("_lead").groupBy(*group).count()
+    members = ancestor_closure(partners).withColumnRenamed("ancestor_id", "who").join(groups.drop("count"), "who")
     past = orders.filter(F.col("date_order") >= start).select(F.col("id").alias("order_id"), "company_id", F.col(address).alias("id"))
-    sold = (
-        lines.filter(delivered)
-        .join(past, "order_id")
-        .groupBy("company_id", "id", "product_id")
-        .agg(F.count("*").alias("times"), F.sum("qty_delivered").alias("units"))
-        .join(saleable, "product_id", "left_semi")
-    )
-    groups = own.select("company_id", "who").distinct()
     sums = (
-        sold.join(ancestor_closure(partners).withColumnRenamed("ancestor_id", "who"), "id")
-        .join(groups, ["company_id", "who"], "left_semi")
-        .groupBy("company_id", "who", "product_id")
-        .agg(F.sum("times").alias("times"), F.sum("units").alias("units"))
-    )
+        lines.filter(delivered).select("order_id", "product_id", "qty_delivered")
+        .join(past.join(members, ["company_id", "id"]).drop("id"), "order_id")
+        .groupBy(*group, "product_id")
+        .agg(F.count("*").alias("times"), F.sum("qty_delivered").alias("units"))
+    )
+    look = F.collect_list(F.struct("priority", *["list_price"] * (price_origin == "pricelist")))
+    # a row for each product: (product_id, shown: its rows, saleable)
+    kinds = products.groupBy(F.col("id").alias("product_id")).agg(look.alias("shown"), F.coalesce(F.bool_or(F.col("active") & F.col("sale_ok")), F.lit(False)).alias("saleable"))
+    kinds = staged(kinds, "recommend-products")
+    saleable = kinds.filter("saleable").drop("saleable")
     best = [F.desc("times"), F.desc("units"), F.asc("product_id")]
-    # written with its ranks: both the ranks and the orders' own products read it
-    ranked = staged(prefix_sums(sums, ["company_id", "who"], best, {"rank": F.lit(1).cast("bigint")}), "recommend-ranks")
+    # the numbers are cut before the shuffle too, so a hot group sends few rows
+    rank = F.row_number().over(W.partitionBy(*group).orderBy(*best))
+    first = sums.join(saleable, "product_id").withColumn("rank", rank).filter(F.col("rank") <= amount + SPARE)
+    lists = first.groupBy(*group).agg(F.array_sort(F.collect_list(_candidate("times", "units"))).alias("_best"))
 
-    mine = F.when(delivered & F.col("_recent") & F.col("_inside"), F.lit(1)).otherwise(F.lit(0))
     held = (
-        own.filter("product_id IS NOT NULL")
-        .groupBy(*order_keys, "product_id")
-        .agg(
-            F.sum(mine).alias("_times"),
-            F.sum(mine * F.col("qty_delivered")).alias("_units"),
-            F.max(~F.col("is_delivery") & F.col("display_type").isNull()).alias("in_basket"),
-        )
-        .join(ranked.drop("rank"), ["company_id", "who", "product_id"], "left")
-        .select(
-            *order_keys, "product_id", "in_basket",
-            F.coalesce(F.col("times") - F.col("_times"), F.lit(0)).alias("times_delivered"),
-            F.when(F.col("times") > F.col("_times"), F.col("units") - F.col("_units")).otherwise(F.lit(0)).cast(QTY).alias("units_delivered"),
-        )
-    )
-    reach = own.groupBy(*order_keys).agg(F.count_distinct("product_id").alias("_held"))
-    wanted = reach.select(*order_keys, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_held") + amount)).alias("rank"))
-    new = wanted.join(ranked, ["company_id", "who", "rank"]).select(
-        *order_keys, "product_id", F.lit(False).alias("in_basket"), F.col("times").alias("times_delivered"), F.col("units").cast(QTY).alias("units_delivered")
+        own.filter("product_id IS NOT NULL AND (_listed OR _first)")
+        .join(sums, [*group, "product_id"], "left")
+        .join(kinds, "product_id", "left")
+        .withColumn("times", F.when(F.col("saleable"), F.col("times")))
+        .withColumn("times_delivered", F.coalesce(F.col("times") - F.col("_times"), F.lit(0)))
+        .withColumn("units_delivered", F.when(F.col("times") > F.col("_times"), F.col("units") - F.col("_units")).otherwise(F.lit(0)).cast(QTY))
     )
-    # ranks and own products of an order are dealt by order once: there its own products leave the ranks, and places are given
-    dealt = new.withColumn("_own", F.lit(False)).unionByName(held.withColumn("_own", F.lit(True))).repartition("order_id")
-    met = dealt.withColumn("_held", F.bool_or("_own").over(W.partitionBy("order_id", "product_id")))
-    place = F.row_number().over(W.partitionBy("order_id").orderBy(F.desc("times_delivered"), F.desc("units_delivered"), "product_id"))
-    offered = F.when(F.col("_own"), ~F.col("in_basket") & (F.col("times_delivered") > 0)).otherwise(~F.col("_held"))
-    fresh = met.filter(offered).drop("_own", "_held").withColumn("_place", place).filter(F.col("_place") <= amount)
-    basket = own.filter(~F.col("is_delivery") & F.col("display_type").isNull() & F.col("product_id").isNotNull()).select(
-        "order_id", "product_id", F.col("qty").alias("units_included")
-    )
-    shown = (
-        held.filter("in_basket").join(basket, ["order_id", "product_id"])
-        .unionByName(fresh.drop("_place").withColumn("units_included", F.lit(0).cast(QTY)))
-    )
-    extra = products.select(F.col("id").alias("product_id"), "priority", "list_price")
-    shown = shown.join(extra, "product_id", "left")
+    columns = [*order_keys, "product_id", "in_basket", "times_delivered", "units_delivered", "shown"]
+    fresh_columns = [*order_keys, "product_id", F.lit(False).alias("in_basket"), F.col("times").alias("times_delivered"), F.col("units").cast(QTY).alias("units_delivered"), "shown"]
+    # own products that compete with the list, at most SPARE of an order
+    rivals = held.filter("_first AND NOT _long AND NOT in_basket").filter("times_delivered > 0").groupBy("order_id")
+    rivals = rivals.agg(F.collect_list(_candidate("times_delivered", "units_delivered")).alias("_rivals"))
+    short = own.filter("_lead AND NOT _long").select(*order_keys, "_products").join(rivals, "order_id", "left")
+    meeting = group
+    hot = groups.filter(F.col("count") > GROUP_ORDERS).collect()  # at most one for each GROUP_ORDERS orders
+    if hot:
+        many = own.sparkSession.createDataFrame([(r["company_id"], r["who"], -(-r["count"] // GROUP_ORDERS)) for r in hot], groups.drop("count").schema.add("_parts", "long"))
+        meeting, parts = [*group, "_part"], F.coalesce("_parts", F.lit(1))
+        short = short.join(many, group, "left").withColumn("_part", F.pmod(F.xxhash64("order_id"), parts)).drop("_parts")
+        lists = lists.join(many, group, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_parts")
+    left = F.slice(F.filter("_best", lambda x: ~F.array_contains("_products", x["product_id"])), 1, amount)
+    left = F.when(F.col("_rivals").isNull(), left).otherwise(F.slice(F.array_sort(F.concat(left, "_rivals")), 1, amount))
+    fresh = short.join(lists, meeting).select(*order_keys, F.inline(left)).select(*fresh_columns)
+    if not own.filter("_long").isEmpty():
+        these = own.filter("_long AND _lead")
+        some = sums.join(saleable, "product_id", "left_semi").join(these.select(*group).distinct(), group, "left_semi")
+        ranked = staged(prefix_sums(some, group, best, {"rank": F.lit(1).cast("bigint")}), "recommend-ranks")
+        wanted = these.select(*order_keys, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_held") + amount)).alias("rank"))
+        new = wanted.join(ranked, [*group, "rank"]).join(saleable, "product_id").select(*fresh_columns, F.lit(False).alias("_own"))
+        # ranks and own products of an order are dealt by order once: there its own products leave the ranks, and places are given
+        dealt = new.unionByName(held.filter("_first AND _long").select(*columns, F.lit(True).alias("_own"))).repartition("order_id")
+        met = dealt.withColumn("_held", F.bool_or("_own").over(W.partitionBy("order_id", "product_id")))
+        place = F.row_number().over(W.partitionBy("order_id").orderBy(F.desc("times_delivered"), F.desc("units_delivered"), "product_id"))
+        offered = F.when(F.col("_own"), ~F.col("in_basket") & (F.col("times_delivered") > 0)).otherwise(~F.col("_held"))
+        fresh = fresh.unionByName(met.filter(offered).withColumn("_place", place).filter(F.col("_place") <= amount).select(*columns))
+    fresh = fresh.withColumn("units_included", F.lit(0).cast(QTY))
+    basket = held.filter("_listed AND _alias = 1").select(*columns, "units_included")
+    # lines of an id that stands for several orders show with each of them
+    shared = held.filter("_first AND in_basket AND _alias > 1").select(*columns).join(own.filter("_listed AND _alias > 1").select("order_id", "product_id", "units_included"), ["order_id", "product_id"])
+    shown = basket.unionByName(shared).unionByName(fresh)
+    shown = shown.withColumn("shown", F.explode_outer("shown")).select("*", "shown.*").drop("shown")
     if price_origin == "pricelist":
         if prices is None:
             priced = shown.withColumn("price_unit", F.col("list_price"))

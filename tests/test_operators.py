@@ -449,6 +449,35 @@ def test_recommendations_of_many_orders_equal_those_of_each(rows, delivery):
         recommend.recommend_for_orders(orders, *args, price_origin="other")
 
 
+@pytest.mark.parametrize("spare, group_orders, ranked", [(32, 100_000, 0), (1, 100_000, 1), (32, 2, 0)])
+def test_orders_read_one_list_of_their_group_and_ranks_only_when_long(rows, monkeypatch, spare, group_orders, ranked):
+    """Lists, ranks (orders with more products than a list has to spare) and dealt groups give what the single form gives."""
+    import random
+
+    from tallygrid.operators import recommend
+
+    calls = []
+    monkeypatch.setattr(recommend, "prefix_sums", lambda *a, plain=recommend.prefix_sums: calls.append(a) or plain(*a))
+    monkeypatch.setattr(recommend, "SPARE", spare, raising=False)
+    monkeypatch.setattr(recommend, "GROUP_ORDERS", group_orders, raising=False)
+    rnd = random.Random(11)
+    partners = rows("id bigint, parent_path string, commercial_partner_id bigint", [(1, "1/", 1), (2, "1/2/", 1), (3, "3/", 3)])
+    products = rows("id bigint, active boolean, sale_ok boolean, priority string, list_price decimal(18,2)", [(k, k != 7, True, "0", D(k)) for k in range(1, 15)])
+    heads = [(n, 1, rnd.randint(1, 3), 1, date(2024, rnd.randint(1, 12), 1), "sale") for n in range(20)]
+    orders = rows("id bigint, company_id bigint, partner_id bigint, pricelist_id bigint, date_order date, state string", heads)
+    sold = [(n, k, rnd.randint(1, 14), D(rnd.randint(1, 3)), D(rnd.choice([0, 1, 2])), False, "line_note" if rnd.random() < 0.2 else None, D(n + k)) for n in range(20) for k in range(rnd.randint(0, 6))]
+    items = rows("order_id bigint, line_no bigint, product_id bigint, qty decimal(18,4), qty_delivered decimal(18,4), is_delivery boolean, display_type string, price_unit decimal(18,2)", sold)
+    args = (orders, items, partners, products, date(2024, 12, 31))
+    got = recommend.recommend_for_orders(orders, *args, months=8, amount=3, price_origin="last_sale_price").collect()
+    columns = ["product_id", "times_delivered", "units_delivered", "units_included", "in_basket"]
+    for n in (0, 3, 7, 12, 19):
+        one = recommend.recommend_products(n, *args, months=8, amount=3).collect()
+        assert sorted(tuple(r[c] for c in columns) for r in got if r.order_id == n) == sorted(tuple(r[c] for c in columns) for r in one)
+    last = {(r.partner_id, r.product_id): r.price_unit for r in recommend.last_sale_price(orders, items).collect()}
+    assert all(r.price_unit == last.get((heads[r.order_id][2], r.product_id), 0) for r in got)
+    assert len(calls) == ranked
+
+
 def test_hooks_apply_in_order_and_end_with_their_block(rows):
     from tallygrid.operators import hooks
 
