@@ -537,6 +537,24 @@ def test_assortment_products_spread_a_hot_combination(rows, spark):
     assert max(sizes) < 0.6 * sum(sizes)
 
 
+def test_assortment_pairs_come_in_runs_that_files_hold_small(spark, tmp_path, monkeypatch):
+    """All pairs of a combination, with more products than a block; written, a pair takes a small part of a byte."""
+    from tallygrid.operators import visibility
+
+    monkeypatch.setattr(visibility, "PRODUCT_PARTS", 1)  # 20,003 products of a part, as many partners have in large tables
+    products = spark.range(20_003).select("id", F.lit(1).alias("one"))
+    given = spark.range(300).select((F.col("id") * 7919 + (1 << 40)).alias("partner_id"), F.lit(1).cast("bigint").alias("assortment_id"))
+    out, keep = str(tmp_path / "pairs"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        visibility.assortment_products(products, given, {1: "one = 1"}).write.parquet(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    found = spark.read.parquet(out).agg(F.count("*"), F.count_distinct("partner_id"), F.count_distinct("product_id"), F.sum("product_id"))
+    assert tuple(found.first()) == (300 * 20_003, 300, 20_003, 300 * sum(range(20_003)))
+    assert sum(os.path.getsize(os.path.join(out, f)) for f in os.listdir(out) if f.endswith(".parquet")) < 0.4 * 300 * 20_003
+
+
 def shuffles(spark, make) -> int:
     """Exchanges of the planned query when nothing is small enough to be sent to all tasks."""
     keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
