@@ -141,12 +141,12 @@ def recommend_for_orders(
     order, alike = W.partitionBy(*order_keys), W.partitionBy(*order_keys, "product_id")
     own = heads.drop(address).join(facts, "order_id", "left").select(
         *order_keys, "product_id", F.col("qty").alias("units_included"), (~F.col("is_delivery") & F.col("display_type").isNull()).alias("_listed"),
-        mine.alias("_mine"), (mine * F.col("qty_delivered")).alias("_sent"),
+        mine.alias("_mine"), (mine * F.col("qty_delivered")).cast(QTY).alias("_sent"),
         (F.row_number().over(order.orderBy("product_id")) == 1).alias("_lead"),
     ).select(
         *order_keys, "product_id", "units_included", "_listed", "_lead",
         ((F.row_number().over(alike.orderBy("product_id")) == 1) & F.col("product_id").isNotNull()).alias("_first"),
-        F.sum("_mine").over(alike).alias("_times"), F.sum("_sent").over(alike).alias("_units"), F.max("_listed").over(alike).alias("in_basket"),
+        F.sum("_mine").over(alike).alias("_times"), F.sum("_sent").over(alike).cast(QTY).alias("_units"), F.max("_listed").over(alike).alias("in_basket"),
         F.sum(F.col("_lead").cast("int")).over(W.partitionBy("order_id")).alias("_alias"),
     ).withColumn("_held", F.sum(F.col("_first").cast("bigint")).over(order))
     own = own.withColumn("_long", (F.col("_held") > SPARE) | (F.col("_alias") > 1))
@@ -160,7 +160,7 @@ def recommend_for_orders(
         lines.filter(delivered).select("order_id", "product_id", "qty_delivered")
         .join(past.join(members, ["company_id", "id"]).drop("id"), "order_id")
         .groupBy(*group, "product_id")
-        .agg(F.count("*").alias("times"), F.sum("qty_delivered").alias("units"))
+        .agg(F.count("*").alias("times"), F.sum("qty_delivered").cast(QTY).alias("units"))  # as results hold it; 8 bytes
     )
     look = F.collect_list(F.struct("priority", *["list_price"] * (price_origin == "pricelist")))
     # a row for each product: (product_id, shown: its rows, saleable)
